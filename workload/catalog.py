@@ -6,10 +6,13 @@ Ids are spread over all relations by row number, so the lists that end up in one
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.schemas import DB, EXTRACT_SCHEMAS
+from driftmark.sources.extracts import LazyExtracts
 from workload.states import table
 
 INDEX_BASE = 1_000_000_000
@@ -24,214 +27,251 @@ def _cat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def extracts(spark: SparkSession, sf: str, side: str = "current", db: str = "main") -> dict[str, DataFrame]:
-    """All extract relations for one database; ``side`` applies the rule of workload.states to
-    relations (by part number) and columns (by order number)."""
-    current = side == "current"
-    part, orders, line = (table(spark, sf, t) for t in ("part", "orders", "lineitem"))
-    customer, region = table(spark, sf, "customer"), table(spark, sf, "region")
-    documents, events, nation = (table(spark, sf, t) for t in ("documents", "events", "nation"))
-    n = part.select(F.count(F.lit(1))).scalar()
-    n_docs = documents.select(F.count(F.lit(1))).scalar()
-
-    pk = F.col("p_partkey")
-    b = pk % 20
-    kind = (
-        F.when(pk % 10 == 7, "v").when(pk % 10 == 8, "m").when(pk % 10 == 9, "S").otherwise("r")
-    )
-    renamed = F.when(b == 3, "_new").otherwise("") if current else F.lit("")
-    owner_shift = F.when(b == 2, 1).otherwise(0) if current else F.lit(0)
-    view = kind.isin("v", "m")
-    relations = part.where(b != (1 if current else 0)).select(
-        pk.alias("oid"),
-        (pk % 25).alias("relnamespace"),
-        _cat("t_", _s(pk), renamed).alias("relname"),
-        kind.alias("relkind"),
-        F.lit(0).alias("relam"),
-        F.lit(0).alias("reltablespace"),
-        F.when(pk % 3 == 0, _cat("{", F.col("p_brand"), "=r/admin}")).alias("relacl"),
-        _cat("owner_", _s((F.col("p_size") + owner_shift) % 5)).alias("relowner"),
-        (F.col("p_size") % 2 == 0).alias("relispopulated"),
-        F.when(view, _cat(" SELECT  ", F.col("p_name"), "\n   FROM ", F.col("p_type"), ";")).alias("viewdef"),
-    )
-    ck = F.col("c_custkey")
-    index_relations = customer.select(
-        (ck + INDEX_BASE).alias("oid"),
-        ((ck % n) % 25).alias("relnamespace"),
-        _cat("ix_", _s(ck)).alias("relname"),
-        F.lit("i").alias("relkind"),
-        (F.col("c_nationkey") % 5).alias("relam"),
-        (ck % 7).alias("reltablespace"),
-        F.lit(None).alias("relacl"),
-        F.lit("admin").alias("relowner"),
-        F.lit(True).alias("relispopulated"),
-        F.lit(None).alias("viewdef"),
-    )
-
-    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
-    columns = line.groupBy("l_partkey", "l_linenumber").agg(
-        F.min("l_orderkey").alias("first_order"), F.max("l_returnflag").alias("flag")
-    )
-    first = F.col("first_order")
-    typ = (first + ln) % 6
-    wider = F.when(first % 20 == 2, 5).otherwise(0) if current else F.lit(0)
-    column_suffix = F.when(first % 20 == 3, "_new").otherwise("") if current else F.lit("")
-    attribute = columns.select(
-        F.col("l_partkey").alias("attrelid"),
-        ln.alias("attnum"),
-        _cat("c_", _s(first), "_", _s(ln), column_suffix).alias("attname"),
-        typ.alias("atttypid"),
-        F.when(typ == 0, 4 + 10 * ln + wider).when(typ == 3, 655366 + wider).otherwise(-1).alias("atttypmod"),
-        (F.col("flag") == "R").alias("attnotnull"),
-        (first % 37 == 0).alias("attisdropped"),
-    )
-    attrdef = (
-        line.where(ln == 2)
-        .select("l_partkey")
-        .distinct()
-        .select(
-            F.col("l_partkey").alias("adrelid"),
-            F.lit(2).alias("adnum"),
-            _cat("nextval('s_", _s("l_partkey"), "')").alias("default_expr"),
+class _Derived:
+    """The derivations of one catalog state: a method per extract relation."""
+
+    def __init__(self, spark: SparkSession, sf: str, side: str):
+        self.spark = spark
+        self.sf = sf
+        self.current = side == "current"
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf, name)
+
+    def size(self, name: str) -> Column:
+        return self.table(name).select(F.count(F.lit(1))).scalar()
+
+    def when_current(self, condition: Column, then, otherwise) -> Column:
+        return F.when(condition, then).otherwise(otherwise) if self.current else F.lit(otherwise)
+
+    @staticmethod
+    def relkind() -> Column:
+        pk = F.col("p_partkey")
+        return F.when(pk % 10 == 7, "v").when(pk % 10 == 8, "m").when(pk % 10 == 9, "S").otherwise("r")
+
+    def schemata(self) -> DataFrame:
+        return self.namespace().select(F.col("nspname").alias("schema_name"))
+
+    def namespace(self) -> DataFrame:
+        nk = F.col("n_nationkey")
+        name = F.when(nk == 24, "pg_catalog").when(nk == 23, "information_schema").otherwise(F.col("n_name"))
+        return self.table("nation").select(nk.alias("oid"), name.alias("nspname"))
+
+    def relations(self) -> DataFrame:
+        """Tables, views, materialized views and sequences from parts, indexes from customers."""
+        pk = F.col("p_partkey")
+        b = pk % 20
+        ck = F.col("c_custkey")
+        view = self.relkind().isin("v", "m")
+        owner = (F.col("p_size") + self.when_current(b == 2, 1, 0)) % 5
+        from_parts = self.table("part").where(b != (1 if self.current else 0)).select(
+            pk.alias("oid"),
+            (pk % 25).alias("relnamespace"),
+            _cat("t_", _s(pk), self.when_current(b == 3, "_new", "")).alias("relname"),
+            self.relkind().alias("relkind"),
+            F.lit(0).alias("relam"),
+            F.lit(0).alias("reltablespace"),
+            F.when(pk % 3 == 0, _cat("{", F.col("p_brand"), "=r/admin}")).alias("relacl"),
+            _cat("owner_", _s(owner)).alias("relowner"),
+            (F.col("p_size") % 2 == 0).alias("relispopulated"),
+            F.when(view, _cat(" SELECT  ", F.col("p_name"), "\n   FROM ", F.col("p_type"), ";")).alias("viewdef"),
         )
-    )
-
-    od = F.col("o_orderkey")
-    contype = (
-        F.when(od % 4 == 0, "p").when(od % 4 == 1, "u").when(od % 4 == 2, "f").when(od % 8 == 3, "c").otherwise("x")
-    )
-    two_keys = (od % 5 == 0) & contype.isin("p", "u", "f")
-    constraint = orders.select(
-        od.alias("oid"),
-        _cat("con_", _s(od)).alias("conname"),
-        (od % n).alias("conrelid"),
-        contype.alias("contype"),
-        F.when(two_keys, F.array(F.lit(1).cast("long"), 2 + od % 3)).otherwise(F.array(F.lit(1).cast("long"))).alias("conkey"),
-        F.when(contype == "f", (od * 7 + 3) % n).otherwise(0).alias("confrelid"),
-        F.when(two_keys & (contype == "f"), F.array(F.lit(2), F.lit(1)))
-        .when(contype == "f", F.array(F.lit(2)))
-        .alias("confkey"),
-        _cat("CHECK  (price\n > ", _s(od), ")").alias("definition"),
-    )
-
-    doc = F.col("doc_id")
-    proc = documents.select(
-        doc.alias("oid"),
-        (doc % 25).alias("pronamespace"),
-        _cat("f_", _s(doc)).alias("proname"),
-        (doc % 3).alias("prolang"),
-        F.when(doc % 4 == 0, "i").when(doc % 4 == 1, "s").when(doc % 4 == 2, "v").otherwise("x").alias("provolatile"),
-        F.when(doc % 4 == 0, "r").when(doc % 4 == 1, "s").when(doc % 4 == 2, "u").otherwise("x").alias("proparallel"),
-        _cat("owner_", F.col("lang")).alias("owner"),
-        F.when(doc % 3 == 0, _cat("{", F.col("source"), "=X}")).alias("proacl"),
-        (doc % 2 == 0).alias("prosecdef"),
-        F.when(doc % 5 == 0, F.array(F.lit("work_mem=1"), _cat("lang=", F.col("lang")))).alias("config"),
-        _cat("a integer, b ", F.col("lang")).alias("args"),
-        _cat("integer, ", F.col("lang")).alias("identity_args"),
-        F.lit("void").alias("return_type"),
-        _cat("  ", F.col("text"), "  ").alias("prosrc"),
-        _cat(
-            "CREATE FUNCTION f()\n AS $function$ DECLARE x int; BEGIN ", F.col("text"),
-            ";\n RETURN  x; END;\n $function$",
-        ).alias("functiondef"),
-    )
-    language = region.select(
-        F.col("r_regionkey").alias("oid"),
-        F.when(F.col("r_regionkey") == 0, "sql")
-        .when(F.col("r_regionkey") == 1, "plpgsql")
-        .otherwise(_cat("lang_", _s("r_regionkey")))
-        .alias("lanname"),
-    )
-
-    function_deps = orders.select(
-        F.lit(1255).alias("classid"),
-        (od % n_docs).alias("objid"),
-        F.when(od % 3 == 0, 1259).otherwise(1247).alias("refclassid"),
-        od.alias("refobjid"),
-        (od % 4).alias("refobjsubid"),
-        _cat("t_", _s(od)).alias("ref_name"),
-        F.lit("n").alias("deptype"),
-    )
-    rel_of_line = ok % n
-    rule_deps = line.where((rel_of_line % 10).isin(7, 8)).select(
-        F.lit(2618).alias("classid"),
-        (rel_of_line + RULE_BASE).alias("objid"),
-        F.lit(1259).alias("refclassid"),
-        ((ok * 7 + ln * 13) % n).alias("refobjid"),
-        ln.alias("refobjsubid"),
-        F.lit(None).alias("ref_name"),
-        F.lit("n").alias("deptype"),
-    )
-    owner_deps = line.where(rel_of_line % 20 == 9).select(
-        F.lit(1259).alias("classid"),
-        rel_of_line.alias("objid"),
-        F.lit(1259).alias("refclassid"),
-        ((ok * 3 + ln) % n).alias("refobjid"),
-        (ln - 1).alias("refobjsubid"),
-        F.lit(None).alias("ref_name"),
-        F.when(ln % 3 == 0, "i").when(ln % 3 == 1, "a").otherwise("n").alias("deptype"),
-    )
-
-    index = customer.select(
-        (ck + INDEX_BASE).alias("indexrelid"),
-        (ck % n).alias("indrelid"),
-        F.array(4 + ck % 2, ck % 3).alias("indkey"),
-        (ck % 2 == 0).alias("indisunique"),
-        (ck % 5 == 0).alias("indisprimary"),
-        _cat("CREATE INDEX  ix_", _s(ck), " ON\n t ( a,  b )").alias("indexdef"),
-        F.when(ck % 4 == 0, _cat("(a  >  ", _s(ck), ")")).alias("predicate"),
-    )
-    sequence = part.where(kind == "S").select(
-        pk.alias("seqrelid"),
-        F.lit(1).alias("seqstart"),
-        F.lit(1).alias("seqmin"),
-        (F.col("p_size") * 1000).alias("seqmax"),
-        (1 + F.col("p_size") % 3).alias("seqincrement"),
-        F.lit(1).alias("seqcache"),
-        (F.col("p_size") % 2 == 0).alias("seqcycle"),
-        F.lower("p_type").alias("type_name"),
-    )
-    ev = F.col("event_id")
-    trigger = events.select(
-        ev.alias("oid"),
-        (ev % n).alias("tgrelid"),
-        _cat("trg_", _s(ev)).alias("tgname"),
-        ((ev * 3) % 128).alias("tgtype"),
-        F.when(F.col("event_type") == "error", "D").otherwise("O").alias("tgenabled"),
-        (ev % 11 == 0).alias("tgisinternal"),
-        _cat("CREATE  TRIGGER trg_", _s(ev), "\n ON ", F.col("event_type")).alias("triggerdef"),
-        _cat("fn_", _s(F.col("user_id") % 10)).alias("function_name"),
-        F.lit("").alias("function_args"),
-        _cat("CREATE  FUNCTION\n ", F.col("props")).alias("functiondef"),
-    )
-
-    nk = F.col("n_nationkey")
-    nspname = F.when(nk == 24, "pg_catalog").when(nk == 23, "information_schema").otherwise(F.col("n_name"))
-    by_region = region.select(F.col("r_regionkey").alias("oid"), _s("r_regionkey").alias("k"))
-    frames = {
-        "schemata": nation.select(nspname.alias("schema_name")),
-        "namespace": nation.select(nk.alias("oid"), nspname.alias("nspname")),
-        "class": relations.unionByName(index_relations),
-        "attribute": attribute,
-        "type": spark.createDataFrame(
-            list(enumerate(("varchar", "int4", "int8", "numeric", "timestamptz", "text"))), "oid long, typname string"
-        ),
-        "attrdef": attrdef,
-        "constraint": constraint,
-        "proc": proc,
-        "language": language,
-        "depend": function_deps.unionByName(rule_deps).unionByName(owner_deps),
-        "rewrite": part.where(view).select((pk + RULE_BASE).alias("oid"), pk.alias("ev_class")),
-        "index": index,
-        "am": by_region.select("oid", _cat("am_", F.col("k")).alias("amname")),
-        "tablespace": by_region.select("oid", _cat("ts_", F.col("k")).alias("spcname")),
-        "sequence": sequence,
-        "trigger": trigger,
-    }
-    return {
-        name: df.select(
-            F.lit(db).alias(DB),
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in EXTRACT_SCHEMAS[name].fields],
+        from_customers = self.table("customer").select(
+            (ck + INDEX_BASE).alias("oid"),
+            ((ck % self.size("part")) % 25).alias("relnamespace"),
+            _cat("ix_", _s(ck)).alias("relname"),
+            F.lit("i").alias("relkind"),
+            (F.col("c_nationkey") % 5).alias("relam"),
+            (ck % 7).alias("reltablespace"),
+            F.lit(None).alias("relacl"),
+            F.lit("admin").alias("relowner"),
+            F.lit(True).alias("relispopulated"),
+            F.lit(None).alias("viewdef"),
+        )
+        return from_parts.unionByName(from_customers)
+
+    def attribute(self) -> DataFrame:
+        ln, first = F.col("l_linenumber"), F.col("first_order")
+        typ = (first + ln) % 6
+        wider = self.when_current(first % 20 == 2, 5, 0)
+        return (
+            self.table("lineitem")
+            .groupBy("l_partkey", "l_linenumber")
+            .agg(F.min("l_orderkey").alias("first_order"), F.max("l_returnflag").alias("flag"))
+            .select(
+                F.col("l_partkey").alias("attrelid"),
+                ln.alias("attnum"),
+                _cat("c_", _s(first), "_", _s(ln), self.when_current(first % 20 == 3, "_new", "")).alias("attname"),
+                typ.alias("atttypid"),
+                F.when(typ == 0, 4 + 10 * ln + wider).when(typ == 3, 655366 + wider).otherwise(-1).alias("atttypmod"),
+                (F.col("flag") == "R").alias("attnotnull"),
+                (first % 37 == 0).alias("attisdropped"),
+            )
+        )
+
+    def type(self) -> DataFrame:
+        names = ("varchar", "int4", "int8", "numeric", "timestamptz", "text")
+        return self.spark.createDataFrame(list(enumerate(names)), "oid long, typname string")
+
+    def attrdef(self) -> DataFrame:
+        return (
+            self.table("lineitem")
+            .where(F.col("l_linenumber") == 2)
+            .select("l_partkey")
+            .distinct()
+            .select(
+                F.col("l_partkey").alias("adrelid"),
+                F.lit(2).alias("adnum"),
+                _cat("nextval('s_", _s("l_partkey"), "')").alias("default_expr"),
+            )
+        )
+
+    def constraint(self) -> DataFrame:
+        od, n = F.col("o_orderkey"), self.size("part")
+        contype = (
+            F.when(od % 4 == 0, "p").when(od % 4 == 1, "u").when(od % 4 == 2, "f").when(od % 8 == 3, "c").otherwise("x")
+        )
+        one = F.lit(1).cast("long")
+        two_keys = (od % 5 == 0) & contype.isin("p", "u", "f")
+        return self.table("orders").select(
+            od.alias("oid"),
+            _cat("con_", _s(od)).alias("conname"),
+            (od % n).alias("conrelid"),
+            contype.alias("contype"),
+            F.when(two_keys, F.array(one, 2 + od % 3)).otherwise(F.array(one)).alias("conkey"),
+            F.when(contype == "f", (od * 7 + 3) % n).otherwise(0).alias("confrelid"),
+            F.when(two_keys & (contype == "f"), F.array(F.lit(2), F.lit(1)))
+            .when(contype == "f", F.array(F.lit(2)))
+            .alias("confkey"),
+            _cat("CHECK  (price\n > ", _s(od), ")").alias("definition"),
+        )
+
+    def proc(self) -> DataFrame:
+        """Routines whose bodies are whole documents."""
+        doc, lang, body = F.col("doc_id"), F.col("lang"), F.col("text")
+        by_four = doc % 4
+        return self.table("documents").select(
+            doc.alias("oid"),
+            (doc % 25).alias("pronamespace"),
+            _cat("f_", _s(doc)).alias("proname"),
+            (doc % 3).alias("prolang"),
+            F.when(by_four == 0, "i").when(by_four == 1, "s").when(by_four == 2, "v").otherwise("x").alias("provolatile"),
+            F.when(by_four == 0, "r").when(by_four == 1, "s").when(by_four == 2, "u").otherwise("x").alias("proparallel"),
+            _cat("owner_", lang).alias("owner"),
+            F.when(doc % 3 == 0, _cat("{", F.col("source"), "=X}")).alias("proacl"),
+            (doc % 2 == 0).alias("prosecdef"),
+            F.when(doc % 5 == 0, F.array(F.lit("work_mem=1"), _cat("lang=", lang))).alias("config"),
+            _cat("a integer, b ", lang).alias("args"),
+            _cat("integer, ", lang).alias("identity_args"),
+            F.lit("void").alias("return_type"),
+            _cat("  ", body, "  ").alias("prosrc"),
+            _cat(
+                "CREATE FUNCTION f()\n AS $function$ DECLARE x int; BEGIN ", body, ";\n RETURN  x; END;\n $function$"
+            ).alias("functiondef"),
         )
-        for name, df in frames.items()
-    }
+
+    def language(self) -> DataFrame:
+        rk = F.col("r_regionkey")
+        name = F.when(rk == 0, "sql").when(rk == 1, "plpgsql").otherwise(_cat("lang_", _s(rk)))
+        return self.table("region").select(rk.alias("oid"), name.alias("lanname"))
+
+    def depend(self) -> DataFrame:
+        """Dependencies of routines (orders), view rules and sequences (lineitem)."""
+        od, ok, ln = F.col("o_orderkey"), F.col("l_orderkey"), F.col("l_linenumber")
+        n = self.size("part")
+        rel = ok % n
+        line = self.table("lineitem")
+        of_routines = self.table("orders").select(
+            F.lit(1255).alias("classid"),
+            (od % self.size("documents")).alias("objid"),
+            F.when(od % 3 == 0, 1259).otherwise(1247).alias("refclassid"),
+            od.alias("refobjid"),
+            (od % 4).alias("refobjsubid"),
+            _cat("t_", _s(od)).alias("ref_name"),
+            F.lit("n").alias("deptype"),
+        )
+        of_rules = line.where((rel % 10).isin(7, 8)).select(
+            F.lit(2618).alias("classid"),
+            (rel + RULE_BASE).alias("objid"),
+            F.lit(1259).alias("refclassid"),
+            ((ok * 7 + ln * 13) % n).alias("refobjid"),
+            ln.alias("refobjsubid"),
+            F.lit(None).alias("ref_name"),
+            F.lit("n").alias("deptype"),
+        )
+        of_sequences = line.where(rel % 20 == 9).select(
+            F.lit(1259).alias("classid"),
+            rel.alias("objid"),
+            F.lit(1259).alias("refclassid"),
+            ((ok * 3 + ln) % n).alias("refobjid"),
+            (ln - 1).alias("refobjsubid"),
+            F.lit(None).alias("ref_name"),
+            F.when(ln % 3 == 0, "i").when(ln % 3 == 1, "a").otherwise("n").alias("deptype"),
+        )
+        return of_routines.unionByName(of_rules).unionByName(of_sequences)
+
+    def rewrite(self) -> DataFrame:
+        pk = F.col("p_partkey")
+        views = self.table("part").where(self.relkind().isin("v", "m"))
+        return views.select((pk + RULE_BASE).alias("oid"), pk.alias("ev_class"))
+
+    def index(self) -> DataFrame:
+        ck = F.col("c_custkey")
+        return self.table("customer").select(
+            (ck + INDEX_BASE).alias("indexrelid"),
+            (ck % self.size("part")).alias("indrelid"),
+            F.array(4 + ck % 2, ck % 3).alias("indkey"),
+            (ck % 2 == 0).alias("indisunique"),
+            (ck % 5 == 0).alias("indisprimary"),
+            _cat("CREATE INDEX  ix_", _s(ck), " ON\n t ( a,  b )").alias("indexdef"),
+            F.when(ck % 4 == 0, _cat("(a  >  ", _s(ck), ")")).alias("predicate"),
+        )
+
+    def am(self) -> DataFrame:
+        rk = F.col("r_regionkey")
+        return self.table("region").select(rk.alias("oid"), _cat("am_", _s(rk)).alias("amname"))
+
+    def tablespace(self) -> DataFrame:
+        rk = F.col("r_regionkey")
+        return self.table("region").select(rk.alias("oid"), _cat("ts_", _s(rk)).alias("spcname"))
+
+    def sequence(self) -> DataFrame:
+        size = F.col("p_size")
+        return self.table("part").where(self.relkind() == "S").select(
+            F.col("p_partkey").alias("seqrelid"),
+            F.lit(1).alias("seqstart"),
+            F.lit(1).alias("seqmin"),
+            (size * 1000).alias("seqmax"),
+            (1 + size % 3).alias("seqincrement"),
+            F.lit(1).alias("seqcache"),
+            (size % 2 == 0).alias("seqcycle"),
+            F.lower("p_type").alias("type_name"),
+        )
+
+    def trigger(self) -> DataFrame:
+        ev = F.col("event_id")
+        return self.table("events").select(
+            ev.alias("oid"),
+            (ev % self.size("part")).alias("tgrelid"),
+            _cat("trg_", _s(ev)).alias("tgname"),
+            ((ev * 3) % 128).alias("tgtype"),
+            F.when(F.col("event_type") == "error", "D").otherwise("O").alias("tgenabled"),
+            (ev % 11 == 0).alias("tgisinternal"),
+            _cat("CREATE  TRIGGER trg_", _s(ev), "\n ON ", F.col("event_type")).alias("triggerdef"),
+            _cat("fn_", _s(F.col("user_id") % 10)).alias("function_name"),
+            F.lit("").alias("function_args"),
+            _cat("CREATE  FUNCTION\n ", F.col("props")).alias("functiondef"),
+        )
+
+
+def extracts(spark: SparkSession, sf: str, side: str = "current", db: str = "main") -> LazyExtracts:
+    """All extract relations of one database; ``side`` applies the rule of workload.states to
+    relations (by part number) and columns (by order number)."""
+    derived = _Derived(spark, sf, side)
+
+    def build(name: str) -> DataFrame:
+        df = getattr(derived, "relations" if name == "class" else name)()
+        fields = EXTRACT_SCHEMAS[name].fields
+        return df.select(F.lit(db).alias(DB), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+    return LazyExtracts({name: partial(build, name) for name in EXTRACT_SCHEMAS})

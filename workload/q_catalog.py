@@ -19,9 +19,9 @@ Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 OWN = "NATION_5"
 LISTED = ["NATION_1", "NATION_2", "pg_catalog"]
-ENTRIES = ["NATION_3", "NATION_4.t_29", "NATION_6.t_6.x"]
+ENTRIES = ["NATION_3", "NATION_5.t_30", "NATION_6.t_6.x"]
 PLAIN = "s = 'NATION_3'"
-PAIR = "s || '.' || r = 'NATION_4.t_29'"
+PAIR = "s || '.' || r = 'NATION_5.t_30'"
 CUT = "(s = 'NATION_6' AND r = 't_6')"
 
 
@@ -40,8 +40,11 @@ def _stored_extract(spark: SparkSession, sf: str) -> DataFrame:
     names = ("namespace", "class")
     both = combine_databases(
         {
-            db: {n: extracts(spark, sf, side)[n] for n in names}
-            for db, side in (("main", "current"), ("replica", "previous"))
+            db: {n: x[n] for n in names}
+            for db, x in (
+                ("main", extracts(spark, sf)),
+                ("replica", extracts(spark, sf, "previous")),
+            )
         }
     )
     write_extracts(both, root)
