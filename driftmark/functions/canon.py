@@ -1,4 +1,7 @@
-"""Column expressions that build canonical text, the input of every fingerprint."""
+"""Column expressions that build canonical text, the input of every fingerprint.
+
+A column given by name takes one SQL expression, which keeps building wide rows cheap on the driver.
+"""
 
 from __future__ import annotations
 
@@ -16,22 +19,28 @@ def col(c: ColumnOrName) -> Column:
 
 def text(c: ColumnOrName) -> Column:
     """Text form, NULL as the empty string."""
-    return F.coalesce(col(c).cast("string"), F.lit(""))
+    if isinstance(c, str):
+        return F.expr(f"coalesce(cast({c} as string), '')")
+    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def kv(label: str, c: ColumnOrName) -> Column:
     """``label:value``; a NULL value leaves ``label:``."""
+    if isinstance(c, str):
+        return F.expr(f"concat('{label}:', coalesce(cast({c} as string), ''))")
     return F.concat(F.lit(f"{label}:"), text(c))
 
 
 def kv_if_set(label: str, c: ColumnOrName) -> Column:
     """``label:value``, or NULL for a NULL value so that :func:`joined` drops the whole part."""
-    return F.concat(F.lit(f"{label}:"), col(c).cast("string"))
+    if isinstance(c, str):
+        return F.expr(f"concat('{label}:', cast({c} as string))")
+    return F.concat(F.lit(f"{label}:"), c.cast("string"))
 
 
 def joined(parts: Iterable[ColumnOrName], sep: str) -> Column:
     """Parts with ``sep`` between; NULL parts leave no trace."""
-    return F.concat_ws(sep, *[col(p) for p in parts])
+    return F.concat_ws(sep, *parts)
 
 
 def collapse_ws(c: ColumnOrName) -> Column:

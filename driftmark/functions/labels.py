@@ -56,35 +56,33 @@ QUOTED_KEYWORDS = (
 ).split()
 
 
-def label(c: ColumnOrName, names: Mapping[str, object], default: Column | None = None) -> Column:
-    """The entry of ``names`` for a code, else ``default`` (NULL when not given)."""
-    c = col(c)
-    out = None
-    for code, name in names.items():
-        out = (F if out is None else out).when(c == code, F.lit(name))
-    return out if default is None else out.otherwise(default)
+def label(c: str, names: Mapping[str, object], default: str = "NULL") -> Column:
+    """The entry of ``names`` for a code, else the SQL expression ``default``."""
+    cases = " ".join(f"WHEN '{code}' THEN {name!r}" for code, name in names.items())
+    return F.expr(f"CASE {c} {cases} ELSE {default} END")
 
 
-def type_name(typname: ColumnOrName) -> Column:
-    return label(typname, TYPE_NAMES, col(typname))
+def type_name(typname: str) -> Column:
+    return label(typname, TYPE_NAMES, typname)
 
 
-def type_length(typname: ColumnOrName, typmod: ColumnOrName) -> Column:
+def type_length(typname: str, typmod: str) -> Column:
     """Declared length of a character type; an unset modifier (-1) gives -5."""
-    return F.when(col(typname).isin("varchar", "bpchar"), col(typmod) - 4)
+    return F.expr(f"CASE WHEN {typname} IN ('varchar', 'bpchar') THEN {typmod} - 4 END")
 
 
-def numeric_precision(typname: ColumnOrName, typmod: ColumnOrName) -> Column:
+def numeric_precision(typname: str, typmod: str) -> Column:
     """Upper half of a numeric modifier, or the width of a fixed-size number."""
-    packed = F.shiftright(col(typmod) - 4, 16).bitwiseAND(F.lit(65535))
-    return F.when(col(typname) == "numeric", packed).otherwise(label(typname, FIXED_PRECISION))
+    packed = F.expr(f"shiftright({typmod} - 4, 16) & 65535")
+    return F.when(F.col(typname) == "numeric", packed).otherwise(label(typname, FIXED_PRECISION))
 
 
-def numeric_scale(typname: ColumnOrName, typmod: ColumnOrName) -> Column:
+def numeric_scale(typname: str, typmod: str) -> Column:
     """Lower half of a numeric modifier; other numbers have scale 0."""
-    packed = (col(typmod) - 4).bitwiseAND(F.lit(65535))
-    zero = F.when(col(typname).isin(*FIXED_PRECISION), F.lit(0))
-    return F.when(col(typname) == "numeric", packed).otherwise(zero)
+    numbers = ", ".join(f"'{t}'" for t in FIXED_PRECISION)
+    return F.expr(
+        f"CASE WHEN {typname} = 'numeric' THEN ({typmod} - 4) & 65535 WHEN {typname} IN ({numbers}) THEN 0 END"
+    )
 
 
 def quoted_ident(c: ColumnOrName) -> Column:
@@ -94,37 +92,35 @@ def quoted_ident(c: ColumnOrName) -> Column:
     return F.when(plain, c).otherwise(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
-def has_bit(c: ColumnOrName, bit: int) -> Column:
-    return col(c).cast("int").bitwiseAND(F.lit(bit)) == bit
+def has_bit(c: str, bit: int) -> Column:
+    return F.expr(f"(cast({c} as int) & {bit}) = {bit}")
 
 
-def _first_bit(c: ColumnOrName, names: Mapping[int, str]) -> Column:
-    out = F
-    for bit, name in names.items():
-        out = out.when(has_bit(c, bit), F.lit(name))
-    return out
+def _first_bit(c: str, names: Mapping[int, str], default: str) -> Column:
+    cases = " ".join(f"WHEN (cast({c} as int) & {bit}) = {bit} THEN '{name}'" for bit, name in names.items())
+    return F.expr(f"CASE {cases} ELSE {default} END")
 
 
-def trigger_timing(tgtype: ColumnOrName, *, corrected: bool = False) -> Column:
+def trigger_timing(tgtype: str, *, corrected: bool = False) -> Column:
     """Timing label. The default reads bits 4/8/16, which stored fingerprints depend on;
     ``corrected`` reads the bits the server sets (2 before, 64 instead of, else after)."""
     if corrected:
-        return _first_bit(tgtype, {64: "INSTEAD OF", 2: "BEFORE"}).otherwise(F.lit("AFTER"))
-    return _first_bit(tgtype, {4: "BEFORE", 8: "AFTER", 16: "INSTEAD OF"})
+        return _first_bit(tgtype, {64: "INSTEAD OF", 2: "BEFORE"}, "'AFTER'")
+    return _first_bit(tgtype, {4: "BEFORE", 8: "AFTER", 16: "INSTEAD OF"}, "NULL")
 
 
-def trigger_event(tgtype: ColumnOrName, *, corrected: bool = False) -> Column:
+def trigger_event(tgtype: str, *, corrected: bool = False) -> Column:
     """First matching event. The default reads bits 2/4/8, ``corrected`` the server's 4/8/16/32."""
     names = (
         {4: "INSERT", 8: "DELETE", 16: "UPDATE", 32: "TRUNCATE"}
         if corrected
         else {2: "INSERT", 4: "DELETE", 8: "UPDATE"}
     )
-    return _first_bit(tgtype, names).otherwise(F.lit("UNKNOWN"))
+    return _first_bit(tgtype, names, "'UNKNOWN'")
 
 
-def trigger_level(tgtype: ColumnOrName) -> Column:
-    return F.when(has_bit(tgtype, 1), F.lit("ROW")).otherwise(F.lit("STATEMENT"))
+def trigger_level(tgtype: str) -> Column:
+    return _first_bit(tgtype, {1: "ROW"}, "'STATEMENT'")
 
 
 # The shape of a procedural body that is kept, and of its closing RETURN. Dot

@@ -28,7 +28,7 @@ RELATION_CLASS = 1259
 
 def _renamed(df: DataFrame, **names: str) -> DataFrame:
     """``source_db`` and the given columns, under new names."""
-    return df.select(DB, *[F.col(old).alias(new) for new, old in names.items()])
+    return df.selectExpr(DB, *[f"{old} as {new}" for new, old in names.items()])
 
 
 def _relations(x: Extracts, where: Column | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def fetch_columns(x: Extracts, schemas: Entries = None) -> DataFrame:
         .select(
             DB,
             F.col("nspname").alias("schema_name"),
-            labels.label("relkind", labels.RELATION_KINDS, F.lit("Other")).alias("object_type"),
+            labels.label("relkind", labels.RELATION_KINDS, "'Other'").alias("object_type"),
             F.col("relname").alias("object_type_name"),
             F.col("attname").alias("column_name"),
             labels.type_name("typname").alias("data_type"),
@@ -106,7 +106,7 @@ def fetch_constraints(x: Extracts, entries: Entries = None) -> DataFrame:
         F.lit("Table").alias("object_type"),
         F.col("relname").alias("object_type_name"),
         F.col("conname").alias("constraint_name"),
-        labels.label("contype", labels.CONSTRAINT_KINDS, F.col("contype")).alias("constraint_type"),
+        labels.label("contype", labels.CONSTRAINT_KINDS, "contype").alias("constraint_type"),
         "column_name",
         "definition",
     )
@@ -426,7 +426,7 @@ def fetch_sequences(x: Extracts, entries: Entries = None) -> DataFrame:
             F.col("relname").alias("object_type_name"),
             "table_name",
             owned_by.alias("owned_by"),
-            labels.label("deptype", labels.OWNERSHIP, F.lit("MANUAL")).alias("sequence_type"),
+            labels.label("deptype", labels.OWNERSHIP, "'MANUAL'").alias("sequence_type"),
             F.col("relacl").alias("privileges"),
             F.col("type_name").alias("data_type"),
             F.col("seqstart").alias("start_value"),

@@ -34,38 +34,31 @@ def _scoped(current: DataFrame, keys: Sequence[str]) -> list[str]:
     return [*([DB] if DB in current.columns else []), *keys]
 
 
-def _has_key(keys: Sequence[str]):
+def _has_key(keys: Sequence[str]) -> str:
     """NULL equals nothing: a row with a NULL in its key can't match."""
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    return present
+    return " AND ".join(f"{k} IS NOT NULL" for k in keys)
 
 
 def versions(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key and MD5 with the number of rows on each side (``n_cur``, ``n_prev``)."""
 
     def side(df: DataFrame, in_cur: int, in_prev: int) -> DataFrame:
-        return df.where(_has_key([*keys, MD5])).select(
-            *keys,
-            MD5,
-            F.lit(in_cur).cast("long").alias("in_cur"),
-            F.lit(in_prev).cast("long").alias("in_prev"),
-        )
+        present = df.where(_has_key([*keys, MD5]))
+        return present.selectExpr(*keys, MD5, f"{in_cur}L as in_cur", f"{in_prev}L as in_prev")
 
     return (
         side(current, 1, 0)
         .unionByName(side(previous, 0, 1))
         .groupBy(*keys, MD5)
-        .agg(F.sum("in_cur").alias("n_cur"), F.sum("in_prev").alias("n_prev"))
+        .agg(F.expr("sum(in_cur) as n_cur"), F.expr("sum(in_prev) as n_prev"))
     )
 
 
 def _totals(v: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
     return v.groupBy(*by).agg(
-        F.sum("n_cur").alias(f"{prefix}_cur"),
-        F.sum("n_prev").alias(f"{prefix}_prev"),
-        F.count(F.lit(1)).alias(f"{prefix}_rows"),
+        F.expr(f"sum(n_cur) as {prefix}_cur"),
+        F.expr(f"sum(n_prev) as {prefix}_prev"),
+        F.expr(f"count(*) as {prefix}_rows"),
     )
 
 
@@ -106,76 +99,58 @@ def locate(
 
     # A key is untouched when one version of it is on both sides; an MD5 is a candidate for a
     # rename when several names hold it and it is on both sides.
-    by_key = _totals(v, keys, "key").where(
-        (F.col("key_rows") > 1) | (F.col("key_cur") == 0) | (F.col("key_prev") == 0)
-    )
-    by_md5 = _totals(v, [*parent, MD5], "md5").where(
-        (F.col("md5_rows") > 1) & (F.col("md5_cur") > 0) & (F.col("md5_prev") > 0)
-    )
+    by_key = _totals(v, keys, "key").where("key_rows > 1 OR key_cur = 0 OR key_prev = 0")
+    by_md5 = _totals(v, [*parent, MD5], "md5").where("md5_rows > 1 AND md5_cur > 0 AND md5_prev > 0")
 
     if collision_safe:
-        sole = (F.col("md5_cur") == 1) & (F.col("md5_prev") == 1)
         pairs = (
-            v.join(by_md5.where(sole), [*parent, MD5])
+            v.join(by_md5.where("md5_cur = 1 AND md5_prev = 1"), [*parent, MD5])
             .groupBy(*parent, MD5)
             .agg(
-                F.max(F.when(F.col("n_cur") == 1, F.col(name))).alias("new_name"),
-                F.max(F.when(F.col("n_prev") == 1, F.col(name))).alias("old_name"),
+                F.expr(f"max(CASE WHEN n_cur = 1 THEN {name} END) as new_name"),
+                F.expr(f"max(CASE WHEN n_prev = 1 THEN {name} END) as old_name"),
             )
         )
-        renamed = pairs.withColumns(
-            {name: F.col("new_name"), PREVIOUS_NAME: F.col("old_name"), "copies": F.lit(1).cast("long")}
+        renamed = pairs.selectExpr(
+            *parent, f"new_name as {name}", MD5, f"'RENAMED' as {CHANGE}", "1L as copies", f"old_name as {PREVIOUS_NAME}"
         )
-        taken = pairs.select(
-            *parent,
-            F.explode(
-                F.array(
-                    F.struct(F.col("new_name").alias(name), F.lit("ADDED").alias(CHANGE)),
-                    F.struct(F.col("old_name").alias(name), F.lit("DELETED").alias(CHANGE)),
-                )
-            ).alias("t"),
-        ).select(*parent, "t.*")
-        modified = (F.col("key_cur") == 1) & (F.col("key_prev") == 1) & (F.col("n_cur") == 1)
-        modified_copies = F.lit(1).cast("long")
+        taken = pairs.selectExpr(
+            *parent, f"stack(2, new_name, 'ADDED', old_name, 'DELETED') as ({name}, {CHANGE})"
+        )
+        modified, modified_copies = "key_cur = 1 AND key_prev = 1 AND n_cur = 1", "1L"
     else:
         renamed = (
             v.join(by_md5, [*parent, MD5])
-            .where((F.col("n_cur") > 0) & (F.col("md5_prev") > F.col("n_prev")))
-            .withColumns(
-                {"copies": F.col("md5_prev") - F.col("n_prev"), PREVIOUS_NAME: F.lit(None).cast("string")}
+            .where("n_cur > 0 AND md5_prev > n_prev")
+            .selectExpr(
+                *keys, MD5, f"'RENAMED' as {CHANGE}", "md5_prev - n_prev as copies",
+                f"cast(NULL as string) as {PREVIOUS_NAME}",
             )
-        )
-        taken = renamed.select(*keys, F.lit("ADDED").alias(CHANGE))
-        modified = (F.col("n_cur") > 0) & (F.col("key_prev") > F.col("n_prev"))
-        modified_copies = F.col("key_prev") - F.col("n_prev")
-
-    renamed = renamed.withColumn(CHANGE, F.lit("RENAMED")).select(*out)
-    change = (
-        F.when(modified, F.lit("MODIFIED"))
-        .when(F.col("key_prev") == 0, F.lit("ADDED"))
-        .when(F.col("key_cur") == 0, F.lit("DELETED"))
-    )
+        )
+        taken = renamed.selectExpr(*keys, f"'ADDED' as {CHANGE}")
+        modified, modified_copies = "n_cur > 0 AND key_prev > n_prev", "key_prev - n_prev"
+
     other = (
         v.join(by_key, keys)
-        .withColumn(CHANGE, change)
-        .where(F.col(CHANGE).isNotNull())
-        .withColumns(
-            {
-                "copies": F.when(F.col(CHANGE) == "MODIFIED", modified_copies).otherwise(F.lit(1).cast("long")),
-                PREVIOUS_NAME: F.when(F.col(CHANGE) != "ADDED", F.col(name)),
-            }
+        .selectExpr(
+            "*",
+            f"CASE WHEN {modified} THEN 'MODIFIED' WHEN key_prev = 0 THEN 'ADDED' "
+            f"WHEN key_cur = 0 THEN 'DELETED' END as {CHANGE}",
         )
+        .where(f"{CHANGE} IS NOT NULL")
         .join(taken.distinct(), [*keys, CHANGE], "left_anti")
-        .select(*out)
-    )
-    located = renamed.unionByName(other)
-    if unchanged:
-        same = v.where((F.col("n_cur") > 0) & (F.col("n_prev") > 0)).select(
+        .selectExpr(
             *keys,
             MD5,
-            F.lit("UNCHANGED").alias(CHANGE),
-            F.col("n_prev").alias("copies"),
-            F.col(name).alias(PREVIOUS_NAME),
+            CHANGE,
+            f"CASE WHEN {CHANGE} = 'MODIFIED' THEN {modified_copies} ELSE 1L END as copies",
+            f"CASE WHEN {CHANGE} <> 'ADDED' THEN {name} END as {PREVIOUS_NAME}",
+        )
+    )
+    located = renamed.select(*out).unionByName(other)
+    if unchanged:
+        same = v.where("n_cur > 0 AND n_prev > 0").selectExpr(
+            *keys, MD5, f"'UNCHANGED' as {CHANGE}", "n_prev as copies", f"{name} as {PREVIOUS_NAME}"
         )
         located = located.unionByName(same)
     return located
@@ -187,24 +162,18 @@ def attach(
     """Full change rows for located keys, and the rows that a NULL key sets apart."""
     keys = list(keys)
     row = [c for c in (DB, *FINGERPRINT_COLUMNS) if c in current.columns]
-    gone = F.col("gone")
-
-    both = (
-        current.select(*row, F.lit(False).alias("gone"))
-        .unionByName(previous.select(*row, F.lit(True).alias("gone")))
-    )
+    out = [*row, CHANGE, "copies", PREVIOUS_NAME]
+    both = current.selectExpr(*row, "false as gone").unionByName(previous.selectExpr(*row, "true as gone"))
     found = both.where(_has_key(keys)).join(
-        located.withColumn("gone", F.col(CHANGE) == "DELETED"), [*keys, MD5, "gone"]
+        located.selectExpr("*", f"{CHANGE} = 'DELETED' as gone"), [*keys, MD5, "gone"]
     )
-    loose = both.where(~_has_key(keys)).withColumns(
-        {
-            CHANGE: F.when(gone, F.lit("DELETED")).otherwise(F.lit("ADDED")),
-            "copies": F.lit(1).cast("long"),
-            PREVIOUS_NAME: F.when(gone, F.col(keys[-1])),
-        }
+    loose = both.where(f"NOT ({_has_key(keys)})").selectExpr(
+        *row,
+        f"CASE WHEN gone THEN 'DELETED' ELSE 'ADDED' END as {CHANGE}",
+        "1L as copies",
+        f"CASE WHEN gone THEN {keys[-1]} END as {PREVIOUS_NAME}",
     )
-    out = [*row, CHANGE, "copies", PREVIOUS_NAME]
-    return found.select(*out).unionByName(loose.select(*out))
+    return found.select(*out).unionByName(loose)
 
 
 def diff_child(

@@ -8,104 +8,97 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.schemas import DB, EXTRACT_SCHEMAS
 from driftmark.sources.extracts import LazyExtracts
 from workload.states import table
 
-INDEX_BASE = 1_000_000_000
-RULE_BASE = 2_000_000_000
-
-
-def _s(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
-def _cat(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+RELKIND = "CASE p_partkey % 10 WHEN 7 THEN 'v' WHEN 8 THEN 'm' WHEN 9 THEN 'S' ELSE 'r' END"
 
 
 class _Derived:
-    """The derivations of one catalog state: a method per extract relation."""
+    """The derivations of one catalog state: a method per extract relation. ``n`` is the number
+    of parts, so every derived id of a relation falls on one."""
 
     def __init__(self, spark: SparkSession, sf: str, side: str):
         self.spark = spark
         self.sf = sf
         self.current = side == "current"
+        self._tables: dict[str, DataFrame] = {}
 
-    def table(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf, name)
+    def table(self, name: str, *, sized_by: str | None = None) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = table(self.spark, self.sf, name)
+        df = self._tables[name]
+        if sized_by is None:
+            return df
+        return df.withColumn("n", self.table(sized_by).select(F.count(F.lit(1))).scalar())
 
-    def size(self, name: str) -> Column:
-        return self.table(name).select(F.count(F.lit(1))).scalar()
-
-    def when_current(self, condition: Column, then, otherwise) -> Column:
-        return F.when(condition, then).otherwise(otherwise) if self.current else F.lit(otherwise)
-
-    @staticmethod
-    def relkind() -> Column:
-        pk = F.col("p_partkey")
-        return F.when(pk % 10 == 7, "v").when(pk % 10 == 8, "m").when(pk % 10 == 9, "S").otherwise("r")
+    def when_current(self, condition: str, then: str, otherwise: str) -> str:
+        return f"CASE WHEN {condition} THEN {then} ELSE {otherwise} END" if self.current else otherwise
 
     def schemata(self) -> DataFrame:
-        return self.namespace().select(F.col("nspname").alias("schema_name"))
+        return self.namespace().selectExpr("nspname as schema_name")
 
     def namespace(self) -> DataFrame:
-        nk = F.col("n_nationkey")
-        name = F.when(nk == 24, "pg_catalog").when(nk == 23, "information_schema").otherwise(F.col("n_name"))
-        return self.table("nation").select(nk.alias("oid"), name.alias("nspname"))
+        return self.table("nation").selectExpr(
+            "n_nationkey as oid",
+            "CASE n_nationkey WHEN 24 THEN 'pg_catalog' WHEN 23 THEN 'information_schema' ELSE n_name END as nspname",
+        )
 
     def relations(self) -> DataFrame:
         """Tables, views, materialized views and sequences from parts, indexes from customers."""
-        pk = F.col("p_partkey")
-        b = pk % 20
-        ck = F.col("c_custkey")
-        view = self.relkind().isin("v", "m")
-        owner = (F.col("p_size") + self.when_current(b == 2, 1, 0)) % 5
-        from_parts = self.table("part").where(b != (1 if self.current else 0)).select(
-            pk.alias("oid"),
-            (pk % 25).alias("relnamespace"),
-            _cat("t_", _s(pk), self.when_current(b == 3, "_new", "")).alias("relname"),
-            self.relkind().alias("relkind"),
-            F.lit(0).alias("relam"),
-            F.lit(0).alias("reltablespace"),
-            F.when(pk % 3 == 0, _cat("{", F.col("p_brand"), "=r/admin}")).alias("relacl"),
-            _cat("owner_", _s(owner)).alias("relowner"),
-            (F.col("p_size") % 2 == 0).alias("relispopulated"),
-            F.when(view, _cat(" SELECT  ", F.col("p_name"), "\n   FROM ", F.col("p_type"), ";")).alias("viewdef"),
+        new = self.when_current("p_partkey % 20 = 3", "'_new'", "''")
+        shift = self.when_current("p_partkey % 20 = 2", "1", "0")
+        from_parts = (
+            self.table("part")
+            .where(f"p_partkey % 20 <> {1 if self.current else 0}")
+            .selectExpr(
+                "p_partkey as oid",
+                "p_partkey % 25 as relnamespace",
+                f"concat('t_', p_partkey, {new}) as relname",
+                f"{RELKIND} as relkind",
+                "0 as relam",
+                "0 as reltablespace",
+                "CASE WHEN p_partkey % 3 = 0 THEN concat('{', p_brand, '=r/admin}') END as relacl",
+                f"concat('owner_', (p_size + {shift}) % 5) as relowner",
+                "p_size % 2 = 0 as relispopulated",
+                "CASE WHEN p_partkey % 10 IN (7, 8) "
+                "THEN concat(' SELECT  ', p_name, '\n   FROM ', p_type, ';') END as viewdef",
+            )
         )
-        from_customers = self.table("customer").select(
-            (ck + INDEX_BASE).alias("oid"),
-            ((ck % self.size("part")) % 25).alias("relnamespace"),
-            _cat("ix_", _s(ck)).alias("relname"),
-            F.lit("i").alias("relkind"),
-            (F.col("c_nationkey") % 5).alias("relam"),
-            (ck % 7).alias("reltablespace"),
-            F.lit(None).alias("relacl"),
-            F.lit("admin").alias("relowner"),
-            F.lit(True).alias("relispopulated"),
-            F.lit(None).alias("viewdef"),
+        from_customers = self.table("customer", sized_by="part").selectExpr(
+            "1000000000 + c_custkey as oid",
+            "(c_custkey % n) % 25 as relnamespace",
+            "concat('ix_', c_custkey) as relname",
+            "'i' as relkind",
+            "c_nationkey % 5 as relam",
+            "c_custkey % 7 as reltablespace",
+            "NULL as relacl",
+            "'admin' as relowner",
+            "true as relispopulated",
+            "NULL as viewdef",
         )
         return from_parts.unionByName(from_customers)
 
     def attribute(self) -> DataFrame:
-        ln, first = F.col("l_linenumber"), F.col("first_order")
-        typ = (first + ln) % 6
-        wider = self.when_current(first % 20 == 2, 5, 0)
+        new = self.when_current("first_order % 20 = 3", "'_new'", "''")
+        wider = self.when_current("first_order % 20 = 2", "5", "0")
         return (
             self.table("lineitem")
             .groupBy("l_partkey", "l_linenumber")
             .agg(F.min("l_orderkey").alias("first_order"), F.max("l_returnflag").alias("flag"))
-            .select(
-                F.col("l_partkey").alias("attrelid"),
-                ln.alias("attnum"),
-                _cat("c_", _s(first), "_", _s(ln), self.when_current(first % 20 == 3, "_new", "")).alias("attname"),
-                typ.alias("atttypid"),
-                F.when(typ == 0, 4 + 10 * ln + wider).when(typ == 3, 655366 + wider).otherwise(-1).alias("atttypmod"),
-                (F.col("flag") == "R").alias("attnotnull"),
-                (first % 37 == 0).alias("attisdropped"),
+            .selectExpr(
+                "l_partkey as attrelid",
+                "l_linenumber as attnum",
+                f"concat('c_', first_order, '_', l_linenumber, {new}) as attname",
+                "(first_order + l_linenumber) % 6 as atttypid",
+                f"CASE (first_order + l_linenumber) % 6 WHEN 0 THEN 4 + 10 * l_linenumber + {wider} "
+                f"WHEN 3 THEN 655366 + {wider} ELSE -1 END as atttypmod",
+                "flag = 'R' as attnotnull",
+                "first_order % 37 = 0 as attisdropped",
             )
         )
 
@@ -114,153 +107,130 @@ class _Derived:
         return self.spark.createDataFrame(list(enumerate(names)), "oid long, typname string")
 
     def attrdef(self) -> DataFrame:
-        return (
-            self.table("lineitem")
-            .where(F.col("l_linenumber") == 2)
-            .select("l_partkey")
-            .distinct()
-            .select(
-                F.col("l_partkey").alias("adrelid"),
-                F.lit(2).alias("adnum"),
-                _cat("nextval('s_", _s("l_partkey"), "')").alias("default_expr"),
-            )
+        numbered = self.table("lineitem").where("l_linenumber = 2").select("l_partkey").distinct()
+        return numbered.selectExpr(
+            "l_partkey as adrelid", "2 as adnum", "concat('nextval(\\'s_', l_partkey, '\\')') as default_expr"
         )
 
     def constraint(self) -> DataFrame:
-        od, n = F.col("o_orderkey"), self.size("part")
-        contype = (
-            F.when(od % 4 == 0, "p").when(od % 4 == 1, "u").when(od % 4 == 2, "f").when(od % 8 == 3, "c").otherwise("x")
-        )
-        one = F.lit(1).cast("long")
-        two_keys = (od % 5 == 0) & contype.isin("p", "u", "f")
-        return self.table("orders").select(
-            od.alias("oid"),
-            _cat("con_", _s(od)).alias("conname"),
-            (od % n).alias("conrelid"),
-            contype.alias("contype"),
-            F.when(two_keys, F.array(one, 2 + od % 3)).otherwise(F.array(one)).alias("conkey"),
-            F.when(contype == "f", (od * 7 + 3) % n).otherwise(0).alias("confrelid"),
-            F.when(two_keys & (contype == "f"), F.array(F.lit(2), F.lit(1)))
-            .when(contype == "f", F.array(F.lit(2)))
-            .alias("confkey"),
-            _cat("CHECK  (price\n > ", _s(od), ")").alias("definition"),
+        return self.table("orders", sized_by="part").selectExpr(
+            "o_orderkey as oid",
+            "concat('con_', o_orderkey) as conname",
+            "o_orderkey % n as conrelid",
+            "CASE WHEN o_orderkey % 4 = 0 THEN 'p' WHEN o_orderkey % 4 = 1 THEN 'u' WHEN o_orderkey % 4 = 2 THEN 'f' "
+            "WHEN o_orderkey % 8 = 3 THEN 'c' ELSE 'x' END as contype",
+            "CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 < 3 THEN array(1L, 2 + o_orderkey % 3) "
+            "ELSE array(1L) END as conkey",
+            "CASE WHEN o_orderkey % 4 = 2 THEN (o_orderkey * 7 + 3) % n ELSE 0 END as confrelid",
+            "CASE WHEN o_orderkey % 4 = 2 AND o_orderkey % 5 = 0 THEN array(2, 1) "
+            "WHEN o_orderkey % 4 = 2 THEN array(2) END as confkey",
+            "concat('CHECK  (price\n > ', o_orderkey, ')') as definition",
         )
 
     def proc(self) -> DataFrame:
         """Routines whose bodies are whole documents."""
-        doc, lang, body = F.col("doc_id"), F.col("lang"), F.col("text")
-        by_four = doc % 4
-        return self.table("documents").select(
-            doc.alias("oid"),
-            (doc % 25).alias("pronamespace"),
-            _cat("f_", _s(doc)).alias("proname"),
-            (doc % 3).alias("prolang"),
-            F.when(by_four == 0, "i").when(by_four == 1, "s").when(by_four == 2, "v").otherwise("x").alias("provolatile"),
-            F.when(by_four == 0, "r").when(by_four == 1, "s").when(by_four == 2, "u").otherwise("x").alias("proparallel"),
-            _cat("owner_", lang).alias("owner"),
-            F.when(doc % 3 == 0, _cat("{", F.col("source"), "=X}")).alias("proacl"),
-            (doc % 2 == 0).alias("prosecdef"),
-            F.when(doc % 5 == 0, F.array(F.lit("work_mem=1"), _cat("lang=", lang))).alias("config"),
-            _cat("a integer, b ", lang).alias("args"),
-            _cat("integer, ", lang).alias("identity_args"),
-            F.lit("void").alias("return_type"),
-            _cat("  ", body, "  ").alias("prosrc"),
-            _cat(
-                "CREATE FUNCTION f()\n AS $function$ DECLARE x int; BEGIN ", body, ";\n RETURN  x; END;\n $function$"
-            ).alias("functiondef"),
+        return self.table("documents").selectExpr(
+            "doc_id as oid",
+            "doc_id % 25 as pronamespace",
+            "concat('f_', doc_id) as proname",
+            "doc_id % 3 as prolang",
+            "substr('isvx', cast(doc_id % 4 as int) + 1, 1) as provolatile",
+            "substr('rsux', cast(doc_id % 4 as int) + 1, 1) as proparallel",
+            "concat('owner_', lang) as owner",
+            "CASE WHEN doc_id % 3 = 0 THEN concat('{', source, '=X}') END as proacl",
+            "doc_id % 2 = 0 as prosecdef",
+            "CASE WHEN doc_id % 5 = 0 THEN array('work_mem=1', concat('lang=', lang)) END as config",
+            "concat('a integer, b ', lang) as args",
+            "concat('integer, ', lang) as identity_args",
+            "'void' as return_type",
+            "concat('  ', text, '  ') as prosrc",
+            "concat('CREATE FUNCTION f()\n AS $function$ DECLARE x int; BEGIN ', text, "
+            "';\n RETURN  x; END;\n $function$') as functiondef",
         )
 
     def language(self) -> DataFrame:
-        rk = F.col("r_regionkey")
-        name = F.when(rk == 0, "sql").when(rk == 1, "plpgsql").otherwise(_cat("lang_", _s(rk)))
-        return self.table("region").select(rk.alias("oid"), name.alias("lanname"))
+        return self.table("region").selectExpr(
+            "r_regionkey as oid",
+            "CASE r_regionkey WHEN 0 THEN 'sql' WHEN 1 THEN 'plpgsql' ELSE concat('lang_', r_regionkey) END as lanname",
+        )
 
     def depend(self) -> DataFrame:
         """Dependencies of routines (orders), view rules and sequences (lineitem)."""
-        od, ok, ln = F.col("o_orderkey"), F.col("l_orderkey"), F.col("l_linenumber")
-        n = self.size("part")
-        rel = ok % n
-        line = self.table("lineitem")
-        of_routines = self.table("orders").select(
-            F.lit(1255).alias("classid"),
-            (od % self.size("documents")).alias("objid"),
-            F.when(od % 3 == 0, 1259).otherwise(1247).alias("refclassid"),
-            od.alias("refobjid"),
-            (od % 4).alias("refobjsubid"),
-            _cat("t_", _s(od)).alias("ref_name"),
-            F.lit("n").alias("deptype"),
+        line = self.table("lineitem", sized_by="part").withColumn("rel", F.expr("l_orderkey % n"))
+        of_routines = self.table("orders", sized_by="documents").selectExpr(
+            "1255 as classid",
+            "o_orderkey % n as objid",
+            "CASE WHEN o_orderkey % 3 = 0 THEN 1259 ELSE 1247 END as refclassid",
+            "o_orderkey as refobjid",
+            "o_orderkey % 4 as refobjsubid",
+            "concat('t_', o_orderkey) as ref_name",
+            "'n' as deptype",
         )
-        of_rules = line.where((rel % 10).isin(7, 8)).select(
-            F.lit(2618).alias("classid"),
-            (rel + RULE_BASE).alias("objid"),
-            F.lit(1259).alias("refclassid"),
-            ((ok * 7 + ln * 13) % n).alias("refobjid"),
-            ln.alias("refobjsubid"),
-            F.lit(None).alias("ref_name"),
-            F.lit("n").alias("deptype"),
+        of_rules = line.where("rel % 10 IN (7, 8)").selectExpr(
+            "2618 as classid",
+            "2000000000 + rel as objid",
+            "1259 as refclassid",
+            "(l_orderkey * 7 + l_linenumber * 13) % n as refobjid",
+            "l_linenumber as refobjsubid",
+            "NULL as ref_name",
+            "'n' as deptype",
         )
-        of_sequences = line.where(rel % 20 == 9).select(
-            F.lit(1259).alias("classid"),
-            rel.alias("objid"),
-            F.lit(1259).alias("refclassid"),
-            ((ok * 3 + ln) % n).alias("refobjid"),
-            (ln - 1).alias("refobjsubid"),
-            F.lit(None).alias("ref_name"),
-            F.when(ln % 3 == 0, "i").when(ln % 3 == 1, "a").otherwise("n").alias("deptype"),
+        of_sequences = line.where("rel % 20 = 9").selectExpr(
+            "1259 as classid",
+            "rel as objid",
+            "1259 as refclassid",
+            "(l_orderkey * 3 + l_linenumber) % n as refobjid",
+            "l_linenumber - 1 as refobjsubid",
+            "NULL as ref_name",
+            "CASE l_linenumber % 3 WHEN 0 THEN 'i' WHEN 1 THEN 'a' ELSE 'n' END as deptype",
         )
         return of_routines.unionByName(of_rules).unionByName(of_sequences)
 
     def rewrite(self) -> DataFrame:
-        pk = F.col("p_partkey")
-        views = self.table("part").where(self.relkind().isin("v", "m"))
-        return views.select((pk + RULE_BASE).alias("oid"), pk.alias("ev_class"))
+        views = self.table("part").where("p_partkey % 10 IN (7, 8)")
+        return views.selectExpr("2000000000 + p_partkey as oid", "p_partkey as ev_class")
 
     def index(self) -> DataFrame:
-        ck = F.col("c_custkey")
-        return self.table("customer").select(
-            (ck + INDEX_BASE).alias("indexrelid"),
-            (ck % self.size("part")).alias("indrelid"),
-            F.array(4 + ck % 2, ck % 3).alias("indkey"),
-            (ck % 2 == 0).alias("indisunique"),
-            (ck % 5 == 0).alias("indisprimary"),
-            _cat("CREATE INDEX  ix_", _s(ck), " ON\n t ( a,  b )").alias("indexdef"),
-            F.when(ck % 4 == 0, _cat("(a  >  ", _s(ck), ")")).alias("predicate"),
+        return self.table("customer", sized_by="part").selectExpr(
+            "1000000000 + c_custkey as indexrelid",
+            "c_custkey % n as indrelid",
+            "array(4 + c_custkey % 2, c_custkey % 3) as indkey",
+            "c_custkey % 2 = 0 as indisunique",
+            "c_custkey % 5 = 0 as indisprimary",
+            "concat('CREATE INDEX  ix_', c_custkey, ' ON\n t ( a,  b )') as indexdef",
+            "CASE WHEN c_custkey % 4 = 0 THEN concat('(a  >  ', c_custkey, ')') END as predicate",
         )
 
     def am(self) -> DataFrame:
-        rk = F.col("r_regionkey")
-        return self.table("region").select(rk.alias("oid"), _cat("am_", _s(rk)).alias("amname"))
+        return self.table("region").selectExpr("r_regionkey as oid", "concat('am_', r_regionkey) as amname")
 
     def tablespace(self) -> DataFrame:
-        rk = F.col("r_regionkey")
-        return self.table("region").select(rk.alias("oid"), _cat("ts_", _s(rk)).alias("spcname"))
+        return self.table("region").selectExpr("r_regionkey as oid", "concat('ts_', r_regionkey) as spcname")
 
     def sequence(self) -> DataFrame:
-        size = F.col("p_size")
-        return self.table("part").where(self.relkind() == "S").select(
-            F.col("p_partkey").alias("seqrelid"),
-            F.lit(1).alias("seqstart"),
-            F.lit(1).alias("seqmin"),
-            (size * 1000).alias("seqmax"),
-            (1 + size % 3).alias("seqincrement"),
-            F.lit(1).alias("seqcache"),
-            (size % 2 == 0).alias("seqcycle"),
-            F.lower("p_type").alias("type_name"),
+        return self.table("part").where("p_partkey % 10 = 9").selectExpr(
+            "p_partkey as seqrelid",
+            "1 as seqstart",
+            "1 as seqmin",
+            "p_size * 1000 as seqmax",
+            "1 + p_size % 3 as seqincrement",
+            "1 as seqcache",
+            "p_size % 2 = 0 as seqcycle",
+            "lower(p_type) as type_name",
         )
 
     def trigger(self) -> DataFrame:
-        ev = F.col("event_id")
-        return self.table("events").select(
-            ev.alias("oid"),
-            (ev % self.size("part")).alias("tgrelid"),
-            _cat("trg_", _s(ev)).alias("tgname"),
-            ((ev * 3) % 128).alias("tgtype"),
-            F.when(F.col("event_type") == "error", "D").otherwise("O").alias("tgenabled"),
-            (ev % 11 == 0).alias("tgisinternal"),
-            _cat("CREATE  TRIGGER trg_", _s(ev), "\n ON ", F.col("event_type")).alias("triggerdef"),
-            _cat("fn_", _s(F.col("user_id") % 10)).alias("function_name"),
-            F.lit("").alias("function_args"),
-            _cat("CREATE  FUNCTION\n ", F.col("props")).alias("functiondef"),
+        return self.table("events", sized_by="part").selectExpr(
+            "event_id as oid",
+            "event_id % n as tgrelid",
+            "concat('trg_', event_id) as tgname",
+            "(event_id * 3) % 128 as tgtype",
+            "CASE WHEN event_type = 'error' THEN 'D' ELSE 'O' END as tgenabled",
+            "event_id % 11 = 0 as tgisinternal",
+            "concat('CREATE  TRIGGER trg_', event_id, '\n ON ', event_type) as triggerdef",
+            "concat('fn_', user_id % 10) as function_name",
+            "'' as function_args",
+            "concat('CREATE  FUNCTION\n ', props) as functiondef",
         )
 
 
@@ -272,6 +242,8 @@ def extracts(spark: SparkSession, sf: str, side: str = "current", db: str = "mai
     def build(name: str) -> DataFrame:
         df = getattr(derived, "relations" if name == "class" else name)()
         fields = EXTRACT_SCHEMAS[name].fields
-        return df.select(F.lit(db).alias(DB), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+        return df.selectExpr(
+            f"'{db}' as {DB}", *[f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}" for f in fields]
+        )
 
     return LazyExtracts({name: partial(build, name) for name in EXTRACT_SCHEMAS})

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.operators.fingerprints import fp_rows
@@ -16,90 +16,73 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def money(c: Column) -> Column:
-    return c.cast("decimal(18,2)")
-
-
-def _changed(side: str, b: Column, payload: Column, step: int) -> Column:
+def _price(side: str, b: str, price: str) -> str:
     if side == "previous":
-        return payload
-    return F.when(b == 2, (payload + step).cast("decimal(18,2)")).otherwise(payload)
+        return price
+    return f"CASE WHEN {b} = 2 THEN cast({price} + 1 as decimal(18,2)) ELSE {price} END"
 
 
-def _name(side: str, b: Column, name: Column) -> Column:
-    return F.when(b == 3, F.concat(name, F.lit("_new"))).otherwise(name) if side == "current" else name
+def _name(side: str, b: str, name: str) -> str:
+    return f"concat({name}, CASE WHEN {b} = 3 THEN '_new' ELSE '' END)" if side == "current" else name
 
 
-def _present(side: str, b: Column) -> Column:
-    return b != (1 if side == "current" else 0)
+def _present(side: str, b: str) -> str:
+    return f"{b} <> {1 if side == 'current' else 0}"
 
 
 def orders_state(spark: SparkSession, sf: str, side: str) -> DataFrame:
     """Child rows with unique keys."""
-    k = F.col("o_orderkey")
-    b = k % 20
-    price = _changed(side, b, money(F.col("o_totalprice")), 1)
-    details = F.concat(
-        F.lit("price:"), price.cast("string"),
-        F.lit(",prio:"), F.col("o_orderpriority"),
-        F.lit(",ordinal_position:"), k.cast("string"),
-    )
+    b = "o_orderkey % 20"
+    price = _price(side, b, "cast(o_totalprice as decimal(18,2))")
     keys = {
         "schema_name": F.col("o_orderstatus"),
         "object_type": "Table",
-        "object_type_name": F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")),
+        "object_type_name": F.expr("concat('cust_', o_custkey)"),
         "object_subtype": "Column",
-        "object_subtype_name": _name(side, b, F.concat(F.lit("order_"), k.cast("string"))),
+        "object_subtype_name": F.expr(_name(side, b, "concat('order_', o_orderkey)")),
     }
-    return fp_rows(table(spark, sf, "orders").where(_present(side, b)), keys, details)
+    details = f"concat('price:', {price}, ',prio:', o_orderpriority, ',ordinal_position:', o_orderkey)"
+    return fp_rows(table(spark, sf, "orders").where(_present(side, b)), keys, F.expr(details))
 
 
 def lineitem_state(spark: SparkSession, sf: str, side: str) -> DataFrame:
     """Child rows with repeated keys. Rows are made distinct while they are still numbers: the
     shuffle is narrow and the text is built after it."""
-    line = F.col("l_linenumber").cast("string")
-    b = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 20
+    b = "(l_orderkey * 7 + l_linenumber) % 20"
     rows = (
         table(spark, sf, "lineitem")
         .where(_present(side, b))
-        .select(
+        .selectExpr(
             "l_returnflag",
             "l_orderkey",
             "l_linenumber",
-            money(F.col("l_quantity")).alias("qty"),
-            money(F.col("l_extendedprice")).alias("price"),
+            "cast(l_quantity as decimal(18,2)) as qty",
+            "cast(l_extendedprice as decimal(18,2)) as price",
         )
         .distinct()
     )
-    details = F.concat(
-        F.lit("qty:"), F.col("qty").cast("string"),
-        F.lit(",price:"), _changed(side, b, F.col("price"), 1).cast("string"),
-        F.lit(",ordinal_position:"), line,
-    )
     keys = {
         "schema_name": F.col("l_returnflag"),
         "object_type": "Table",
-        "object_type_name": F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")),
+        "object_type_name": F.expr("concat('order_', l_orderkey)"),
         "object_subtype": "Column",
-        "object_subtype_name": _name(side, b, F.concat(F.lit("line_"), line)),
+        "object_subtype_name": F.expr(_name(side, b, "concat('line_', l_linenumber)")),
     }
-    return fp_rows(rows, keys, details)
+    details = f"concat('qty:', qty, ',price:', {_price(side, b, 'price')}, ',ordinal_position:', l_linenumber)"
+    return fp_rows(rows, keys, F.expr(details))
 
 
 def part_state(spark: SparkSession, sf: str, side: str) -> DataFrame:
     """Entity rows whose MD5s collide within a brand and type."""
-    k = F.col("p_partkey")
-    b = k % 20
-    size = F.col("p_size").cast("long")
-    if side == "current":
-        size = F.when(b == 2, size + 100).otherwise(size)
+    b = "p_partkey % 20"
+    size = f"CASE WHEN {b} = 2 THEN p_size + 100 ELSE p_size END" if side == "current" else "p_size"
     keys = {
         "schema_name": F.col("p_brand"),
         "object_type": F.col("p_type"),
-        "object_type_name": _name(side, b, F.concat(F.col("p_name"), F.lit("#"), k.cast("string"))),
+        "object_type_name": F.expr(_name(side, b, "concat(p_name, '#', p_partkey)")),
     }
-    details = F.concat(F.lit("size:"), size.cast("string"))
-    return fp_rows(table(spark, sf, "part").where(_present(side, b)), keys, details)
+    rows = table(spark, sf, "part").where(_present(side, b))
+    return fp_rows(rows, keys, F.expr(f"concat('size:', {size})"))
 
 
 def both(state, spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
