@@ -17,7 +17,7 @@ The comparison runs in two steps:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +82,7 @@ def locate(
     *,
     collision_safe: bool,
     unchanged: bool = False,
+    settle: Callable[[str, DataFrame], DataFrame] = lambda _, df: df,
 ) -> DataFrame:
     """Key, MD5, change type, copies and previous name of every change; at most one row per key,
     MD5 and change type.
@@ -91,16 +92,24 @@ def locate(
     row with its key but another MD5; the old name of a rename is DELETED as well. With it a
     rename needs the MD5 to be unique on both sides, a modification the name, and the old name of
     a rename is not reported again.
+
+    ``settle`` may write an intermediate result and return it as read back. The versions are then
+    shuffled once for all their uses, and what they are joined with has a measured size.
     """
     keys = list(keys)
     *parent, name = keys
     out = [*keys, MD5, CHANGE, "copies", PREVIOUS_NAME]
-    v = versions(current, previous, keys)
+    v = settle("versions", versions(current, previous, keys))
 
     # A key is untouched when one version of it is on both sides; an MD5 is a candidate for a
     # rename when several names hold it and it is on both sides.
-    by_key = _totals(v, keys, "key").where("key_rows > 1 OR key_cur = 0 OR key_prev = 0")
-    by_md5 = _totals(v, [*parent, MD5], "md5").where("md5_rows > 1 AND md5_cur > 0 AND md5_prev > 0")
+    by_key = settle(
+        "touched_keys", _totals(v, keys, "key").where("key_rows > 1 OR key_cur = 0 OR key_prev = 0")
+    )
+    by_md5 = settle(
+        "shared_md5s",
+        _totals(v, [*parent, MD5], "md5").where("md5_rows > 1 AND md5_cur > 0 AND md5_prev > 0"),
+    )
 
     if collision_safe:
         pairs = (

@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "smallint": T.ShortType(),
+    "boolean": T.BooleanType(),
+    "double": T.DoubleType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "array<smallint>": T.ArrayType(T.ShortType()),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """``name type, ...`` as a schema; unlike fromDDL it needs no session."""
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 DB = "source_db"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import labels
@@ -76,12 +76,12 @@ def _schemata_sql(where: str) -> str:
     )
 
 
-def _types(**columns) -> Callable[[SparkSession, str], DataFrame]:
+def _types(**columns: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         x = extracts(spark, sf)
         typ = x["type"].select(F.col("oid").alias("atttypid"), "typname")
         return x["attribute"].join(typ, "atttypid").select(
-            "attrelid", "attnum", *[c.alias(n) for n, c in columns.items()]
+            "attrelid", "attnum", *[c().alias(n) for n, c in columns.items()]
         )
 
     return run
@@ -185,15 +185,15 @@ def queries() -> dict[str, Query]:
             _sql(f"SELECT * FROM x_f_{kind}", **{kind: where}),
         )
 
-    out["norm_type_name"] = (_types(data_type=labels.type_name("typname")), _types_sql(_TYPE_NAME))
+    out["norm_type_name"] = (_types(data_type=lambda: labels.type_name("typname")), _types_sql(_TYPE_NAME))
     out["norm_type_length"] = (
-        _types(max_length=labels.type_length("typname", "atttypmod")),
+        _types(max_length=lambda: labels.type_length("typname", "atttypmod")),
         _types_sql("CASE WHEN typname = 'varchar' THEN atttypmod - 4 END AS max_length"),
     )
     out["norm_precision_scale"] = (
         _types(
-            numeric_precision=labels.numeric_precision("typname", "atttypmod"),
-            numeric_scale=labels.numeric_scale("typname", "atttypmod"),
+            numeric_precision=lambda: labels.numeric_precision("typname", "atttypmod"),
+            numeric_scale=lambda: labels.numeric_scale("typname", "atttypmod"),
         ),
         _types_sql(
             "CASE typname WHEN 'numeric' THEN ((atttypmod - 4) >> 16) & 65535 WHEN 'int4' THEN 32 "

@@ -93,8 +93,15 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return diff.diff_child(*both(orders_state, spark, sf))
 
 
+def _written(spark: SparkSession, sf: str, state) -> tuple[DataFrame, DataFrame]:
+    """Both states, written before they are compared as a run does it: each is read twice."""
+    store = _store(spark)
+    current, previous = both(state, spark, sf)
+    return store.write_scratch("current", current), store.write_scratch("previous", previous)
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return diff.diff_child(*both(lineitem_state, spark, sf))
+    return diff.diff_child(*_written(spark, sf, lineitem_state))
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +125,7 @@ def _counts_sql(by: tuple[str, ...], prefix: str) -> str:
 
 
 def _unchanged(spark: SparkSession, sf: str) -> DataFrame:
-    found = diff.diff_child(*both(lineitem_state, spark, sf), unchanged=True)
+    found = diff.diff_child(*_written(spark, sf, lineitem_state), unchanged=True)
     return found.where(F.col("change_type") == "UNCHANGED")
 
 
@@ -132,11 +139,7 @@ def _catalog_diff(level: str) -> Callable[[SparkSession, str], DataFrame]:
     operator = diff.diff_child if level == "child" else diff.diff_entity
 
     def go(spark: SparkSession, sf: str) -> DataFrame:
-        store = _store(spark)
-        current, previous = (
-            store.write_scratch(side, union(extracts(spark, sf, side)).drop(DB)) for side in ("current", "previous")
-        )
-        return operator(current, previous)
+        return operator(*_written(spark, sf, lambda _, __, side: union(extracts(spark, sf, side)).drop(DB)))
 
     return go
 
