@@ -22,6 +22,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.operators.joins import skew_join
 from driftmark.schemas import CHILD_KEYS, DB, ENTITY_KEYS, FINGERPRINT_COLUMNS
 
 MD5 = "object_md5"
@@ -113,7 +114,7 @@ def locate(
 
     if collision_safe:
         pairs = (
-            v.join(by_md5.where("md5_cur = 1 AND md5_prev = 1"), [*parent, MD5])
+            skew_join(v, by_md5.where("md5_cur = 1 AND md5_prev = 1"), [*parent, MD5])
             .groupBy(*parent, MD5)
             .agg(
                 F.expr(f"max(CASE WHEN n_cur = 1 THEN {name} END) as new_name"),
@@ -129,7 +130,7 @@ def locate(
         modified, modified_copies = "key_cur = 1 AND key_prev = 1 AND n_cur = 1", "1L"
     else:
         renamed = (
-            v.join(by_md5, [*parent, MD5])
+            skew_join(v, by_md5, [*parent, MD5])
             .where("n_cur > 0 AND md5_prev > n_prev")
             .selectExpr(
                 *keys, MD5, f"'RENAMED' as {CHANGE}", "md5_prev - n_prev as copies",
@@ -139,22 +140,19 @@ def locate(
         taken = renamed.selectExpr(*keys, f"'ADDED' as {CHANGE}")
         modified, modified_copies = "n_cur > 0 AND key_prev > n_prev", "key_prev - n_prev"
 
-    other = (
-        v.join(by_key, keys)
-        .selectExpr(
-            "*",
-            f"CASE WHEN {modified} THEN 'MODIFIED' WHEN key_prev = 0 THEN 'ADDED' "
-            f"WHEN key_cur = 0 THEN 'DELETED' END as {CHANGE}",
-        )
-        .where(f"{CHANGE} IS NOT NULL")
-        .join(taken.distinct(), [*keys, CHANGE], "left_anti")
-        .selectExpr(
-            *keys,
-            MD5,
-            CHANGE,
-            f"CASE WHEN {CHANGE} = 'MODIFIED' THEN {modified_copies} ELSE 1L END as copies",
-            f"CASE WHEN {CHANGE} <> 'ADDED' THEN {name} END as {PREVIOUS_NAME}",
-        )
+    at_key = skew_join(v, by_key, keys).selectExpr(
+        "*",
+        f"CASE WHEN {modified} THEN 'MODIFIED' WHEN key_prev = 0 THEN 'ADDED' "
+        f"WHEN key_cur = 0 THEN 'DELETED' END as {CHANGE}",
+    )
+    other = skew_join(
+        at_key.where(f"{CHANGE} IS NOT NULL"), taken.distinct(), [*keys, CHANGE], "left_anti"
+    ).selectExpr(
+        *keys,
+        MD5,
+        CHANGE,
+        f"CASE WHEN {CHANGE} = 'MODIFIED' THEN {modified_copies} ELSE 1L END as copies",
+        f"CASE WHEN {CHANGE} <> 'ADDED' THEN {name} END as {PREVIOUS_NAME}",
     )
     located = renamed.select(*out).unionByName(other)
     if unchanged:

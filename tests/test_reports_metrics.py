@@ -145,6 +145,15 @@ def test_column_impact_splits_a_long_list(spark):
     assert [r.part for r in reports.report_column_impact(df).collect()] == [0]
 
 
+def test_column_impact_splits_a_repeated_dependent(spark):
+    """One dependent text 1,000 times over: chunks of it go to several parts."""
+    rows = [(1, "s", "Table", "t", "Column", "c", "", "MODIFIED")]
+    rows += [(1, "s", "Table", "t", "Index", "ix", "on c", "ADDED")] * 1000
+    parts = reports.report_column_impact(log(spark, rows), part_size=100).collect()
+    assert len(parts) > 1 and sum(r.dependent_count for r in parts) == 1000
+    assert [x for r in parts for x in r.dependent_objects.split("; ")] == ["INDEX: ix (ADDED)"] * 1000
+
+
 def test_dependents_come_from_the_whole_window(spark):
     rows = [
         (1, "s", "Table", "t", "Column", "c", "", "MODIFIED"),

@@ -185,3 +185,27 @@ def test_lifecycle_of_an_empty_registry(spark, store):
     assert lifecycle.prev_snapshot(registry, 3).first()[0] is None
     assert not lifecycle.ran_on(registry, F.lit(DAY1.date())).first()[0]
     assert store.next_snapshot(DAY1)[0] == 1
+
+
+def test_run_over_the_catalogs_of_two_databases(spark):
+    """One run covers both; a change in one database is a change of that one only."""
+    from test_catalog import ROWS
+
+    from driftmark.schemas import EXTRACT_SCHEMAS
+    from driftmark.sources.extracts import combine_databases
+
+    def extract(**changed):
+        return {n: spark.createDataFrame(changed.get(n, r), EXTRACT_SCHEMAS[n]) for n, r in ROWS.items()}
+
+    renamed = [r if r[2] != "code" else (*r[:2], "code2", *r[3:]) for r in ROWS["attribute"]]
+    store = SnapshotStore(spark, shared_folder(spark), multi_db=True)
+    first = combine_databases({"a": extract(), "b": extract()})
+    second = combine_databases({"a": extract(), "b": extract(attribute=renamed)})
+    run(store, CurrentState.of_catalog(first), now=DAY1)
+    run(store, CurrentState.of_catalog(second), now=DAY2)
+    rows = store.read_snapshot(CHANGES, 2).collect()
+    assert {r.source_db for r in rows} == {"b"}
+    found = {(r.change_type, r.object_subtype, r.object_subtype_name) for r in rows}
+    assert {("RENAMED", "Column", "code2"), ("DELETED", "Column", "code")} <= found
+    totals = store.read_snapshot(METRICS, 2).where("metric_name = 'Total Change Operations'").collect()
+    assert {r.source_db: r.metric_value > 0 for r in totals} == {"a": False, "b": True}

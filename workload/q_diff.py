@@ -289,7 +289,7 @@ def _rollback(spark: SparkSession, sf: str) -> DataFrame:
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of a part of the log, then those of all of it over them; others stay."""
     store = _store(spark)
-    log, staged = _logs(spark, sf), _states(spark, sf, "current")
+    log, staged = store.write_scratch("log", _logs(spark, sf)), _states(spark, sf, "current")
     store.upsert_metrics(4, metrics_object(log.where(F.col("schema_name") != "O")), FIRST)
     store.upsert_metrics(4, metrics_base(log, staged), FIRST)
     return store.upsert_metrics(4, metrics_object(log), FIRST).drop("metrics_time")
@@ -402,8 +402,10 @@ def queries() -> dict[str, Query]:
         out[f"diff_{level}_catalog"] = (_catalog_diff(level), _catalog_diff_sql(level))
 
     def metric(operator, *, staged: bool) -> Callable[[SparkSession, str], DataFrame]:
+        """Metrics of a written log, which they read several times."""
         return lambda spark, sf: operator(
-            _logs(spark, sf), *([_states(spark, sf, "current")] if staged else [])
+            _store(spark).write_scratch("log", _logs(spark, sf)),
+            *([_states(spark, sf, "current")] if staged else []),
         )
 
     out["metrics_base"] = (metric(metrics_base, staged=True), statement(LEVELS, BASE_SQL))
