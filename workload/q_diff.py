@@ -94,10 +94,14 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str, state) -> tuple[DataFrame, DataFrame]:
-    """Both states, written before they are compared as a run does it: each is read twice."""
-    store = _store(spark)
+    """Both states, written by one job before they are compared: each is read twice. A file holds
+    one side only, so the filter on the side skips the other one's."""
     current, previous = both(state, spark, sf)
-    return store.write_scratch("current", current), store.write_scratch("previous", previous)
+    sides = current.withColumn("is_current", F.lit(True)).unionByName(
+        previous.withColumn("is_current", F.lit(False))
+    )
+    stored = _store(spark).write_scratch("states", sides)
+    return stored.where("is_current").drop("is_current"), stored.where("NOT is_current").drop("is_current")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
