@@ -131,3 +131,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failure_bits & 3 <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits::BIGINT AS failure_bits
 FROM bits
 """
+
+DECONTAMINATE_SQL = rf"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, w FROM (
+    SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark) WHERE len(w) > 0
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - 8, 2))) AS i)
+), docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), sizes AS (
+  SELECT DISTINCT size FROM phrases
+), places AS (
+  SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size
+), hits AS (
+  SELECT p.doc_id, p.i, p.size, f.item_id
+  FROM (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM places) p
+  JOIN phrases f ON f.size = p.size AND f.phrase = p.phrase
+), covered AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+       sha256(coalesce(f.list, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
