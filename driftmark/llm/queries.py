@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, line_dedup, quality, simhash, url_filter
+from driftmark.llm import decontaminate, language, line_dedup, quality, simhash, url_filter
 from driftmark.llm.sql import DECONTAMINATE_SQL, LINE_DEDUP_SQL, QUALITY_SQL, URL_SQL
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -59,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Query name to (function of session and data folder, SQL or None)."""
     return {
+        "op1_language": (op1_language, None),
         "op3_url_filter": (op3_url_filter, URL_SQL),
         "op5_decontaminate": (op5_decontaminate, DECONTAMINATE_SQL),
         "op6_line_dedup": (op6_line_dedup, LINE_DEDUP_SQL),
