@@ -92,7 +92,7 @@ def test_nothing_is_learned_from_held_out_rows(spark):
 
 
 def test_few_labels(spark):
-    docs = spark.createDataFrame([(1, "abc", None), (2, "x", "en")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "abc", None), (2, "xyz", "en")], "doc_id long, text string, lang string")
     assert lg.identify(docs.limit(0)).count() == 0
     none = lg.predict(docs, lg.train(docs.where("lang = 'q'")))
     assert {r.lang_pred for r in none.collect()} == {"und"}
