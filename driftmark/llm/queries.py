@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, language, line_dedup, quality, simhash, url_filter
+from driftmark.llm import decontaminate, language, line_dedup, pieces, quality, simhash, token_counts, url_filter
 from driftmark.llm.sql import DECONTAMINATE_SQL, LINE_DEDUP_SQL, QUALITY_SQL, URL_SQL
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -17,6 +17,9 @@ URL_RULES: tuple[url_filter.Rule, ...] = (
     ("allow", "org", "/fr/"),
 )
 
+# A public model file, read on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +53,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -68,6 +75,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op3_url_filter": (op3_url_filter, URL_SQL),
         "op5_decontaminate": (op5_decontaminate, DECONTAMINATE_SQL),
         "op6_line_dedup": (op6_line_dedup, LINE_DEDUP_SQL),
+        "op7_token_counts": (op7_token_counts, None),
         "op9_quality_rules": (op9_quality_rules, QUALITY_SQL),
         "op10_simhash": (op10_simhash, None),
     }
