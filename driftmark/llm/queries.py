@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, language, line_dedup, pieces, quality, simhash, token_counts, url_filter
+from driftmark.llm import (
+    decontaminate,
+    html_extract,
+    language,
+    line_dedup,
+    pieces,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from driftmark.llm.sql import DECONTAMINATE_SQL, LINE_DEDUP_SQL, QUALITY_SQL, URL_SQL
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
@@ -30,6 +40,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -72,6 +86,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
     """Query name to (function of session and data folder, SQL or None)."""
     return {
         "op1_language": (op1_language, None),
+        "op2_html_extract": (op2_html_extract, None),
         "op3_url_filter": (op3_url_filter, URL_SQL),
         "op5_decontaminate": (op5_decontaminate, DECONTAMINATE_SQL),
         "op6_line_dedup": (op6_line_dedup, LINE_DEDUP_SQL),
