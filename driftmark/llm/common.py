@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ class Scratch:
     def read(self, table: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files of finished steps: it does so when the JVM has collected
+        what refers to them, which a driver with little to do may never get to by itself."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))

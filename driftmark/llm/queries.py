@@ -15,10 +15,11 @@ from driftmark.llm import (
     pieces,
     quality,
     simhash,
+    suffix_dedup,
     token_counts,
     url_filter,
 )
-from driftmark.llm.sql import DECONTAMINATE_SQL, LINE_DEDUP_SQL, QUALITY_SQL, URL_SQL
+from driftmark.llm.sql import DECONTAMINATE_SQL, LINE_DEDUP_SQL, QUALITY_SQL, SUFFIX_SQL, URL_SQL
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
     ("block", "net", "/"),
@@ -71,6 +72,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -91,6 +96,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op5_decontaminate": (op5_decontaminate, DECONTAMINATE_SQL),
         "op6_line_dedup": (op6_line_dedup, LINE_DEDUP_SQL),
         "op7_token_counts": (op7_token_counts, None),
+        "op8_suffix_dedup": (op8_suffix_dedup, SUFFIX_SQL),
         "op9_quality_rules": (op9_quality_rules, QUALITY_SQL),
         "op10_simhash": (op10_simhash, None),
     }

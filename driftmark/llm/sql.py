@@ -163,3 +163,29 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.
        sha256(coalesce(f.list, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
 FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
 """
+
+SUFFIX_SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM docs)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_id FROM windows)
+  WHERE doc_id > first_id
+), covered AS (
+  SELECT DISTINCT doc_id, i + o AS i FROM repeated, (SELECT unnest(range(0, 50)) AS o)
+), bytes AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM docs)
+), kept AS (
+  SELECT b.doc_id, string_agg(b.b, '' ORDER BY b.i) AS h
+  FROM bytes b LEFT JOIN covered c ON c.doc_id = b.doc_id AND c.i = b.i WHERE c.i IS NULL GROUP BY b.doc_id
+), gone AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < i - 1) AS n_spans
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM covered) GROUP BY doc_id
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(g.n_removed, 0) AS n_removed,
+       coalesce(g.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM docs d LEFT JOIN gone g ON g.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
