@@ -122,7 +122,8 @@ def dedup_lines(
     lost = lines.join(hot, list(KEY)).where("doc_id is null or doc_id <> last_doc")
     per_doc = lost.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct(*KEY)).alias("lost"))
     per_doc = scratch.settle("lost", per_doc)
-    rows = docs.join(per_doc, docs.doc_id.eqNullSafe(per_doc.lost_id), "left")
+    # Merged at every size: a broadcast that holds for small tables alone would change the plan.
+    rows = docs.join(per_doc.hint("merge"), docs.doc_id.eqNullSafe(per_doc.lost_id), "left")
     whole = F.coalesce("text", F.lit(""))
 
     def keeps(line: Column) -> Column:
