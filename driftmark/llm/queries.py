@@ -11,6 +11,7 @@ from driftmark.llm import (
     decontaminate,
     html_extract,
     language,
+    lattice,
     line_dedup,
     pieces,
     quality,
@@ -50,6 +51,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(PIECE_MODEL)
+    found = lattice.round_trip(lattice.encode(_table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
@@ -93,6 +100,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op1_language": (op1_language, None),
         "op2_html_extract": (op2_html_extract, None),
         "op3_url_filter": (op3_url_filter, URL_SQL),
+        "op4_sentencepiece": (op4_sentencepiece, None),
         "op5_decontaminate": (op5_decontaminate, DECONTAMINATE_SQL),
         "op6_line_dedup": (op6_line_dedup, LINE_DEDUP_SQL),
         "op7_token_counts": (op7_token_counts, None),

@@ -4,10 +4,8 @@ import random
 import re
 
 import pytest
-import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from sentencepiece import sentencepiece_model_pb2
 
 from driftmark.llm import pieces as pc
 from driftmark.llm.queries import PIECE_MODEL
@@ -16,19 +14,6 @@ from driftmark.llm.token_counts import PrefixTrie, token_counts
 PIECES = pc.load(PIECE_MODEL)
 
 
-@pytest.fixture(scope="session")
-def unigram():
-    """The library's own encoder, told to read the same pieces and scores as a unigram model."""
-    model = sentencepiece_model_pb2.ModelProto()
-    with open(PIECE_MODEL, "rb") as file:
-        model.ParseFromString(file.read())
-    model.trainer_spec.model_type = pc.UNIGRAM
-    for p in model.pieces:
-        if p.type == p.NORMAL:
-            p.score = PIECES.scores[p.piece] / pc.SCALE
-    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-
-
 def brute_path(word):
     """Best (score, number of tokens) over all ways to cut a short pre-token."""
     best = [(0, 0)]
