@@ -7,7 +7,7 @@ names the language, so that single wrong bits are corrected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -193,8 +193,8 @@ def train(labelled: DataFrame) -> Model:
     return Model.of(counts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows ``(doc_id, lang_pred, score, ambiguous)`` for each row of ``docs (doc_id, text)``.
+def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Rows ``(*keep, lang_pred, score, ambiguous)`` for each row of ``docs (*keep, text)``.
 
     The prediction comes from the whole text alone. A text that is null or has no letter, and any
     text where nothing was learned, is ``und`` with score 0. ``ambiguous`` marks a lead of less than
@@ -205,16 +205,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = np.array(batch.column(2).to_pylist(), bool) if model.languages else np.zeros(batch.num_rows, bool)
+            text, has = batch.columns[-2:]
+            known = np.array(has.to_pylist(), bool) if model.languages else np.zeros(batch.num_rows, bool)
             best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
             if known.any():
-                texts = _folded(batch.column(1).filter(pa.array(known)))
-                best[known], score[known] = model.decode(model.bits(texts))
-            columns = [batch.column(0), pa.array(names[best], pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
-
-    rows = docs.select("doc_id", "text", has_letter(F.col("text")).alias("known"))
-    found = rows.mapInArrow(predicted, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+                best[known], score[known] = model.decode(model.bits(_folded(text.filter(pa.array(known)))))
+            columns = [*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+
+    rows = docs.select(*keep, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_known"))
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
+    found = rows.mapInArrow(predicted, schema)
     return found.withColumn("ambiguous", (F.col("lang_pred") != UNKNOWN) & (F.col("score") < AMBIGUOUS))
 
 

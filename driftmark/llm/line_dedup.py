@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +105,9 @@ def dedup_lines(
     min_docs: int = MIN_DOCS,
     batches: int = BATCHES,
     fanout: int = FANOUT,
+    keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """Rows ``(doc_id, n_lines, n_dropped, kept)`` for each row of ``docs (doc_id, text)``.
+    """Rows ``(*keep, n_lines, n_dropped, kept)`` for each row of ``docs (doc_id, text)``.
 
     A text is split at \\n; a null or empty one is one empty line. A key of at least ``min_chars``
     code points found in at least ``min_docs`` documents loses all its lines but those of the
@@ -112,7 +115,7 @@ def dedup_lines(
     doc_id count as one document and are each answered; a null doc_id counts as no document, and
     loses the lines that others lose. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
     scratch = Scratch(docs.sparkSession, "lines")
     runs = build_runs(docs.where("doc_id is not null"), scratch, min_chars=min_chars, batches=batches, fanout=fanout)
     hot = scratch.settle("hot", runs.keys().where(F.col("n_docs") >= min_docs))
@@ -133,13 +136,13 @@ def dedup_lines(
         )
 
     rows = rows.select(
-        "doc_id",
+        *keep,
         F.split(whole, "\n").alias("lines"),
         whole.alias("whole"),
         F.when(F.col("lost").isNotNull(), F.filter(F.split(whole, "\n"), keeps)).alias("left"),
     )
     return rows.select(
-        "doc_id",
+        *keep,
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join("left", "\n"), F.col("whole")).alias("kept"),
