@@ -41,10 +41,11 @@ def _has_key(keys: Sequence[str]) -> str:
 
 
 def versions(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key and MD5 with the number of rows on each side (``n_cur``, ``n_prev``)."""
+    """One row per key and MD5 with the number of rows on each side (``n_cur``, ``n_prev``). Rows
+    without an MD5 are a version of their own: they have the key, but equal and differ from nothing."""
 
     def side(df: DataFrame, in_cur: int, in_prev: int) -> DataFrame:
-        present = df.where(_has_key([*keys, MD5]))
+        present = df.where(_has_key(keys))
         return present.selectExpr(*keys, MD5, f"{in_cur}L as in_cur", f"{in_prev}L as in_prev")
 
     return (
@@ -59,6 +60,7 @@ def _totals(v: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
     return v.groupBy(*by).agg(
         F.expr(f"sum(n_cur) as {prefix}_cur"),
         F.expr(f"sum(n_prev) as {prefix}_prev"),
+        F.expr(f"sum(CASE WHEN {MD5} IS NOT NULL THEN n_prev ELSE 0 END) as {prefix}_set"),
         F.expr(f"count(*) as {prefix}_rows"),
     )
 
@@ -109,7 +111,9 @@ def locate(
     )
     by_md5 = settle(
         "shared_md5s",
-        _totals(v, [*parent, MD5], "md5").where("md5_rows > 1 AND md5_cur > 0 AND md5_prev > 0"),
+        _totals(v.where(f"{MD5} IS NOT NULL"), [*parent, MD5], "md5").where(
+            "md5_rows > 1 AND md5_cur > 0 AND md5_prev > 0"
+        ),
     )
 
     if collision_safe:
@@ -127,7 +131,7 @@ def locate(
         taken = pairs.selectExpr(
             *parent, f"stack(2, new_name, 'ADDED', old_name, 'DELETED') as ({name}, {CHANGE})"
         )
-        modified, modified_copies = "key_cur = 1 AND key_prev = 1 AND n_cur = 1", "1L"
+        modified, modified_copies = "key_cur = 1 AND key_prev = 1 AND key_set = 1 AND n_cur = 1", "1L"
     else:
         renamed = (
             skew_join(v, by_md5, [*parent, MD5])
@@ -138,11 +142,11 @@ def locate(
             )
         )
         taken = renamed.selectExpr(*keys, f"'ADDED' as {CHANGE}")
-        modified, modified_copies = "n_cur > 0 AND key_prev > n_prev", "key_prev - n_prev"
+        modified, modified_copies = "n_cur > 0 AND key_set > n_prev", "key_set - n_prev"
 
     at_key = skew_join(v, by_key, keys).selectExpr(
         "*",
-        f"CASE WHEN {modified} THEN 'MODIFIED' WHEN key_prev = 0 THEN 'ADDED' "
+        f"CASE WHEN {MD5} IS NOT NULL AND {modified} THEN 'MODIFIED' WHEN key_prev = 0 THEN 'ADDED' "
         f"WHEN key_cur = 0 THEN 'DELETED' END as {CHANGE}",
     )
     other = skew_join(
@@ -156,7 +160,7 @@ def locate(
     )
     located = renamed.select(*out).unionByName(other)
     if unchanged:
-        same = v.where("n_cur > 0 AND n_prev > 0").selectExpr(
+        same = v.where(f"{MD5} IS NOT NULL AND n_cur > 0 AND n_prev > 0").selectExpr(
             *keys, MD5, f"'UNCHANGED' as {CHANGE}", "n_prev as copies", f"{name} as {PREVIOUS_NAME}"
         )
         located = located.unionByName(same)
@@ -166,14 +170,15 @@ def locate(
 def attach(
     located: DataFrame, current: DataFrame, previous: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Full change rows for located keys, and the rows that a NULL key sets apart."""
+    """Full change rows for located keys, and the rows that a NULL key sets apart. Located keys
+    without an MD5 take the rows that have none."""
     keys = list(keys)
     row = [c for c in (DB, *FINGERPRINT_COLUMNS) if c in current.columns]
     out = [*row, CHANGE, "copies", PREVIOUS_NAME]
     both = current.selectExpr(*row, "false as gone").unionByName(previous.selectExpr(*row, "true as gone"))
-    found = both.where(_has_key(keys)).join(
-        located.selectExpr("*", f"{CHANGE} = 'DELETED' as gone"), [*keys, MD5, "gone"]
-    )
+    md5 = [f"coalesce({MD5}, '') as _md5", f"{MD5} IS NULL as _no_md5"]
+    at = located.selectExpr("*", f"{CHANGE} = 'DELETED' as gone", *md5).drop(MD5)
+    found = both.where(_has_key(keys)).selectExpr("*", *md5).join(at, [*keys, "_md5", "_no_md5", "gone"])
     loose = both.where(f"NOT ({_has_key(keys)})").selectExpr(
         *row,
         f"CASE WHEN gone THEN 'DELETED' ELSE 'ADDED' END as {CHANGE}",

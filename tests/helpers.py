@@ -32,6 +32,11 @@ def _same(a, b, columns):
     return all(a[c] is not None and a[c] == b[c] for c in columns)
 
 
+def _differ(a, b):
+    """Both have an MD5, and it isn't the same: a missing one is neither equal nor unequal."""
+    return None not in (a.object_md5, b.object_md5) and a.object_md5 != b.object_md5
+
+
 def brute_child(current, previous):
     cur, prev = current.collect(), previous.collect()
     out, processed = Counter(), []
@@ -41,7 +46,7 @@ def brute_child(current, previous):
             if _same(c, s, (*CHILD_KEYS[:4], "object_md5")) and None not in names and names[0] != names[1]:
                 out[("RENAMED", tuple(c[k] for k in CHILD_KEYS), c.object_md5)] += 1
                 processed.append(c)
-            if _same(c, s, CHILD_KEYS) and c.object_md5 != s.object_md5:
+            if _same(c, s, CHILD_KEYS) and _differ(c, s):
                 out[("MODIFIED", tuple(c[k] for k in CHILD_KEYS), c.object_md5)] += 1
                 processed.append(c)
     for change, rows, others in (("ADDED", cur, prev), ("DELETED", prev, cur)):
@@ -76,7 +81,7 @@ def brute_entity(current, previous):
                 processed += [c, s]
             if (
                 _same(c, s, by_name)
-                and c.object_md5 != s.object_md5
+                and _differ(c, s)
                 and count(cur, c, by_name) == 1
                 and count(prev, s, by_name) == 1
             ):

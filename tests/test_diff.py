@@ -74,6 +74,19 @@ def test_null_keys_match_nothing(spark):
     assert types(found) == [("ADDED", "a", 1), ("DELETED", "a", 1)]
 
 
+def test_a_missing_md5_is_neither_equal_nor_unequal(spark):
+    none, one = child(spark, [("s", "t", "Column", "a", None)]), child(spark, [("s", "t", "Column", "a", "m1")])
+    empty = child(spark, [])
+    assert types(diff.diff_child(none, empty)) == [("ADDED", "a", 1)]
+    assert types(diff.diff_child(empty, none)) == [("DELETED", "a", 1)]
+    for cur, prev in ((none, none), (none, one), (one, none)):
+        assert types(diff.diff_child(cur, prev)) == []
+        assert types(diff.diff_child(cur, prev, unchanged=True)) == []
+    views = [entity(spark, [("s", "View", "A", m)]) for m in (None, "x")]
+    assert types(diff.diff_entity(views[0], entity(spark, []))) == [("ADDED", "A", 1)]
+    assert types(diff.diff_entity(views[0], views[1])) == types(diff.diff_entity(views[1], views[0])) == []
+
+
 def test_same_state_has_no_changes_and_empty_start_is_all_added(spark):
     rows = [("s", f"t{i % 3}", "Column", f"c{i}", f"m{i}") for i in range(30)]
     state, none = child(spark, rows), child(spark, [])
@@ -101,7 +114,7 @@ def test_child_counts_equal_all_pairs(spark, seed):
                 rng.choice(["t1", "t2"]),
                 rng.choice(["Column", "Index", None]),
                 rng.choice(["a", "b", "c", "d", None]),
-                rng.choice(["m1", "m2", "m3", "m4"]),
+                rng.choice(["m1", "m2", "m3", "m4", None]),
             )
             for _ in range(40)
         }
@@ -117,10 +130,10 @@ def test_entity_counts_equal_all_pairs(spark, seed):
 
     def state():
         rows = {
-            (rng.choice("s"), rng.choice(["View", "Function"]), f"n{rng.randrange(12)}", f"m{rng.randrange(16)}")
+            (rng.choice("s"), rng.choice(["View", "Function"]), f"n{rng.randrange(12)}", rng.choice([None, *(f"m{i}" for i in range(16))]))
             for _ in range(14)
         }
-        return entity(spark, sorted(rows))
+        return entity(spark, sorted(rows, key=repr))
 
     cur, prev = state(), state()
     assert log_rows(diff.diff_entity(cur, prev)) == brute_entity(cur, prev)
