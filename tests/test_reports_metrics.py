@@ -60,9 +60,9 @@ def test_object_metric_rule(spark):
 def test_latest_two_needs_two_snapshots(spark):
     rows = [(n, "s", "Table", "t", "Column", "c", "", "ADDED") for n in (3, 3, 7)]
     df = log(spark, rows)
-    assert reports.require_two_snapshots(df) == [7, 3]
+    assert reports.require_two_snapshots(df) == {None: [7, 3]}
     assert sorted(r.snapshot_id for r in reports.report_latest_two(df).collect()) == [3, 7]
-    with pytest.raises(ValueError, match="At least 2 snapshots"):
+    with pytest.raises(ValueError, match="needs two snapshots"):
         reports.require_two_snapshots(df.where("snapshot_id = 3"))
 
 
@@ -73,7 +73,7 @@ def test_window_rules():
     assert reports.window_resolve(day, now=now) == (day, now)
     assert reports.window_resolve(day, datetime(2024, 5, 2)) == (day, datetime(2024, 5, 2, 23, 59, 59))
     assert reports.window_resolve(preset="1M", now=now) == (datetime(2024, 4, 10, 9, 30), now)
-    with pytest.raises(ValueError, match="earlier"):
+    with pytest.raises(ValueError, match="begin before"):
         reports.window_resolve(now, day)
 
 
@@ -124,34 +124,57 @@ def test_column_impact_equals_search_of_each_pair(spark):
     rows = [(n % 2, "s", "Table", "t", "Column", name, "", "MODIFIED") for n, name in enumerate(NAMES)]
     rows += [(1, "s", "Table", "t", "Index", f"ix{i}", d, "ADDED") for i, d in enumerate(DETAILS)]
     rows += [(1, "s", "Table", "other", "Index", "far", "id", "ADDED")]
-    found = {
-        r.column_name: (sorted(x for x in r.dependent_objects.split("; ") if x), r.dependent_count)
-        for r in reports.report_column_impact(log(spark, rows)).collect()
-    }
+    impact = reports.report_column_impact(log(spark, rows))
+    found = {}
+    for r in impact.collect():
+        found.setdefault(r.column_name, []).extend([r.dependent] * r.links)
+    counts = {r.column_name: r.dependent_count for r in reports.report_impacted_only(impact).collect()}
     for name in NAMES:
         word = re.compile(rf"\b{re.escape(name)}\b", re.IGNORECASE)
         expected = sorted(f"INDEX: ix{i} (ADDED)" for i, d in enumerate(DETAILS) if word.search(d))
-        assert found[name] == (expected, len(expected)), name
+        assert sorted(found[name]) == expected and counts.get(name, 0) == len(expected), name
 
 
-def test_column_impact_splits_a_long_list(spark):
-    rows = [(1, "s", "Table", "t", "Column", "c", "", "MODIFIED")]
-    rows += [(1, "s", "Table", "t", "Index", f"ix{i}", "on c", "ADDED") for i in range(500)]
-    df = log(spark, rows)
-    parts = reports.report_column_impact(df, part_size=50).collect()
-    listed = [x for r in parts for x in r.dependent_objects.split("; ")]
-    assert len(parts) > 1 and len(listed) == 500
-    assert sorted(listed) == sorted(f"INDEX: ix{i} (ADDED)" for i in range(500))
-    assert [r.part for r in reports.report_column_impact(df).collect()] == [0]
+def test_column_impact_has_one_shape_at_every_size(spark):
+    rows = [(1, "s", "Table", "t", "Column", "c", "", "MODIFIED"), (1, "s", "Table", "u", "Column", "d", "", "ADDED")]
+    rows += [(1, "s", "Table", "u", "Index", "iy", "on d", "ADDED")] * 3
+    rows += [(1, "s", "Table", "t", "Index", f"ix{i:05}", "on c", "ADDED") for i in range(12_000)]
+    impact = reports.report_column_impact(log(spark, rows))
+    found = {(r.column_name, r.dependent): r.links for r in impact.collect()}
+    assert found == {("d", "INDEX: iy (ADDED)"): 3, **{("c", f"INDEX: ix{i:05} (ADDED)"): 1 for i in range(12_000)}}
+    counts = {r.column_name: r.dependent_count for r in reports.report_impacted_only(impact).collect()}
+    assert counts == {"c": 12_000, "d": 3}
+    shown = {r.column_name: (r.dependent_count, r.dependent_preview) for r in reports.report_preview(impact).collect()}
+    lists = {"c": "; ".join(f"INDEX: ix{i:05} (ADDED)" for i in range(12_000)), "d": "; ".join(["INDEX: iy (ADDED)"] * 3)}
+    assert shown == {"c": (12_000, lists["c"][:90] + "..."), "d": (3, lists["d"])}
 
 
-def test_column_impact_splits_a_repeated_dependent(spark):
-    """One dependent text 1,000 times over: chunks of it go to several parts."""
-    rows = [(1, "s", "Table", "t", "Column", "c", "", "MODIFIED")]
+def test_preview_of_one_repeated_dependent_and_of_none(spark):
+    rows = [(1, "s", "Table", "t", "Column", "c", "", "MODIFIED"), (1, "s", "Table", "t", "Column", "z", "", "ADDED")]
     rows += [(1, "s", "Table", "t", "Index", "ix", "on c", "ADDED")] * 1000
-    parts = reports.report_column_impact(log(spark, rows), part_size=100).collect()
-    assert len(parts) > 1 and sum(r.dependent_count for r in parts) == 1000
-    assert [x for r in parts for x in r.dependent_objects.split("; ")] == ["INDEX: ix (ADDED)"] * 1000
+    impact = reports.report_column_impact(log(spark, rows))
+    shown = {r.column_name: (r.dependent_count, r.dependent_preview) for r in reports.report_preview(impact).collect()}
+    assert shown == {"c": (1000, "; ".join(["INDEX: ix (ADDED)"] * 1000)[:90] + "..."), "z": (0, "")}
+    assert [r.column_name for r in reports.report_impacted_only(impact).collect()] == ["c"]
+
+
+def test_preview_picks_its_dependents_before_the_shuffle(spark):
+    impact = reports.report_column_impact(log(spark, [(1, "s", "Table", "t", "Column", "c", "", "MODIFIED")]))
+    text = reports.report_preview(impact)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and "Cartesian" not in text
+
+
+def test_each_database_has_its_own_newest_snapshot(spark):
+    rows = [(db, n, "s", "Table", f"t{n}", None, None, None, "ADDED", AT) for db, n in (("a", 1), ("b", 1), ("b", 2))]
+    df = spark.createDataFrame(rows, "source_db string, " + LOG)
+    assert sorted((r.source_db, r.snapshot_id) for r in reports.report_changes_of(df).collect()) == [("a", 1), ("b", 2)]
+    with pytest.raises(ValueError, match="two snapshots in a"):
+        reports.require_two_snapshots(df)
+    with pytest.raises(ValueError, match="two snapshots in a"):
+        reports.report_log(df)
+    assert reports.require_two_snapshots(df.where("source_db = 'b'")) == {"b": [2, 1]}
+    assert reports.report_log(df.where("source_db = 'b'"), schemas=["s"]).count() == 1
+    assert reports.report_log(df, (AT, AT), change_types=["DELETED"]).count() == 0
 
 
 def test_dependents_come_from_the_whole_window(spark):
@@ -160,7 +183,7 @@ def test_dependents_come_from_the_whole_window(spark):
         (2, "s", "Table", "t", "Constraint", "k", "on C", "DELETED"),
     ]
     (row,) = reports.report_column_impact(log(spark, rows)).collect()
-    assert (row.snapshot_id, row.dependent_objects) == (1, "CONSTRAINT: k (DELETED)")
+    assert (row.snapshot_id, row.dependent, row.links) == (1, "CONSTRAINT: k (DELETED)", 1)
     assert reports.report_preview(reports.report_column_impact(log(spark, rows)), 5).first().dependent_preview == (
         "CONST..."
     )

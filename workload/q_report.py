@@ -36,11 +36,10 @@ NAMED = {
                 SELECT 1 FROM gone g WHERE g.snapshot_id = c.snapshot_id AND g.schema_name = c.schema_name
                    AND g.object_type_name = c.object_type_name AND c.object_type = 'TABLE')
             GROUP BY snapshot_id, schema_name, object_type_name, object_subtype_name""",
-    "impact": """SELECT c.*, 0 AS part, coalesce(string_agg(dependent, '; ' ORDER BY dependent), '') AS dependent_objects,
-                   count(dependent) AS dependent_count
+    "met": """SELECT c.*, d.dependent
             FROM cols c LEFT JOIN deps d ON d.schema_name = c.schema_name AND d.object_type_name = c.object_type_name
-                 AND regexp_matches(d.object_subtype_details, '(?i)\\b' || regexp_escape(c.column_name) || '\\b')
-            GROUP BY ALL""",
+                 AND regexp_matches(d.object_subtype_details, '(?i)\\b' || regexp_escape(c.column_name) || '\\b')""",
+    "impact": "SELECT *, count(dependent) AS links FROM met GROUP BY ALL",
 }
 
 
@@ -56,6 +55,16 @@ def _texts(df: DataFrame) -> DataFrame:
 _LOG_TEXT = f"SELECT * REPLACE ({_TIME.format(t='processed_time')} AS processed_time) FROM"
 
 
+def _db_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of three databases, one of which had no changes in the second half of the days."""
+    log = event_log(spark, sf).withColumn("source_db", F.expr("concat('db_', cast(substr(schema_name, 8) as int) % 3)"))
+    return log.where("source_db <> 'db_1' OR snapshot_id <= 15")
+
+
+_DB_LOG = """SELECT * FROM (SELECT *, 'db_' || (substr(schema_name, 8)::INT % 3) AS source_db FROM log)
+            WHERE source_db <> 'db_1' OR snapshot_id <= 15"""
+
+
 def queries() -> dict[str, Query]:
     def sql(last: str) -> str:
         return statement(NAMED, last)
@@ -78,6 +87,43 @@ def queries() -> dict[str, Query]:
         lambda spark, sf: _texts(reports.report_changes_of(event_log(spark, sf))),
         sql(f"{_LOG_TEXT} log WHERE snapshot_id = (SELECT max(snapshot_id) FROM log)"),
     )
+    out["report_changes_of_multi_db"] = (
+        lambda spark, sf: _texts(reports.report_changes_of(_db_log(spark, sf))),
+        sql(
+            f"{_LOG_TEXT} ({_DB_LOG}) l WHERE snapshot_id = "
+            f"(SELECT max(snapshot_id) FROM ({_DB_LOG}) x WHERE x.source_db = l.source_db)"
+        ),
+    )
+    out["report_latest_two_multi_db"] = (
+        lambda spark, sf: reports.report_latest_two(_db_log(spark, sf)).withColumn(
+            "snapshot_time", fmt_time("snapshot_time")
+        ),
+        sql(
+            f"SELECT source_db, snapshot_id, {_TIME.format(t='min(processed_time)')} AS snapshot_time "
+            f"FROM ({_DB_LOG}) GROUP BY source_db, snapshot_id "
+            "QUALIFY row_number() OVER (PARTITION BY source_db ORDER BY snapshot_id DESC) <= 2"
+        ),
+    )
+    out["report_log_multi_db"] = (
+        lambda spark, sf: reports.report_table_summary(
+            reports.report_log(_db_log(spark, sf), schemas=["schema_1", "schema_2", "schema_3"])
+        ),
+        statement(
+            {
+                "log": event_log_sql(),
+                "every": _DB_LOG,
+                "picked": "SELECT * FROM every e WHERE snapshot_id = (SELECT max(snapshot_id) FROM every x "
+                "WHERE x.source_db = e.source_db) AND schema_name IN ('schema_1', 'schema_2', 'schema_3')",
+                "n": NAMED["n"].replace("FROM log", "FROM picked"),
+                "gone": NAMED["gone"].replace("DISTINCT", "DISTINCT source_db,"),
+            },
+            "SELECT source_db, t.snapshot_id, t.schema_name, t.object_type_name, t.processed_time, "
+            "CASE WHEN g.snapshot_id IS NULL THEN t.change_types ELSE 'DELETED' END AS change_types, total_changes "
+            f"FROM (SELECT source_db, {_TABLE}, {_TIME.format(t='min(processed_time)')} AS processed_time, {_CHANGES}, "
+            f"count(*) AS total_changes FROM n WHERE object_type = 'TABLE' GROUP BY source_db, {_TABLE}) t "
+            f"LEFT JOIN gone g USING (source_db, {_TABLE})",
+        ),
+    )
     out["report_window"] = (
         lambda spark, sf: _texts(reports.report_window(event_log(spark, sf), START, END)),
         sql(f"{_LOG_TEXT} log WHERE processed_time BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"),
@@ -126,13 +172,17 @@ def queries() -> dict[str, Query]:
     out["report_column_impact"] = (_on(reports.report_column_impact), sql("SELECT * FROM impact"))
     out["report_impacted_only"] = (
         _on(lambda log: reports.report_impacted_only(reports.report_column_impact(log))),
-        sql("SELECT * FROM impact WHERE length(dependent_objects) > 0"),
+        sql(
+            "SELECT * EXCLUDE (dependent, links), sum(links) AS dependent_count FROM impact "
+            "WHERE dependent IS NOT NULL GROUP BY ALL"
+        ),
     )
     out["report_preview"] = (
         _on(lambda log: reports.report_preview(reports.report_column_impact(log))),
         sql(
-            "SELECT * EXCLUDE (dependent_objects), CASE WHEN length(dependent_objects) <= 90 THEN dependent_objects "
-            "ELSE substr(dependent_objects, 1, 90) || '...' END AS dependent_preview FROM impact"
+            "SELECT * EXCLUDE (list), CASE WHEN length(list) <= 90 THEN list ELSE substr(list, 1, 90) || '...' END "
+            "AS dependent_preview FROM (SELECT * EXCLUDE (dependent), count(dependent) AS dependent_count, "
+            "coalesce(string_agg(dependent, '; ' ORDER BY dependent), '') AS list FROM met GROUP BY ALL)"
         ),
     )
     out["report_table_objects"] = (
