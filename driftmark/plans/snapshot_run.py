@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from driftmark.operators import diff
 from driftmark.operators.fingerprints import union_child, union_current, union_entity
 from driftmark.operators.metrics import metrics_run
+from driftmark.operators.scope import scope_exclude, scope_include
 from driftmark.schemas import CHILD_KEYS, DB, ENTITY_KEYS
 from driftmark.sources.extracts import Extracts
 from driftmark.sources.store import (
@@ -24,6 +25,12 @@ from driftmark.sources.store import (
     SnapshotStore,
 )
 
+OWN = "driftmark"
+"""The engine's own schema, which a run leaves out."""
+
+# What the run report calls the two kinds of run.
+FIRST_RUN, LATER_RUN = "Initial Load", "Subsequent Compare Run"
+
 CHILD_SUBTYPES = ("Column", "Constraint", "Index", "Reference", "Trigger")
 ENTITY_TYPES = ("Function", "View", "Materialized View", "Sequence")
 
@@ -98,10 +105,27 @@ def _log_diff(
     return diff.attach(settle("located", located), current, previous, keys)
 
 
+def resolve_scope(extracts: Extracts, schemas: Sequence[str] | None = (), mode: str = "exclude", own: str = OWN) -> list[str]:
+    """Names of the schemas that a run looks at: the listed ones that exist (``include``), or all user
+    schemas but the engine's own and the listed ones (``exclude``). A name means the same in every
+    database, so one list covers all of them."""
+    rules = {
+        "include": lambda schemata: scope_include(schemata, schemas),
+        "exclude": lambda schemata: scope_exclude(schemata, schemas, own),
+    }
+    if mode not in rules:
+        raise ValueError(f"unknown scope mode: {mode}")
+    found = rules[mode](extracts["schemata"]).select("schema_name").distinct()
+    return sorted(r.schema_name for r in found.collect())
+
+
 def run(
     store: SnapshotStore,
-    current: CurrentState,
+    current: CurrentState | Extracts,
     *,
+    schemas: Sequence[str] | None = (),
+    mode: str = "exclude",
+    own: str = OWN,
     now: datetime | None = None,
     once_daily: bool = False,
     allow_cleanup: bool = False,
@@ -109,6 +133,10 @@ def run(
 ) -> int | None:
     """Take a snapshot and return its id, or None when ``once_daily`` skips the run.
 
+    Catalog extracts are looked at in the schemas that ``schemas`` and ``mode`` choose; a state given
+    as rows is taken as it is. A run whose predecessor has no staged state any more, because a later
+    snapshot retired it and was rolled back, is refused: it would report everything as new.
+
     The first run stages and logs everything as ADDED, later ones log the difference. Whatever
     fails, the new snapshot is removed again and the last one stays as it was: old staged rows
     go only after the new snapshot is registered. ``on_step`` hears of each step before it.
@@ -123,8 +151,14 @@ def run(
             on_step(name)
         return steps(name, action, result)
 
+    if not isinstance(current, CurrentState):
+        extracts = current
+        names = step("resolve_scope", lambda: resolve_scope(extracts, schemas, mode, own))
+        current = CurrentState.of_catalog(extracts, names)
     last = store.latest()
-    step("mode", lambda: None, "Initial Load" if last is None else "Subsequent Compare Run")
+    if last is not None and not all(last in store.partitions(t) for t in (STATE_CHILD, STATE_ENTITY)):
+        raise RuntimeError(f"snapshot {last} has no staged state to compare with; stage it again first")
+    step("mode", lambda: None, FIRST_RUN if last is None else LATER_RUN)
     if last is None:
         step("clean_orphans", lambda: store.clean_orphans(allow=allow_cleanup))
     else:
@@ -159,19 +193,14 @@ def run(
                 "log_changes", lambda: store.write_changes(n, diff.diff_unify(by_child, by_entity), now)
             )
         step(METRICS, lambda: store.upsert_metrics(n, metrics_run(log, child, entity), now))
-        report = [(i, *row) for i, row in enumerate(steps.rows, 1)]
-        store.write_snapshot(
-            RUN_REPORT,
-            n,
-            store.spark.createDataFrame(
-                report, "step_no int, step_name string, result string, seconds double"
-            ).coalesce(1),
-        )
         step("register", lambda: store.register(n, name, now))
     except BaseException:
         store.rollback(n)
         raise
     finally:
         store.drop_scratch()
-    store.retain_latest(n)
+    step("retain", lambda: store.retain_latest(n), f"Kept {n}")
+    report = [(i, *row) for i, row in enumerate(steps.rows, 1)]
+    columns = "step_no int, step_name string, result string, seconds double"
+    store.write_snapshot(RUN_REPORT, n, store.spark.createDataFrame(report, columns).coalesce(1))
     return n

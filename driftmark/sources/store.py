@@ -7,8 +7,6 @@ readers, and a failed run leaves only folders to delete.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from datetime import date, datetime
 
@@ -33,15 +31,10 @@ SNAPSHOT_DATA = (*STATES, CHANGES, METRICS, RUN_REPORT)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
+    """A new folder in the shared one that the cluster names in ``spark.checkpoint.dir``, or in the
+    warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        base = tempfile.mkdtemp(prefix="driftmark-")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/driftmark"
     return f"{base.rstrip('/')}/driftmark-{uuid.uuid4().hex}"
 
 
@@ -51,6 +44,7 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, *, multi_db: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.multi_db = multi_db
         tables = {
             CHANGES: schemas.CHANGES_SCHEMA,
             STATE_CHILD: schemas.STATE_SCHEMA,
@@ -95,7 +89,10 @@ class SnapshotStore:
         return self.read(table).where(F.col("snapshot_id") == snapshot_id)
 
     def write_snapshot(self, table: str, snapshot_id: int, rows: DataFrame) -> None:
-        """Write a table's rows of one snapshot; writing them again replaces them."""
+        """Write a table's rows of one snapshot; writing them again replaces them. Rows of several
+        databases need a store with ``multi_db``, or their keys would be mixed up."""
+        if schemas.DB in rows.columns and table in (CHANGES, *STATES, METRICS) and not self.multi_db:
+            raise ValueError("the rows have a source_db, but the store was opened for a single database")
         columns = [f for f in self.schemas[table].fields if f.name != "snapshot_id"]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
         shaped.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")

@@ -97,6 +97,42 @@ def test_rollback_removes_a_snapshot_everywhere(spark, store):
     assert store.latest() == 2 and store.previous(2) == 1
     assert all(3 not in store.partitions(t) for t in (REGISTRY, *SNAPSHOT_DATA))
     assert store.next_snapshot(DAY3) == (3, "snapshot_3_2024_03_03_040506")
+    # The rolled back run had retired the state to compare with: nothing may be reported as new.
+    with pytest.raises(RuntimeError, match="no staged state"):
+        run(store, states(spark, 3), now=DAY3)
+    assert store.latest() == 2 and store.partitions(CHANGES) == [1, 2]
+    store.write_state(STATE_CHILD, 2, states(spark, 2).child, DAY2)
+    store.write_state(STATE_ENTITY, 2, states(spark, 2).entity, DAY2)
+    assert run(store, states(spark, 3), now=DAY3) == 3
+    assert changes(store, 3) == [("MODIFIED", "t", "b"), ("RENAMED", "v3", "")]
+
+
+def test_rows_of_databases_need_a_store_for_them(spark, store):
+    rows = states(spark, 1).child.withColumn("source_db", F.lit("a"))
+    with pytest.raises(ValueError, match="single database"):
+        store.write_state(STATE_CHILD, 1, rows, DAY1)
+
+
+def test_scope_of_a_run(spark):
+    from test_catalog import ROWS
+
+    from driftmark.plans.snapshot_run import resolve_scope
+    from driftmark.schemas import EXTRACT_SCHEMAS
+    from driftmark.sources.extracts import combine_databases
+
+    names = ["public", "driftmark", "pg_catalog", "pg_toast", "information_schema", "other"]
+    rows = {**ROWS, "schemata": [(n,) for n in names]}
+    both = combine_databases({"a": {n: spark.createDataFrame(r, EXTRACT_SCHEMAS[n]) for n, r in rows.items()}})
+    assert resolve_scope(both) == ["other", "public"]
+    assert resolve_scope(both, ["other"]) == ["public"]
+    assert resolve_scope(both, own="public") == ["driftmark", "other"]
+    assert resolve_scope(both, ["public", "absent", "pg_catalog"], "include") == ["pg_catalog", "public"]
+    assert resolve_scope(both, None) == resolve_scope(both, None, "include") == []
+    with pytest.raises(ValueError, match="scope mode"):
+        resolve_scope(both, [], "all")
+    store = SnapshotStore(spark, shared_folder(spark), multi_db=True)
+    run(store, both, schemas=["absent"], mode="include", now=DAY1)
+    assert store.read(CHANGES).isEmpty() and store.partitions(STATE_CHILD) == [1]
 
 
 def test_once_daily(spark, store):

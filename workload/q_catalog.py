@@ -20,6 +20,8 @@ Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 OWN = "NATION_5"
 LISTED = ["NATION_1", "NATION_2", "pg_catalog"]
 ENTRIES = ["NATION_3", "NATION_5.t_30", "NATION_6.t_6.x"]
+# Sequences are parts whose number ends in 9.
+SEQUENCES = ["NATION_9", "NATION_4.t_29"]
 PLAIN = "s = 'NATION_3'"
 PAIR = "s || '.' || r = 'NATION_5.t_30'"
 CUT = "(s = 'NATION_6' AND r = 't_6')"
@@ -175,7 +177,6 @@ def queries() -> dict[str, Query]:
         "constraint": (assembly.fetch_constraints, f"(k = 'r' AND {PLAIN}) OR {PAIR} OR {CUT}"),
         "index": (assembly.fetch_indexes, f"(k IN ('r', 'm') AND {PLAIN}) OR {PAIR}"),
         "reference": (assembly.fetch_references, PAIR),
-        "sequence": (assembly.fetch_sequences, f"{PLAIN} OR {PAIR}"),
         "trigger": (assembly.fetch_triggers, f"{PLAIN} OR {PAIR}"),
     }
     for variant, (op, where) in three_way.items():
@@ -184,6 +185,21 @@ def queries() -> dict[str, Query]:
             _on(op, ENTRIES),
             _sql(f"SELECT * FROM x_f_{kind}", **{kind: where}),
         )
+    # No list, an empty one and one without dotted entries, where the variants differ.
+    table, stored = f"k = 'r' AND {user('s')}", f"k IN ('r', 'm') AND {user('s')}"
+    lists = (
+        ("sequence", "sequences", assembly.fetch_sequences, SEQUENCES, "s = 'NATION_9' OR s || '.' || r = 'NATION_4.t_29'"),
+        ("constraint_all", "constraints", assembly.fetch_constraints, None, table),
+        ("index_all", "indexes", assembly.fetch_indexes, None, stored),
+        ("index_empty", "indexes", assembly.fetch_indexes, [], stored),
+        ("reference_all", "references", assembly.fetch_references, None, table),
+        ("reference_empty", "references", assembly.fetch_references, [], table),
+        ("reference_plain", "references", assembly.fetch_references, ["NATION_5"], "k = 'r' AND s = 'NATION_5'"),
+        ("sequence_all", "sequences", assembly.fetch_sequences, None, user("s")),
+        ("trigger_all", "triggers", assembly.fetch_triggers, None, "TRUE"),
+    )
+    for name, kind, op, entries, where in lists:
+        out[f"scope_three_way_{name}"] = (_on(op, entries), _sql(f"SELECT * FROM x_f_{kind}", **{kind: where}))
 
     out["norm_type_name"] = (_types(data_type=lambda: labels.type_name("typname")), _types_sql(_TYPE_NAME))
     out["norm_type_length"] = (

@@ -13,6 +13,7 @@ from driftmark.operators.fingerprints import fp_table, union_child, union_entity
 from driftmark.operators.metrics import metrics_base, metrics_object, metrics_run, metrics_table
 from driftmark.plans.snapshot_run import CurrentState, baseline_changes, route_state, run
 from driftmark.schemas import DB
+from driftmark.sources.extracts import combine_databases
 from driftmark.sources.store import (
     CHANGES,
     METRICS,
@@ -229,7 +230,11 @@ def _run_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _history(spark, sf).read(RUN_REPORT).drop("seconds")
+    """The steps of both runs, with the rows that the logging ones have written."""
+    store = _history(spark, sf)
+    logged = store.read(CHANGES).groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    steps = store.read(RUN_REPORT).drop("seconds").join(logged, "snapshot_id")
+    return steps.withColumn("rows_logged", F.when(F.col("step_name").like("log%"), F.col("n")).otherwise(0)).drop("n")
 
 
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,15 +284,77 @@ def _retain_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rollback(spark: SparkSession, sf: str) -> DataFrame:
-    """A second snapshot rolled back and taken again under the same id."""
+    """What is left after a second snapshot was rolled back, and whether the next run is refused: the
+    second snapshot had retired the state to compare with."""
     store = _history(spark, sf)
     store.rollback(2)
-    # The rolled back snapshot's predecessor was retired by it, so its state is staged again.
-    store.write_state(STATE_CHILD, 1, orders_state(spark, sf, "previous"), FIRST)
-    store.write_state(STATE_ENTITY, 1, part_state(spark, sf, "previous"), FIRST)
     state = CurrentState.of_rows(orders_state(spark, sf, "current"), part_state(spark, sf, "current"))
-    n = run(store, state, now=SECOND)
-    return store.read_snapshot(CHANGES, n).drop("processed_time")
+    try:
+        refused = run(store, state, now=SECOND) is None
+    except RuntimeError:
+        refused = True
+    return store.read(CHANGES).drop("processed_time").withColumn("refused", F.lit(refused))
+
+
+def _without_some_md5s(state, spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both states, a part of the rows without an MD5: more of them before than now."""
+
+    def side(df: DataFrame, first: str) -> DataFrame:
+        return df.withColumn("object_md5", F.expr(f"CASE WHEN substr(object_md5, 1, 1) NOT IN ({first}) THEN object_md5 END"))
+
+    current, previous = both(state, spark, sf)
+    return side(current, "'0', '1'"), side(previous, "'0', '2', '3'")
+
+
+def _without_some_md5s_sql(sides: dict[str, str]) -> dict[str, str]:
+    cut = "SELECT * REPLACE (CASE WHEN substr(object_md5, 1, 1) NOT IN ({}) THEN object_md5 END AS object_md5) FROM ({})"
+    return {**sides, "cur": cut.format("'0', '1'", sides["cur"]), "prev": cut.format("'0', '2', '3'", sides["prev"])}
+
+
+# Schemas of the derived catalog that a run by default looks at.
+CATALOG_OWN, CATALOG_OUT = "NATION_5", ["NATION_1"]
+
+
+def _catalog_run(spark: SparkSession, sf: str, first: dict, second: dict, **scope) -> DataFrame:
+    """The log of a baseline and a compare run over the catalogs of some databases, by side."""
+    store = SnapshotStore(spark, shared_folder(spark), multi_db=True)
+    for sides, at in ((first, FIRST), (second, SECOND)):
+        run(store, combine_databases({db: extracts(spark, sf, side) for db, side in sides.items()}), now=at, **scope)
+    return store.read(CHANGES).drop("processed_time")
+
+
+def _run_in_list(spark: SparkSession, sf: str) -> DataFrame:
+    listed = ["NATION_2", "NATION_8", "NATION_9", "absent"]
+    return _catalog_run(spark, sf, {"main": "previous"}, {"main": "current"}, schemas=listed, mode="include").drop(DB)
+
+
+def _run_of_two(spark: SparkSession, sf: str) -> DataFrame:
+    first, second = {"a": "previous", "b": "current"}, {"a": "current", "b": "current"}
+    return _catalog_run(spark, sf, first, second, schemas=CATALOG_OUT, own=CATALOG_OWN)
+
+
+def _catalog_run_sql(first: dict[str, str], second: dict[str, str], keep: str, *, db: bool) -> str:
+    """Both runs of every database; ``first`` and ``second`` name the prefix of its catalog."""
+    named = {**catalog_sql("x_"), **catalog_sql("y_", "previous")}
+    parts = []
+    for name, before in first.items():
+        now, p = second[name], f"{name}_"
+        named |= {
+            f"{p}base": f"SELECT {ROW} FROM {before}everything WHERE {keep}",
+            f"{p}ccur": f"SELECT * FROM {now}child WHERE {keep}",
+            f"{p}ecur": f"SELECT * FROM {now}entity WHERE {keep}",
+            f"{p}cprev": f"SELECT * FROM {p}base WHERE object_subtype IN "
+            "('Column', 'Constraint', 'Index', 'Reference', 'Trigger') OR (object_type = 'Table' AND object_subtype = 'Sequence')",
+            f"{p}eprev": f"SELECT * FROM {p}base WHERE object_type IN ('Function', 'View', 'Materialized View', 'Sequence')",
+        }
+        named |= child_diff_sql(f"{p}c") | entity_diff_sql(f"{p}e")
+        shown = f"'{name}' AS source_db, " if db else ""
+        parts += [
+            f"SELECT {shown}1 AS snapshot_id, {ROW}, 'ADDED' AS change_type, 1 AS copies FROM {p}base",
+            f"SELECT {shown}2, {ROW}, change_type, copies FROM {p}cchanges",
+            f"SELECT {shown}2, {ROW}, change_type, copies FROM {p}echanges",
+        ]
+    return statement(named, " UNION ALL ".join(parts))
 
 
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +369,8 @@ def _upsert(spark: SparkSession, sf: str) -> DataFrame:
 def _sink_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """A day's newest event registered as snapshot, for each day of the log."""
     store = _store(spark)
-    _registry(spark, sf).write.mode("append").partitionBy("snapshot_id").parquet(f"{store.root}/{REGISTRY}")
+    for row in _registry(spark, sf).collect():
+        store.register(row.snapshot_id, row.snapshot_name, row.processed_time)
     return _text_times(store.read(REGISTRY))
 
 
@@ -353,19 +421,28 @@ def _steps_sql() -> str:
     first = [
         ("mode", "Initial Load"), ("clean_orphans", "Completed"), ("read_current", "Completed"),
         ("stage_state_child", "Completed"), ("stage_state_entity", "Completed"), ("log_baseline", "Completed"),
-        ("metrics", "Completed"),
+        ("metrics", "Completed"), ("register", "Completed"), ("retain", "Kept 1"),
     ]
     second = [
         ("mode", "Subsequent Compare Run"), ("retain_previous", "Kept 1"), ("stage_state_child", "Completed"),
         ("stage_state_entity", "Completed"), ("compare_child", "Completed"), ("compare_entity", "Completed"),
-        ("log_changes", "Completed"), ("metrics", "Completed"),
+        ("log_changes", "Completed"), ("metrics", "Completed"), ("register", "Completed"), ("retain", "Kept 2"),
     ]
     rows = [
         f"({n}, {i}, '{step}', '{result}')"
         for n, steps in ((1, first), (2, second))
         for i, (step, result) in enumerate(steps, 1)
     ]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(snapshot_id, step_no, step_name, result)"
+    logged = {
+        "log_baseline": "(SELECT count(*) FROM first)",
+        "log_changes": "(SELECT count(*) FROM o_changes) + (SELECT count(*) FROM p_cur)",
+    }
+    counts = " ".join(f"WHEN '{step}' THEN {sql}" for step, sql in logged.items())
+    return statement(
+        LEVELS,
+        f"SELECT *, CASE step_name {counts} ELSE 0 END AS rows_logged "
+        f"FROM (VALUES {', '.join(rows)}) AS t(snapshot_id, step_no, step_name, result)",
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -402,6 +479,27 @@ def queries() -> dict[str, Query]:
             f"FROM cur c JOIN prev s ON {same} GROUP BY ALL",
         ),
     )
+    out["diff_child_null_md5"] = (
+        lambda spark, sf: diff.diff_child(*_without_some_md5s(orders_state, spark, sf)),
+        statement({**_without_some_md5s_sql(two(orders_sql)), **child_diff_sql()}, "SELECT * FROM changes"),
+    )
+    out["diff_entity_null_md5"] = (
+        lambda spark, sf: diff.diff_entity(*_without_some_md5s(part_state, spark, sf)),
+        statement({**_without_some_md5s_sql(two(part_sql)), **entity_diff_sql()}, "SELECT * FROM changes"),
+    )
+    out["snapshot_run_catalog"] = (
+        _run_in_list,
+        _catalog_run_sql({"m": "y_"}, {"m": "x_"}, "schema_name IN ('NATION_2', 'NATION_8', 'NATION_9')", db=False),
+    )
+    out["snapshot_run_multi_db"] = (
+        _run_of_two,
+        _catalog_run_sql(
+            {"a": "y_", "b": "x_"},
+            {"a": "x_", "b": "x_"},
+            "schema_name NOT LIKE 'pg_%' AND schema_name NOT IN ('information_schema', 'NATION_5', 'NATION_1')",
+            db=True,
+        ),
+    )
     for level in ("child", "entity"):
         out[f"diff_{level}_catalog"] = (_catalog_diff(level), _catalog_diff_sql(level))
 
@@ -476,7 +574,7 @@ def queries() -> dict[str, Query]:
     )
     out["rollback_snapshot"] = (
         _rollback,
-        statement(LEVELS, f"SELECT 2 AS snapshot_id, {ROW}, change_type, copies FROM log"),
+        statement(LEVELS, f"SELECT 1 AS snapshot_id, *, TRUE AS refused FROM ({baseline})"),
     )
     out["snapshot_run_metrics"] = (
         _run_metrics,
