@@ -154,6 +154,9 @@ def run(
     if not isinstance(current, CurrentState):
         extracts = current
         names = step("resolve_scope", lambda: resolve_scope(extracts, schemas, mode, own))
+        if not names:
+            # Some kinds read an empty list as "all".
+            raise ValueError("the scope has no schema")
         current = CurrentState.of_catalog(extracts, names)
     last = store.latest()
     if last is not None and not all(last in store.partitions(t) for t in (STATE_CHILD, STATE_ENTITY)):

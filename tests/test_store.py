@@ -120,19 +120,22 @@ def test_scope_of_a_run(spark):
     from driftmark.schemas import EXTRACT_SCHEMAS
     from driftmark.sources.extracts import combine_databases
 
-    names = ["public", "driftmark", "pg_catalog", "pg_toast", "information_schema", "other"]
+    names = ["app", "driftmark", "pg_catalog", "pg_toast", "information_schema", "other"]
     rows = {**ROWS, "schemata": [(n,) for n in names]}
     both = combine_databases({"a": {n: spark.createDataFrame(r, EXTRACT_SCHEMAS[n]) for n, r in rows.items()}})
-    assert resolve_scope(both) == ["other", "public"]
-    assert resolve_scope(both, ["other"]) == ["public"]
-    assert resolve_scope(both, own="public") == ["driftmark", "other"]
-    assert resolve_scope(both, ["public", "absent", "pg_catalog"], "include") == ["pg_catalog", "public"]
+    assert resolve_scope(both) == ["app", "other"]
+    assert resolve_scope(both, ["other"]) == ["app"]
+    assert resolve_scope(both, own="app") == ["driftmark", "other"]
+    assert resolve_scope(both, ["app", "absent", "pg_catalog"], "include") == ["app", "pg_catalog"]
     assert resolve_scope(both, None) == resolve_scope(both, None, "include") == []
     with pytest.raises(ValueError, match="scope mode"):
         resolve_scope(both, [], "all")
     store = SnapshotStore(spark, shared_folder(spark), multi_db=True)
-    run(store, both, schemas=["absent"], mode="include", now=DAY1)
-    assert store.read(CHANGES).isEmpty() and store.partitions(STATE_CHILD) == [1]
+    with pytest.raises(ValueError, match="no schema"):
+        run(store, both, schemas=["absent"], mode="include", now=DAY1)
+    assert store.latest() is None
+    run(store, both, schemas=["app", "absent"], mode="include", now=DAY1)
+    assert {r.schema_name for r in store.read(CHANGES).collect()} == {"app"}
 
 
 def test_once_daily(spark, store):
