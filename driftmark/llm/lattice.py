@@ -18,10 +18,12 @@ from driftmark.llm.common import Scratch, key_of
 from driftmark.llm.pieces import BLANK, PRETOKEN, Pieces
 
 # The cache of common words: how many, how long at most, and from how many documents at most.
-CACHE_WORDS, CACHE_CHARS, CACHE_DOCS = 1 << 20, 32, 50_000
+CACHE_WORDS, CACHE_CHARS, CACHE_DOCS = 1 << 20, 32, 30_000
 # Lists that a fold appends to are closed at this length, so that a long word isn't copied at every
 # step.
 CHUNK = 256
+# Up to this length the fold carries whole paths.
+LONG_WORD = 64
 
 _LINK = "struct<start:int,id:int>"
 
@@ -66,9 +68,36 @@ def _push(done: Column, last: Column, item: Column) -> tuple[Column, Column]:
 
 
 def best_path(edges_by_end: Column, longest: int) -> Column:
-    """Ids along the best path through edges sorted by end and start. The fold keeps the best scores
-    of the last ends that an edge can begin at, and for every end the edge that reached it best; of
-    equally good ones that with the longest piece, which comes first."""
+    """Ids along the best path through edges sorted by end and start. Of equally good ones that with
+    the longest last piece is taken, which comes first. The fold keeps the best score and path of the
+    last ends that an edge can begin at."""
+
+    def step(s: Column, e: Column) -> Column:
+        reach = e["end"] - e["start"]
+        fresh = e["end"] > s["at"]
+        base = F.element_at(s["window"], F.when(fresh, -reach).otherwise(-reach - 1))
+        # As a list of one the edge's start is looked up once.
+        path = F.transform(
+            F.array(base),
+            lambda b: F.struct((b["score"] + e["score"]).alias("score"), F.concat(b["ids"], F.array(e["id"])).alias("ids")),
+        )
+        score = base["score"] + e["score"]
+        size = F.size(s["window"])
+        window = F.when(size > longest, F.slice(s["window"], 2, longest)).otherwise(s["window"])
+        added = F.struct(e["end"].alias("at"), F.concat(window, path).alias("window"))
+        better = F.struct(s["at"].alias("at"), F.concat(F.slice(s["window"], 1, size - 1), path).alias("window"))
+        return F.when(fresh, added).when(score > F.element_at(s["window"], -1)["score"], better).otherwise(s)
+
+    nothing = F.struct(F.lit(0).cast("long").alias("score"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(F.lit(0).alias("at"), F.array(nothing).alias("window"))
+    short = F.aggregate(edges_by_end, start, step, lambda s: F.element_at(s["window"], -1)["ids"])
+    size = F.element_at(edges_by_end, -1)["end"]
+    return F.when(size <= LONG_WORD, short).otherwise(_best_path_of_long(edges_by_end, longest))
+
+
+def _best_path_of_long(edges_by_end: Column, longest: int) -> Column:
+    """The same for a long word, whose paths are too long to be copied at each step: the fold keeps
+    for every end the edge that reached it best, and a second one follows them back."""
 
     def step(s: Column, e: Column) -> Column:
         reach = e["end"] - e["start"]
@@ -139,6 +168,12 @@ def encode_words(words: DataFrame, keys: list[str], table: DataFrame, pieces: Pi
     return found.select(*keys, _with_bytes(F.col("ids"), pieces).alias("ids"))
 
 
+def _spread(docs: DataFrame) -> int:
+    """Partitions for words, several times as many as for the documents they come from, so that what a
+    task groups stays in memory."""
+    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def common_words(docs: DataFrame, table: DataFrame, pieces: Pieces, scratch: Scratch) -> DataFrame:
     """Rows ``(word, known)``: ids of the words that are most frequent in a sample of documents. Only
     a cache: what it holds changes the work, not the result."""
@@ -149,7 +184,7 @@ def common_words(docs: DataFrame, table: DataFrame, pieces: Pieces, scratch: Scr
     words = docs.select(F.explode(pretokens(F.col("text"))).alias("word"))
     counted = words.where(F.char_length("word") <= CACHE_CHARS).groupBy("word").agg(F.count("*").alias("n"))
     top = scratch.settle("top", counted.orderBy(F.desc("n"), "word").limit(CACHE_WORDS).select("word"))
-    return scratch.settle("cache", encode_words(top.repartition("word"), ["word"], table, pieces).withColumnRenamed("ids", "known"))
+    return scratch.settle("cache", encode_words(top.repartition(_spread(docs), "word"), ["word"], table, pieces).withColumnRenamed("ids", "known"))
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -167,7 +202,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     keys = ["doc_id", "h1", "h2", "copy"]
     hashes = [h.alias(n) for h, n in zip(key_of(F.col("text")), keys[1:3])]
     equal = Window.partitionBy(*keys[:3]).orderBy("h1")
-    rows = docs.repartition("doc_id").select("doc_id", "text", *hashes).withColumn("copy", F.row_number().over(equal))
+    rows = docs.repartition(_spread(docs), "doc_id").select("doc_id", "text", *hashes).withColumn("copy", F.row_number().over(equal))
     words = rows.select(*keys, F.posexplode_outer(pretokens(F.col("text"))).alias("pos", "word"))
     looked = words.join(F.broadcast(cache), "word", "left")
     known = F.when(F.col("word").isNull(), F.array().cast("array<int>")).otherwise(F.col("known"))
