@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,18 +44,91 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return text, verdict
 
 
+# Character references that addresses are written with; the ampersand comes last, so that none is
+# decoded twice.
+_REFERENCES = [
+    (r"&#0*47;|&#[xX]0*2[fF];|&sol;", "/"),
+    (r"&#0*63;|&#[xX]0*3[fF];|&quest;", "?"),
+    (r"&#0*61;|&#[xX]0*3[dD];|&equals;", "="),
+    (r"&#0*58;|&#[xX]0*3[aA];|&colon;", ":"),
+    (r"&#0*35;|&#[xX]0*23;|&num;", "#"),
+    (r"&#0*46;|&#[xX]0*2[eE];|&period;", "."),
+    (r"&#0*34;|&#[xX]0*22;|&quot;", '"'),
+    (r"&#0*39;|&#[xX]0*27;|&apos;", "'"),
+    (r"&#0*60;|&#[xX]0*3[cC];|&lt;", "<"),
+    (r"&#0*62;|&#[xX]0*3[eE];|&gt;", ">"),
+    (r"&#0*38;|&#[xX]0*26;|&amp;", "&"),
+]
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
+
+
+def _decoded(text: Column) -> Column:
+    for reference, char in _REFERENCES:
+        text = F.regexp_replace(text, reference, char)
+    return text
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: as a list of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without the segments . and .., as a fold over its segments."""
+
+    def step(kept: Column, part: Column) -> Column:
+        above = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", above).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    def folded(parts: Column) -> Column:
+        # What stands before the first slash is empty.
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        kept = F.aggregate(rest, F.array().cast("array<string>"), step)
+        # A path that ends in a dot segment names a folder.
+        last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))
+
+    return F.when(path.rlike(r"/\.\.?(/|$)"), _once(F.split(path, "/", -1), folded)).otherwise(path)
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """The address a target names on a page or base address, without dot segments."""
+    base, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    whole = (
+        F.when(target.rlike(_SCHEME), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, "(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(base, target))
+        .when(target.startswith("?"), F.concat(base, path, target))
+        .when(target.startswith("#"), F.concat(base, path, query, target))
+        .when(target == "", F.concat(base, path, query))
+        .otherwise(F.concat(base, folder, target))
+    )
+
+    def plain(u: Column) -> Column:
+        tail = F.regexp_extract(u, r"(?s)^[^?#]*([?#].*)$", 1)
+        return F.concat(F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*)", 1), _once(path_of(u), _without_dots), tail)
+
+    return _once(whole, plain)
+
+
 def alias_links(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``(a, b)`` between the nodes of a page and of the address it redirects to (meta
     refresh) or names as canonical. Links in comments and scripts don't count; relative addresses
-    are resolved against the page's own."""
+    are resolved against the page's first base address, or its own."""
     found = pages.select("url", "html").where(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), 1)
-    found = scratch.settle("tags", found.select("url", F.explode(tags).alias("tag")))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), 1)
+    tags = found.select("url", tags.alias("tags"))
+    bases = F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b.*\shref\s*="))
+    tags = tags.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode("tags").alias("tag"))
+    found = scratch.settle("tags", tags)
     value = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
-    def attribute(name: str) -> Column:
-        groups = [F.regexp_extract("tag", rf"(?is)\s{name}{value}", i) for i in (1, 2, 3)]
+    def attribute(name: str, tag: str = "tag") -> Column:
+        groups = [F.regexp_extract(tag, rf"(?is)\s{name}{value}", i) for i in (1, 2, 3)]
         return F.concat(*groups)
 
     canonical = F.col("tag").rlike("(?i)^<link") & F.lower(attribute("rel")).rlike(r"(^|\s)canonical(\s|$)")
@@ -63,18 +136,12 @@ def alias_links(pages: DataFrame, scratch: Scratch) -> DataFrame:
     target = F.when(canonical, attribute("href")).when(
         refresh, F.regexp_extract(attribute("content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)
     )
-    found = found.select("url", F.trim(F.regexp_replace(target, "&amp;", "&")).alias("target"))
-    found = scratch.settle("targets", found)
-    base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract("url", _URL, 2), r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    resolved = (
-        F.when(F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.lit("http:"), F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(base, F.col("target")))
-        .otherwise(F.concat(base, folder, F.col("target")))
-    )
-    found = found.where("target <> ''").select("url", resolved.alias("target"))
+    own = F.coalesce(F.trim(_decoded(attribute("href", "base"))), F.lit(""))
+    found = found.select("url", own.alias("base"), target.alias("target")).where("target is not null")
+    found = found.withColumn("target", F.trim(_decoded(F.col("target"))))
+    found = scratch.settle("targets", found.where("target <> ''"))
+    found = scratch.settle("bases", found.select("url", "target", resolve(F.col("base"), F.col("url")).alias("base")))
+    found = scratch.settle("resolved", found.select("url", resolve(F.col("target"), F.col("base")).alias("target")))
     return found.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from driftmark.llm import line_dedup, quality, url_filter
 from driftmark.llm.common import Scratch, components
 from driftmark.llm.queries import URL_RULES
+from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -186,3 +187,41 @@ def test_policies_and_ablation(spark):
         want = {r.name: (sum(bool(b & 1 << r.bit) for b in bits), sum(b & mask == 1 << r.bit for b in bits)) for r in quality.RULES if r.name in names}
         assert got == want
     assert quality.judge(quality.ledger(docs_of(spark, []))).count() == 0
+
+
+# --- addresses of aliases ------------------------------------------------------------------------
+
+
+def test_alias_targets_are_resolved(spark):
+    cases = {
+        ("http://a.org/b/c", "../x"): "http://a.org/x",
+        ("http://a.org/b/c", "./x/../y/."): "http://a.org/b/y/",
+        ("http://a.org/b/c", "/../../x?q=../z#../f"): "http://a.org/x?q=../z#../f",
+        ("http://a.org/b/c/", ".."): "http://a.org/b/",
+        ("http://a.org/p/x?id=1", "?id=2"): "http://a.org/p/x?id=2",
+        ("http://a.org/p/x?id=1", "#f"): "http://a.org/p/x?id=1#f",
+        ("http://a.org", "x"): "http://a.org/x",
+        ("http://a.org/p", "//b.org/./y"): "http://b.org/y",
+        ("http://a.org/p", "http://b.org/a/../y..z/..w"): "http://b.org/y..z/..w",
+        ("http://a.org/p", "http://b.org"): "http://b.org",
+    }
+    rows = spark.createDataFrame([(u, t, w) for (u, t), w in cases.items()], "url string, target string, want string")
+    found = rows.select("url", "target", "want", url_filter.resolve(F.col("target"), F.col("url")).alias("got")).collect()
+    assert [(r.url, r.target, r.got) for r in found] == [(r.url, r.target, r.want) for r in found]
+
+
+def test_blocks_reach_aliases_with_relative_targets(spark):
+    rules = [("block", "a.org", "/bad")]
+    rows = [
+        (1, "http://x.org/q/1", page(canonical("http://a.org/n/../bad/1"))),
+        (2, "http://x.org/q/2", page('<base href="http://a.org/bad/k/">', canonical("../2"))),
+        (3, "http://x.org/q/3", page(canonical("http:&#x2F;&#47;a.org&sol;bad?a=1&amp;b=2"))),
+        (4, "http://x.org/q/4?id=1", page(canonical("?id=2"))),
+        (5, "http://x.org/q/4?id=2", page(canonical("http://a.org/bad/4"))),
+        (6, "http://x.org/q/6", page("<base target=_top>", '<base href="/n/">', canonical("7"))),
+        (7, "http://x.org/n/7", page(canonical("http://a.org/bad/7"))),
+        (8, "http://x.org/q/8", page("<!-- <base href='http://a.org/bad/'> -->", canonical("9"))),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in url_filter.judge(pages, rules).collect()}
+    assert found == {i: "block" if i < 8 else "allow" for i in range(1, 9)}
