@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftmark.llm import (
     decontaminate,
+    filter_audit,
     html_extract,
     language,
     lattice,
@@ -17,10 +18,21 @@ from driftmark.llm import (
     quality,
     simhash,
     suffix_dedup,
+    tile_search,
     token_counts,
     url_filter,
+    vector_codes,
+)
+from driftmark.llm.sql import (
+    DECONTAMINATE_SQL,
+    FILTER_AUDIT_SQL,
+    LINE_DEDUP_SQL,
+    QUALITY_SQL,
+    SUFFIX_SQL,
+    TILE_SEARCH_SQL,
+    URL_SQL,
+    VECTOR_CODES_SQL,
 )
-from driftmark.llm.sql import DECONTAMINATE_SQL, LINE_DEDUP_SQL, QUALITY_SQL, SUFFIX_SQL, URL_SQL
 
 URL_RULES: tuple[url_filter.Rule, ...] = (
     ("block", "net", "/"),
@@ -94,6 +106,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_tile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_search.self_search(_table(spark, sf_dir, "embeddings"))
+
+
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Query name to (function of session and data folder, SQL or None)."""
     return {
@@ -107,4 +133,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op8_suffix_dedup": (op8_suffix_dedup, SUFFIX_SQL),
         "op9_quality_rules": (op9_quality_rules, QUALITY_SQL),
         "op10_simhash": (op10_simhash, None),
+        "op11_vector_codes": (op11_vector_codes, VECTOR_CODES_SQL),
+        "op12_filter_audit": (op12_filter_audit, FILTER_AUDIT_SQL),
+        "op13_tile_search": (op13_tile_search, TILE_SEARCH_SQL),
     }

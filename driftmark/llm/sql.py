@@ -189,3 +189,114 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(g.n_removed, 0) AS n_remo
        coalesce(g.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
 FROM docs d LEFT JOIN gone g ON g.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Nearest entries and moved codebooks, round by round. An entry's distance and number travel as
+    one whole number, so that the least one has the least distance and of equal ones the first."""
+
+    def near(turn: int) -> str:
+        return f"""near{turn} AS MATERIALIZED (
+  SELECT a.vec_id, a.p, a.x,
+         min(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {entries} + b.e) AS m
+  FROM parts a JOIN books{turn} b ON b.p = a.p GROUP BY a.vec_id, a.p, a.x
+)"""
+
+    def moved(turn: int) -> str:
+        return f"""means{turn} AS MATERIALIZED (
+  SELECT p, e, list(mean ORDER BY i) AS x FROM (
+    SELECT p, m % {entries} AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS mean
+    FROM near{turn - 1}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY p, m % {entries}, i)
+  GROUP BY p, e
+), books{turn} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM books{turn - 1} b LEFT JOIN means{turn} n ON n.p = b.p AND n.e = b.e
+)"""
+
+    steps = [near(0)]
+    for turn in range(1, rounds + 1):
+        steps += [moved(turn), near(turn)]
+    chain = ", ".join(steps)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+  FROM kept, (SELECT unnest(range(0, {parts})) AS p)
+), books0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+), {chain}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', (m % {entries})::INT), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS d FROM books{rounds}
+)
+SELECT c.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT d FROM digest) AS codebooks_sha256
+FROM coded c JOIN kept k ON k.vec_id = c.vec_id
+"""
+
+
+VECTOR_CODES_SQL = _vector_codes()
+
+FILTER_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), masks AS (
+  SELECT d.doc_id, part,
+    (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > first_id THEN 16 ELSE 0 END) AS mask
+  FROM d
+), said AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS n_good, sum(coalesce(bad, 0)) AS n_toxic
+  FROM masks LEFT JOIN said ON said.doc_id = masks.doc_id GROUP BY part, mask
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, instr('ABCDE', filter_order[step]) - 1 AS i,
+         list_sum(list_transform(range(1, step + 1), lambda j: 1 << (instr('ABCDE', filter_order[j]) - 1)))::BIGINT AS done
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), found AS (
+  SELECT part, filter_order, step, i,
+    sum(CASE WHEN mask & done = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & done = 1 << i THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & (1 << i) <> 0 AND mask & done <> 1 << i THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = 1 << i THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & done = 1 << i THEN n_good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & done = 1 << i THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, i
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley
+FROM found
+"""
+
+TILE_SEARCH_SQL = """
+WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM fit q JOIN fit c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
