@@ -7,10 +7,10 @@ their pairs. :func:`expand_copies` gives the repeated rows where a consumer want
 
 The comparison runs in two steps:
 
-1. :func:`locate` compares narrow rows, key and MD5 without the details text. Counting happens
+1. :func:`locate_in` compares narrow rows, key and MD5 without the details text. Counting happens
    before the shuffle, so a hot key or MD5 arrives as one row per task. Untouched keys drop out
    here, and what goes on is as large as the change.
-2. :func:`attach` looks the full rows up for the located keys. The located side is unique, so a
+2. :func:`attach_in` looks the full rows up for the located keys. The located side is unique, so a
    key with many rows can be split by the adaptive skew join, and a small one is broadcast at the
    size Spark has measured.
 """
@@ -35,25 +35,28 @@ def _scoped(current: DataFrame, keys: Sequence[str]) -> list[str]:
     return [*([DB] if DB in current.columns else []), *keys]
 
 
-def _has_key(keys: Sequence[str]) -> str:
+def has_key(keys: Sequence[str]) -> str:
     """NULL equals nothing: a row with a NULL in its key can't match."""
     return " AND ".join(f"{k} IS NOT NULL" for k in keys)
 
 
-def versions(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
+def sides(current: DataFrame, previous: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of both states, those of the previous one marked ``gone``."""
+    return current.selectExpr(*columns, "false as gone").unionByName(previous.selectExpr(*columns, "true as gone"))
+
+
+def versions_in(both: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key and MD5 with the number of rows on each side (``n_cur``, ``n_prev``). Rows
     without an MD5 are a version of their own: they have the key, but equal and differ from nothing."""
+    present = both.where(has_key(keys)).selectExpr(
+        *keys, MD5, "cast(NOT gone as bigint) as in_cur", "cast(gone as bigint) as in_prev"
+    )
+    return present.groupBy(*keys, MD5).agg(F.expr("sum(in_cur) as n_cur"), F.expr("sum(in_prev) as n_prev"))
 
-    def side(df: DataFrame, in_cur: int, in_prev: int) -> DataFrame:
-        present = df.where(_has_key(keys))
-        return present.selectExpr(*keys, MD5, f"{in_cur}L as in_cur", f"{in_prev}L as in_prev")
 
-    return (
-        side(current, 1, 0)
-        .unionByName(side(previous, 0, 1))
-        .groupBy(*keys, MD5)
-        .agg(F.expr("sum(in_cur) as n_cur"), F.expr("sum(in_prev) as n_prev"))
-    )
+def versions(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`versions_in` two states."""
+    return versions_in(sides(current, previous, [*keys, MD5]), keys)
 
 
 def _totals(v: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
@@ -78,17 +81,16 @@ def name_counts(current: DataFrame, previous: DataFrame) -> DataFrame:
     return _totals(versions(current, previous, keys), keys, "name").select(*keys, "name_cur", "name_prev")
 
 
-def locate(
-    current: DataFrame,
-    previous: DataFrame,
+def locate_in(
+    both: DataFrame,
     keys: Sequence[str],
     *,
     collision_safe: bool,
     unchanged: bool = False,
     settle: Callable[[str, DataFrame], DataFrame] = lambda _, df: df,
 ) -> DataFrame:
-    """Key, MD5, change type, copies and previous name of every change; at most one row per key,
-    MD5 and change type.
+    """Key, MD5, change type, copies and previous name of every change in the rows of two
+    :func:`sides`; at most one row per key, MD5 and change type.
 
     The last key is the object's own name. Without ``collision_safe`` each current row is RENAMED
     once per previous row with its parent and MD5 but another name, and MODIFIED once per previous
@@ -102,7 +104,7 @@ def locate(
     keys = list(keys)
     *parent, name = keys
     out = [*keys, MD5, CHANGE, "copies", PREVIOUS_NAME]
-    v = settle("versions", versions(current, previous, keys))
+    v = settle("versions", versions_in(both, keys))
 
     # A key is untouched when one version of it is on both sides; an MD5 is a candidate for a
     # rename when several names hold it and it is on both sides.
@@ -167,19 +169,26 @@ def locate(
     return located
 
 
-def attach(
-    located: DataFrame, current: DataFrame, previous: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """Full change rows for located keys, and the rows that a NULL key sets apart. Located keys
-    without an MD5 take the rows that have none."""
+def locate(current: DataFrame, previous: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """:func:`locate_in` two states."""
+    return locate_in(sides(current, previous, [*keys, MD5]), keys, **options)
+
+
+def row_columns(rows: DataFrame) -> list[str]:
+    """Columns of a fingerprint row, with the database where rows have one."""
+    return [c for c in (DB, *FINGERPRINT_COLUMNS) if c in rows.columns]
+
+
+def attach_in(located: DataFrame, both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full change rows for located keys, and the rows that a NULL key sets apart, from the rows of
+    two :func:`sides`. Located keys without an MD5 take the rows that have none."""
     keys = list(keys)
-    row = [c for c in (DB, *FINGERPRINT_COLUMNS) if c in current.columns]
+    row = row_columns(both)
     out = [*row, CHANGE, "copies", PREVIOUS_NAME]
-    both = current.selectExpr(*row, "false as gone").unionByName(previous.selectExpr(*row, "true as gone"))
     md5 = [f"coalesce({MD5}, '') as _md5", f"{MD5} IS NULL as _no_md5"]
     at = located.selectExpr("*", f"{CHANGE} = 'DELETED' as gone", *md5).drop(MD5)
-    found = both.where(_has_key(keys)).selectExpr("*", *md5).join(at, [*keys, "_md5", "_no_md5", "gone"])
-    loose = both.where(f"NOT ({_has_key(keys)})").selectExpr(
+    found = both.where(has_key(keys)).selectExpr("*", *md5).join(at, [*keys, "_md5", "_no_md5", "gone"])
+    loose = both.where(f"NOT ({has_key(keys)})").selectExpr(
         *row,
         f"CASE WHEN gone THEN 'DELETED' ELSE 'ADDED' END as {CHANGE}",
         "1L as copies",
@@ -188,6 +197,11 @@ def attach(
     return found.select(*out).unionByName(loose)
 
 
+def attach(located: DataFrame, current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`attach_in` two states."""
+    return attach_in(located, sides(current, previous, row_columns(current)), keys)
+
+
 def diff_child(
     current: DataFrame, previous: DataFrame, *, collision_safe: bool = False, unchanged: bool = False
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from driftmark.operators import diff
 from driftmark.operators.fingerprints import union_child, union_current, union_entity
 from driftmark.operators.metrics import metrics_run
 from driftmark.operators.scope import scope_exclude, scope_include
+from driftmark.plans.clustered_diff import clustered_changes
 from driftmark.schemas import CHILD_KEYS, DB, ENTITY_KEYS
 from driftmark.sources.extracts import Extracts
 from driftmark.sources.store import (
@@ -105,6 +106,20 @@ def _log_diff(
     return diff.attach(settle("located", located), current, previous, keys)
 
 
+def _log_clustered(store: SnapshotStore, table: str, snapshot_id: int, last: int) -> DataFrame:
+    """Change rows of one level from clustered states."""
+    settle, forget = store.settle_clustered(f"clustered-{table}-{snapshot_id}")
+    found = clustered_changes(
+        store.clustered[table],
+        snapshot_id,
+        last,
+        settle=lambda name, df: store.write_scratch(f"{name}-{table}-{snapshot_id}", df),
+        settle_clustered=settle,
+    )
+    forget()
+    return found
+
+
 def resolve_scope(extracts: Extracts, schemas: Sequence[str] | None = (), mode: str = "exclude", own: str = OWN) -> list[str]:
     """Names of the schemas that a run looks at: the listed ones that exist (``include``), or all user
     schemas but the engine's own and the listed ones (``exclude``). A name means the same in every
@@ -184,13 +199,17 @@ def run(
             child, entity = stage(STATE_CHILD, current.child), stage(STATE_ENTITY, current.entity)
             old_child = store.read_snapshot(STATE_CHILD, last)
             old_entity = store.read_snapshot(STATE_ENTITY, last)
+
+            def compare(table: str, level: str, now: DataFrame, before: DataFrame, keys, safe: bool) -> DataFrame:
+                if table in store.clustered and store.clustered[table].holds(last):
+                    return _log_clustered(store, table, n, last)
+                return _log_diff(store, n, level, now, before, keys, safe)
+
             by_child = step(
-                "compare_child",
-                lambda: _log_diff(store, n, "child", child, old_child, CHILD_KEYS, False),
+                "compare_child", lambda: compare(STATE_CHILD, "child", child, old_child, CHILD_KEYS, False)
             )
             by_entity = step(
-                "compare_entity",
-                lambda: _log_diff(store, n, "entity", entity, old_entity, ENTITY_KEYS, True),
+                "compare_entity", lambda: compare(STATE_ENTITY, "entity", entity, old_entity, ENTITY_KEYS, True)
             )
             log = step(
                 "log_changes", lambda: store.write_changes(n, diff.diff_unify(by_child, by_entity), now)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from driftmark import schemas
 from driftmark.operators import lifecycle
 from driftmark.operators.lifecycle import timestamp
+from driftmark.sources.clustered import ClusteredStates, settle_clustered
 
 REGISTRY, CHANGES, STATE_CHILD, STATE_ENTITY, METRICS, RUN_REPORT = (
     "registry",
@@ -39,9 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class SnapshotStore:
-    """Registry, change log, staged states, metrics and run reports under one root folder."""
+    """Registry, change log, staged states, metrics and run reports under one root folder.
 
-    def __init__(self, spark: SparkSession, root: str, *, multi_db: bool = False):
+    With ``buckets`` states are staged as bucketed tables with digests, see
+    :mod:`driftmark.sources.clustered`: comparing them reads only what may have changed, without an
+    exchange. The session's catalog then gets an entry for each state table.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, *, multi_db: bool = False, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.multi_db = multi_db
@@ -60,6 +66,14 @@ class SnapshotStore:
         }
         for name in self.schemas:
             self._fs().mkdirs(self._path(name))
+        self.clustered: dict[str, ClusteredStates] = {}
+        if buckets:
+            db = (schemas.DB,) if multi_db else ()
+            for name, keys, safe in ((STATE_CHILD, schemas.CHILD_KEYS, False), (STATE_ENTITY, schemas.ENTITY_KEYS, True)):
+                self._fs().mkdirs(self._path(f"digest_{name}"))
+                self.clustered[name] = ClusteredStates(
+                    spark, self.root, name, self.schemas[name], [*db, *keys], buckets, collision_safe=safe
+                )
 
     # --- files -----------------------------------------------------------------------------
 
@@ -73,6 +87,10 @@ class SnapshotStore:
 
     def _drop(self, table: str, snapshot_id: int) -> None:
         self._fs().delete(self._path(table, snapshot_id), True)
+        if table in STATES:
+            self._fs().delete(self._path(f"digest_{table}", snapshot_id), True)
+        if table in self.clustered:
+            self.clustered[table].drop(snapshot_id)
 
     def partitions(self, table: str) -> list[int]:
         """Snapshot ids that have a folder, registered or not."""
@@ -95,7 +113,10 @@ class SnapshotStore:
             raise ValueError("the rows have a source_db, but the store was opened for a single database")
         columns = [f for f in self.schemas[table].fields if f.name != "snapshot_id"]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
-        shaped.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")
+        if table in self.clustered:
+            self.clustered[table].write(snapshot_id, shaped)
+        else:
+            shaped.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")
 
     def write_scratch(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows written and read back: cuts the lineage and lets Spark see their size."""
@@ -103,6 +124,12 @@ class SnapshotStore:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def settle_clustered(self, prefix: str):
+        """A ``settle`` for frames with a cluster, as bucketed scratch tables, and a function that
+        makes the catalog forget them."""
+        buckets = next(iter(self.clustered.values())).buckets
+        return settle_clustered(self.spark, lambda name: f"{self.root}/_work/{prefix}-{name}", buckets)
+
     def drop_scratch(self) -> None:
         self._fs().delete(self._path("_work"), True)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftmark.operators import diff, lifecycle
 from driftmark.operators.fingerprints import fp_table, union_child, union_entity
 from driftmark.operators.metrics import metrics_base, metrics_object, metrics_run, metrics_table
+from driftmark.plans.clustered_diff import clustered_changes
 from driftmark.plans.snapshot_run import CurrentState, baseline_changes, route_state, run
 from driftmark.schemas import DB
 from driftmark.sources.extracts import combine_databases
@@ -109,6 +110,34 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return diff.diff_child(*_written(spark, sf, lineitem_state))
 
 
+def _clustered_diff(table_name: str, state) -> Callable[[SparkSession, str], DataFrame]:
+    """Difference of two staged snapshots from clusters with digests."""
+
+    def go(spark: SparkSession, sf: str) -> DataFrame:
+        store = SnapshotStore(spark, shared_folder(spark), buckets=16)
+        for n, side in ((1, "previous"), (2, "current")):
+            store.write_state(table_name, n, state(spark, sf, side), FIRST)
+        settle, forget = store.settle_clustered("query")
+        found = clustered_changes(store.clustered[table_name], 2, 1, settle=store.write_scratch, settle_clustered=settle)
+        forget()
+        return found.drop(*(["prev_object_type_name"] if table_name == STATE_CHILD else []))
+
+    return go
+
+
+# Customers whose orders differ between the states of the pruned comparison.
+_CHANGED_CUSTOMER = "cast(substr(object_type_name, 6) as int) % 499 = 0"
+
+
+def _few_orders(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    """Orders of which only a few customers' have changed."""
+    if side == "previous":
+        return orders_state(spark, sf, side)
+    return orders_state(spark, sf, "current").where(_CHANGED_CUSTOMER).unionByName(
+        orders_state(spark, sf, "previous").where(f"NOT ({_CHANGED_CUSTOMER})")
+    )
+
+
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return diff.diff_entity(*both(part_state, spark, sf))
 
@@ -221,6 +250,14 @@ def _history(spark: SparkSession, sf: str) -> SnapshotStore:
     return store
 
 
+def _run_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a baseline, a compare run and one without changes, over clustered states."""
+    store = SnapshotStore(spark, shared_folder(spark), buckets=16)
+    for side, at in (("previous", FIRST), ("current", SECOND), ("current", SECOND + timedelta(days=1))):
+        run(store, CurrentState.of_rows(orders_state(spark, sf, side), part_state(spark, sf, side)), now=at)
+    return store.read(CHANGES).drop("processed_time")
+
+
 def _run_log(spark: SparkSession, sf: str) -> DataFrame:
     return _history(spark, sf).read(CHANGES).drop("processed_time")
 
@@ -454,6 +491,16 @@ def queries() -> dict[str, Query]:
         lambda spark, sf: diff.expand_copies(_lines(spark, sf)),
         statement(LINES, "SELECT * FROM pairs"),
     )
+    out["diff_child_clustered"] = (_clustered_diff(STATE_CHILD, lineitem_state), statement(LINES, "SELECT * FROM changes"))
+    out["diff_entity_clustered"] = (_clustered_diff(STATE_ENTITY, part_state), statement(PARTS, "SELECT * FROM changes"))
+    few = (
+        f"SELECT * FROM all_cur WHERE {_CHANGED_CUSTOMER} "
+        f"UNION ALL SELECT * FROM prev WHERE NOT ({_CHANGED_CUSTOMER})"
+    )
+    out["diff_child_pruned"] = (
+        _clustered_diff(STATE_CHILD, _few_orders),
+        statement({"all_cur": ORDERS["cur"], "prev": ORDERS["prev"], "cur": few, **child_diff_sql()}, "SELECT * FROM changes"),
+    )
     out["diff_entity"] = (_parts, statement(PARTS, "SELECT * FROM changes"))
     for kind in ("renamed", "modified", "added", "deleted"):
         where = f"SELECT * FROM changes WHERE change_type = '{kind.upper()}'"
@@ -572,6 +619,10 @@ def queries() -> dict[str, Query]:
         _run_log,
         statement(LEVELS, f"SELECT 1 AS snapshot_id, * FROM ({baseline}) UNION ALL {second}"),
     )
+    out["snapshot_run_clustered"] = (
+        _run_clustered,
+        statement(LEVELS, f"SELECT 1 AS snapshot_id, * FROM ({baseline}) UNION ALL {second}"),
+    )
     out["rollback_snapshot"] = (
         _rollback,
         statement(LEVELS, f"SELECT 1 AS snapshot_id, *, TRUE AS refused FROM ({baseline})"),
