@@ -139,11 +139,98 @@ def metrics_object(changes: DataFrame) -> DataFrame:
     )
 
 
+def tally(changes: DataFrame, *staged: DataFrame) -> DataFrame:
+    """Everything the metrics need from the log and the staged rows, read once: rows per schema, type,
+    table name, subtype and change (``n``, ``n_log``), and whether the schema was staged."""
+    scope = _scope(changes)
+    real = real_changes(changes)
+    log = real.select(
+        *scope,
+        "schema_name",
+        F.upper("object_type").alias("obj_type"),
+        F.when(F.upper("object_type") == "TABLE", F.col("object_type_name")).alias("table_name"),
+        F.upper(F.coalesce("object_subtype", F.lit(""))).alias("obj_subtype"),
+        "change_type",
+        copies(real).alias("n"),
+        F.lit(1).cast("long").alias("n_log"),
+        F.lit(0).cast("long").alias("staged"),
+    )
+    none = F.lit(None).cast("string")
+    for rows in staged:
+        log = log.unionByName(
+            rows.select(
+                *scope,
+                "schema_name",
+                *[none.alias(c) for c in _KINDS[1:]],
+                F.lit(0).cast("long").alias("n"),
+                F.lit(0).cast("long").alias("n_log"),
+                F.lit(1).cast("long").alias("staged"),
+            )
+        )
+    return log.groupBy(*scope, *_KINDS).agg(F.sum("n").alias("n"), F.sum("n_log").alias("n_log"), F.max("staged").alias("staged"))
+
+
+_KINDS = ("schema_name", "obj_type", "table_name", "obj_subtype", "change_type")
+
+
+def _metric(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("metric_name"), value.cast("long").alias("metric_value"))
+
+
 def metrics_run(changes: DataFrame, *staged: DataFrame) -> DataFrame:
-    """All metrics of a snapshot: the base ones always, the others where there are changes."""
-    base = metrics_base(changes, *staged)
-    tables = metrics_table(changes)
-    if not _scope(changes):
-        # Without a snapshot to group by, the counts are there even for an empty log.
-        tables = tables.where(real_changes(changes).select(F.count(F.lit(1))).scalar() > 0)
-    return base.unionByName(tables).unionByName(metrics_object(changes))
+    """All metrics of a snapshot: the base ones always, the others where there are changes.
+
+    The log is read once. Its tally is grouped by schema, by table name and by kind of object in one
+    expansion; each group says what it adds to which metric.
+    """
+    scope = _scope(changes)
+    flags = {c: f"is_{c.lower()}" for c in CHANGE_WORDS.values()}
+    rows = tally(changes, *staged).withColumns({f: (F.col("change_type") == c).cast("long") for c, f in flags.items()})
+    by_schema, by_table = [*scope, "schema_name"], [*scope, "table_name"]
+    by_kind = [*scope, "obj_type", "obj_subtype", "change_type"]
+    groups = rows.groupingSets([by_schema, by_table, by_kind], *scope, *_KINDS).agg(
+        F.grouping_id().alias("level"),
+        F.sum("n").alias("n"),
+        F.sum("n_log").alias("n_log"),
+        F.max("staged").alias("staged"),
+        *[F.max(f).alias(f) for f in flags.values()],
+    )
+
+    def level(by: list[str]) -> Column:
+        return F.col("level") == sum(1 << i for i, c in enumerate(reversed(_KINDS)) if c not in by)
+
+    changed = (F.col("n") > 0) & F.col("schema_name").isNotNull()
+    base = [
+        _metric("Schemas Monitored", F.col("staged")),
+        _metric("Schemas With Changes", changed),
+        _metric("Total Change Operations", F.col("n")),
+    ]
+    named = F.col("table_name").isNotNull()
+    tables = [_metric("Tables With Changes", named)]
+    tables += [_metric(f"Tables {word}", named & (F.col(flags[c]) == 1)) for word, c in CHANGE_WORDS.items()]
+    objects = [
+        F.when(_is_kind(t, s) & (F.col("change_type") == change), _metric(f"{kind} {word}", F.col("n")))
+        for kind, t, s in OBJECT_KINDS
+        for word, change in CHANGE_WORDS.items()
+    ]
+    added = (
+        F.when(level(by_schema), F.array(*base))
+        .when(level(by_table) & (F.col("n_log") > 0), F.array(*tables))
+        .when(level(by_kind) & (F.col("n_log") > 0), F.filter(F.array(*objects), lambda m: m.isNotNull()))
+    )
+    found = groups.select(*scope, F.explode(added).alias("m")).select(*scope, "m.*")
+    if not scope:
+        # Without a snapshot to group by, the base metrics are there even for empty tables.
+        nothing = changes.sparkSession.range(1).select(F.explode(F.array(*[_metric(n, F.lit(0)) for n in _BASE])).alias("m"))
+        found = found.unionByName(nothing.select("m.*"))
+    return found.groupBy(*scope, "metric_name").agg(F.sum("metric_value").alias("metric_value"))
+
+
+_BASE = ("Schemas Monitored", "Schemas With Changes", "Total Change Operations")
+
+
+def _is_kind(object_type: str | None, subtype: str | None) -> Column:
+    """Rows of the kind's type whose subtype is the kind's (none when it has none), or every row of its
+    subtype."""
+    of_type = F.lit(False) if object_type is None else (F.col("obj_type") == object_type) & (F.col("obj_subtype") == (subtype or ""))
+    return of_type if subtype is None else of_type | (F.col("obj_subtype") == subtype)

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.operators import diff
 from driftmark.operators.fingerprints import union_child, union_current, union_entity
 from driftmark.operators.metrics import metrics_run
+from driftmark.operators.routing import route_state
 from driftmark.operators.scope import scope_exclude, scope_include
 from driftmark.plans.clustered_diff import clustered_changes
 from driftmark.schemas import CHILD_KEYS, DB, ENTITY_KEYS
@@ -32,26 +33,6 @@ OWN = "driftmark"
 # What the run report calls the two kinds of run.
 FIRST_RUN, LATER_RUN = "Initial Load", "Subsequent Compare Run"
 
-CHILD_SUBTYPES = ("Column", "Constraint", "Index", "Reference", "Trigger")
-ENTITY_TYPES = ("Function", "View", "Materialized View", "Sequence")
-
-
-def is_child() -> Column:
-    """Rows that a baseline stages as children."""
-    subtype = F.col("object_subtype")
-    return subtype.isin(*CHILD_SUBTYPES) | ((F.col("object_type") == "Table") & (subtype == "Sequence"))
-
-
-def is_entity() -> Column:
-    """Rows that a baseline stages as entities. Columns of views pass both rules, so a baseline
-    holds them twice; later runs don't."""
-    return F.col("object_type").isin(*ENTITY_TYPES)
-
-
-def route_state(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Child and entity state of a baseline."""
-    return rows.where(is_child()), rows.where(is_entity())
-
 
 def baseline_changes(rows: DataFrame) -> DataFrame:
     """Every row of a first state as ADDED."""
@@ -149,8 +130,9 @@ def run(
     """Take a snapshot and return its id, or None when ``once_daily`` skips the run.
 
     Catalog extracts are looked at in the schemas that ``schemas`` and ``mode`` choose; a state given
-    as rows is taken as it is. A run whose predecessor has no staged state any more, because a later
-    snapshot retired it and was rolled back, is refused: it would report everything as new.
+    as rows is taken as it is. Where the predecessor has no staged state any more, because a later
+    snapshot retired it and was rolled back, it is rebuilt from the log first; the run is refused if
+    that doesn't give the state that was staged, since it would report what hasn't changed.
 
     The first run stages and logs everything as ADDED, later ones log the difference. Whatever
     fails, the new snapshot is removed again and the last one stays as it was: old staged rows
@@ -175,7 +157,7 @@ def run(
         current = CurrentState.of_catalog(extracts, names)
     last = store.latest()
     if last is not None and not all(last in store.partitions(t) for t in (STATE_CHILD, STATE_ENTITY)):
-        raise RuntimeError(f"snapshot {last} has no staged state to compare with; stage it again first")
+        step("restage", lambda: store.restage(last), f"Rebuilt {last}")
     step("mode", lambda: None, FIRST_RUN if last is None else LATER_RUN)
     if last is None:
         step("clean_orphans", lambda: store.clean_orphans(allow=allow_cleanup))
@@ -214,6 +196,7 @@ def run(
             log = step(
                 "log_changes", lambda: store.write_changes(n, diff.diff_unify(by_child, by_entity), now)
             )
+        step("digest", lambda: store.write_digests(n))
         step(METRICS, lambda: store.upsert_metrics(n, metrics_run(log, child, entity), now))
         step("register", lambda: store.register(n, name, now))
     except BaseException:

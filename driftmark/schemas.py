@@ -65,6 +65,10 @@ RUN_REPORT_SCHEMA = _struct(
 )
 
 
+# Rows and hash sums of a staged state, kept when the state itself is retired.
+STATE_DIGEST_SCHEMA = _struct("snapshot_id int, level string, n_rows bigint, h1 string, h2 string")
+
+
 def with_db(schema: T.StructType) -> T.StructType:
     """The same schema for a store that holds several databases."""
     return T.StructType([T.StructField(DB, T.StringType()), *schema.fields])

@@ -16,19 +16,24 @@ from pyspark.sql import types as T
 
 from driftmark import schemas
 from driftmark.operators import lifecycle
+from driftmark.operators.diff import row_columns
 from driftmark.operators.lifecycle import timestamp
+from driftmark.operators.replay import state_at, state_digest
+from driftmark.operators.reports import report_window
+from driftmark.operators.routing import is_child, is_entity
 from driftmark.sources.clustered import ClusteredStates, settle_clustered
 
-REGISTRY, CHANGES, STATE_CHILD, STATE_ENTITY, METRICS, RUN_REPORT = (
+REGISTRY, CHANGES, STATE_CHILD, STATE_ENTITY, METRICS, RUN_REPORT, STATE_DIGEST = (
     "registry",
     "changes",
     "state_child",
     "state_entity",
     "metrics",
     "run_report",
+    "state_digest",
 )
 STATES = (STATE_CHILD, STATE_ENTITY)
-SNAPSHOT_DATA = (*STATES, CHANGES, METRICS, RUN_REPORT)
+SNAPSHOT_DATA = (*STATES, CHANGES, METRICS, RUN_REPORT, STATE_DIGEST)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,6 +68,7 @@ class SnapshotStore:
             **tables,
             REGISTRY: schemas.REGISTRY_SCHEMA,
             RUN_REPORT: schemas.RUN_REPORT_SCHEMA,
+            STATE_DIGEST: schemas.STATE_DIGEST_SCHEMA,
         }
         for name in self.schemas:
             self._fs().mkdirs(self._path(name))
@@ -118,6 +124,19 @@ class SnapshotStore:
         else:
             shaped.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")
 
+    def write_snapshots(self, table: str, rows: DataFrame) -> None:
+        """Write a table's rows of several snapshots, told apart by their ``snapshot_id``, in one job.
+        Every snapshot that has rows is replaced, others stay; so the job can be repeated. Rows are
+        dealt to the tasks by snapshot, with a large one split and small ones put together."""
+        if schemas.DB in rows.columns and table in (CHANGES, *STATES, METRICS) and not self.multi_db:
+            raise ValueError("the rows have a source_db, but the store was opened for a single database")
+        if table in self.clustered:
+            raise ValueError("clustered states are staged snapshot by snapshot, with their digests")
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[table].fields])
+        shaped = shaped.hint("rebalance", F.col("snapshot_id"))
+        writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("snapshot_id").parquet(f"{self.root}/{table}")
+
     def write_scratch(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows written and read back: cuts the lineage and lets Spark see their size."""
         path = f"{self.root}/_work/{name}"
@@ -140,6 +159,43 @@ class SnapshotStore:
         self.write_snapshot(table, snapshot_id, rows.withColumn("processed_time", timestamp(at)))
         return self.read_snapshot(table, snapshot_id)
 
+    def write_digests(self, snapshot_id: int) -> None:
+        """Keep digests of the staged states, which outlive them."""
+        levels = [state_digest(self.read_snapshot(t, snapshot_id)).withColumn("level", F.lit(t)) for t in STATES]
+        self.write_snapshot(STATE_DIGEST, snapshot_id, levels[0].unionByName(levels[1]).coalesce(1))
+
+    def rebuilt_state(self, table: str, snapshot_id: int) -> DataFrame:
+        """Rows of a state that isn't staged any more, from the log; see :mod:`driftmark.operators.replay`."""
+        log = self.read(CHANGES)
+        keys = schemas.CHILD_KEYS if table == STATE_CHILD else schemas.ENTITY_KEYS
+        if snapshot_id == self.read(REGISTRY).agg(F.min("snapshot_id")).first()[0]:
+            # A baseline logs every row once and stages it where it belongs, some rows twice.
+            rows = self.read_snapshot(CHANGES, snapshot_id)
+            return rows.where(is_child() if table == STATE_CHILD else is_entity()).select(*row_columns(rows))
+        level = log.where(F.col("object_subtype").isNotNull() if table == STATE_CHILD else F.col("object_subtype").isNull())
+        keys = [*([schemas.DB] if self.multi_db else []), *keys]
+        return state_at(
+            level, keys, snapshot_id, collision_safe=table == STATE_ENTITY, settle=lambda n, df: self.write_scratch(f"{n}-{table}", df)
+        )
+
+    def restage(self, snapshot_id: int) -> None:
+        """Stage a registered snapshot's states again from the log. An error, and nothing staged, where
+        the rebuilt states don't have the digests that were kept."""
+        at = self.read_snapshot(REGISTRY, snapshot_id).first().processed_time
+        kept = {r.level: (r.n_rows, r.h1, r.h2) for r in self.read_snapshot(STATE_DIGEST, snapshot_id).collect()}
+        try:
+            for table in STATES:
+                rows = self.write_scratch(f"rebuilt-{table}", self.rebuilt_state(table, snapshot_id))
+                if kept.get(table) != tuple(state_digest(rows).first()):
+                    raise RuntimeError(f"the log doesn't give back the {table} of snapshot {snapshot_id}; stage it again first")
+                self.write_state(table, snapshot_id, rows, at)
+        except BaseException:
+            for table in STATES:
+                self._drop(table, snapshot_id)
+            raise
+        finally:
+            self.drop_scratch()
+
     def write_changes(self, snapshot_id: int, changes: DataFrame, at: datetime) -> DataFrame:
         """Append a snapshot's change rows and return them as stored."""
         self.write_snapshot(CHANGES, snapshot_id, changes.withColumn("processed_time", timestamp(at)))
@@ -157,6 +213,10 @@ class SnapshotStore:
         self.write_snapshot(METRICS, snapshot_id, fresh)
         return self.read_snapshot(METRICS, snapshot_id)
 
+    def window(self, start: datetime, end: datetime) -> DataFrame:
+        """Log rows of the snapshots registered from ``start`` to ``end``; other folders aren't read."""
+        return report_window(self.read(CHANGES), start, end, self.read(REGISTRY))
+
     # --- registry --------------------------------------------------------------------------
 
     def latest(self) -> int | None:

@@ -101,3 +101,43 @@ def test_report_of_one_snapshot_reads_one_folder(spark, tmp_path):
     newest = reports.report_changes_of(log)
     assert {r.snapshot_id for r in newest.collect()} == {2}
     assert "PartitionFilters: [isnotnull(snapshot_id" in plan(newest)
+
+
+def test_metrics_read_the_log_once(spark, tmp_path):
+    from driftmark.operators.metrics import metrics_run
+
+    columns = "schema_name string, object_type string, object_type_name string, object_subtype string, change_type string, copies bigint"
+    spark.createDataFrame([("s", "Table", "t", "Column", "ADDED", 2)], columns).write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    found = metrics_run(log, spark.createDataFrame([("s",), ("r",)], "schema_name string"))
+    assert len(re.findall("FileScan parquet", plan(found))) == 1
+    assert {r.metric_name: r.metric_value for r in found.collect()} == {
+        "Schemas Monitored": 2, "Schemas With Changes": 1, "Total Change Operations": 2, "Tables With Changes": 1, "Tables Added": 1,
+        "Tables Modified": 0, "Tables Dropped": 0, "Tables Renamed": 0, "Columns Added": 2,
+    }
+
+
+def test_window_reads_the_snapshots_it_is_about(spark, tmp_path):
+    """The registry's rows of the window become a filter on the log's folders while the job runs."""
+    from datetime import datetime, timedelta
+
+    from driftmark.sources.store import CHANGES, REGISTRY, SnapshotStore
+
+    store, first = SnapshotStore(spark, str(tmp_path)), datetime(2024, 1, 1)
+    days = [(n, f"snapshot_{n}", first + timedelta(days=n)) for n in range(1, 21)]
+    registry = spark.createDataFrame(days, store.schemas[REGISTRY])
+    store.write_snapshots(REGISTRY, registry)
+    log = spark.range(2000).selectExpr(
+        "cast(id % 20 + 1 as int) as snapshot_id", "'s' as schema_name", "'Table' as object_type", "'t' as object_type_name",
+        "'Column' as object_subtype", "cast(id as string) as object_subtype_name", "'d' as object_subtype_details",
+        "md5(cast(id as string)) as object_md5", "'ADDED' as change_type", "1L as copies",
+    ).join(registry.drop("snapshot_name"), "snapshot_id")
+    store.write_snapshots(CHANGES, log)
+    found = store.window(first + timedelta(days=3), first + timedelta(days=5))
+    assert re.search(r"dynamicpruning.*snapshot_id", plan(found))
+    assert {r.snapshot_id for r in found.collect()} == {3, 4, 5} and found.count() == 300
+    with_times = reports.report_window(store.read(CHANGES), first + timedelta(days=3), first + timedelta(days=5))
+    assert with_times.count() == 300
+    # Written again, a part of the snapshots replaces itself and leaves the others.
+    store.write_snapshots(CHANGES, log.where("snapshot_id = 4 AND cast(object_subtype_name as int) < 1000"))
+    assert store.window(first + timedelta(days=3), first + timedelta(days=5)).count() == 250

@@ -12,7 +12,8 @@ from driftmark.operators import diff, lifecycle
 from driftmark.operators.fingerprints import fp_table, union_child, union_entity
 from driftmark.operators.metrics import metrics_base, metrics_object, metrics_run, metrics_table
 from driftmark.plans.clustered_diff import clustered_changes
-from driftmark.plans.snapshot_run import CurrentState, baseline_changes, route_state, run
+from driftmark.operators.routing import route_state
+from driftmark.plans.snapshot_run import CurrentState, baseline_changes, run
 from driftmark.schemas import DB
 from driftmark.sources.extracts import combine_databases
 from driftmark.sources.store import (
@@ -234,6 +235,20 @@ def _metrics_run_events(spark: SparkSession, sf: str) -> DataFrame:
     return metrics_run(log, log.select("snapshot_id", "schema_name"))
 
 
+def _metrics_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of all days of the log in one write, over those of a part of them, and once more."""
+    store = _store(spark)
+    log = event_log(spark, sf)
+    store.write_snapshots(METRICS, _stamped(metrics_run(log.where("snapshot_id <= 5"), log.select("snapshot_id", "schema_name"))))
+    for _ in range(2):
+        store.write_snapshots(METRICS, _stamped(_metrics_run_events(spark, sf)))
+    return store.read(METRICS).drop("metrics_time")
+
+
+def _stamped(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumn("metrics_time", lifecycle.timestamp(FIRST))
+
+
 # --- store ---------------------------------------------------------------------------------
 
 
@@ -321,16 +336,42 @@ def _retain_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rollback(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left after a second snapshot was rolled back, and whether the next run is refused: the
-    second snapshot had retired the state to compare with."""
+    """What is left after a second snapshot was rolled back."""
     store = _history(spark, sf)
     store.rollback(2)
-    state = CurrentState.of_rows(orders_state(spark, sf, "current"), part_state(spark, sf, "current"))
-    try:
-        refused = run(store, state, now=SECOND) is None
-    except RuntimeError:
-        refused = True
-    return store.read(CHANGES).drop("processed_time").withColumn("refused", F.lit(refused))
+    return store.read(CHANGES).drop("processed_time")
+
+
+def _rollback_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """The log after a third snapshot was rolled back and taken again: the second one's states had been
+    retired, and are rebuilt from the log."""
+    store = _catalog_history(spark, sf)
+    store.rollback(3)
+    run(store, _catalog_state(spark, sf, "previous"), now=SECOND)
+    return store.read(CHANGES).drop("processed_time")
+
+
+def _catalog_state(spark: SparkSession, sf: str, side: str) -> CurrentState:
+    """Child and entity rows of a derived catalog whose views have no columns, which a baseline would
+    stage twice."""
+    found = extracts(spark, sf, side)
+    child = union_child(found).drop(DB).where(F.col("object_type") == "Table")
+    return CurrentState.of_rows(child, union_entity(found).drop(DB))
+
+
+def _catalog_history(spark: SparkSession, sf: str) -> SnapshotStore:
+    """A store after three snapshots of catalogs: there and back again."""
+    store = _store(spark)
+    for side, at in (("previous", FIRST), ("current", SECOND), ("previous", SECOND + timedelta(days=1))):
+        run(store, _catalog_state(spark, sf, side), now=at)
+    return store
+
+
+def _rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """States of the second of three snapshots, rebuilt from the log after they were retired."""
+    store = _catalog_history(spark, sf)
+    levels = [store.rebuilt_state(t, 2).withColumn("level", F.lit(t)) for t in (STATE_CHILD, STATE_ENTITY)]
+    return levels[0].unionByName(levels[1])
 
 
 def _without_some_md5s(state, spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -457,13 +498,13 @@ def _life_sql(last: str) -> str:
 def _steps_sql() -> str:
     first = [
         ("mode", "Initial Load"), ("clean_orphans", "Completed"), ("read_current", "Completed"),
-        ("stage_state_child", "Completed"), ("stage_state_entity", "Completed"), ("log_baseline", "Completed"),
+        ("stage_state_child", "Completed"), ("stage_state_entity", "Completed"), ("log_baseline", "Completed"), ("digest", "Completed"),
         ("metrics", "Completed"), ("register", "Completed"), ("retain", "Kept 1"),
     ]
     second = [
         ("mode", "Subsequent Compare Run"), ("retain_previous", "Kept 1"), ("stage_state_child", "Completed"),
         ("stage_state_entity", "Completed"), ("compare_child", "Completed"), ("compare_entity", "Completed"),
-        ("log_changes", "Completed"), ("metrics", "Completed"), ("register", "Completed"), ("retain", "Kept 2"),
+        ("log_changes", "Completed"), ("digest", "Completed"), ("metrics", "Completed"), ("register", "Completed"), ("retain", "Kept 2"),
     ]
     rows = [
         f"({n}, {i}, '{step}', '{result}')"
@@ -568,8 +609,7 @@ def queries() -> dict[str, Query]:
         statement(LEVELS, f"{BASE_SQL} UNION ALL {_table_sql('log')} UNION ALL {_object_sql('log')}"),
     )
     per_day = "(SELECT *, 1 AS copies FROM log)"
-    out["metrics_run_by_snapshot"] = (
-        _metrics_run_events,
+    by_snapshot = (
         statement(
             {"log": event_log_sql()},
             f"""
@@ -590,8 +630,10 @@ def queries() -> dict[str, Query]:
                   GROUP BY snapshot_id)
             UNION ALL
             {_object_sql(per_day).replace("SELECT label", "SELECT snapshot_id, label").replace("GROUP BY label", "GROUP BY snapshot_id, label")}""",
-        ),
+        )
     )
+    out["metrics_run_by_snapshot"] = (_metrics_run_events, by_snapshot)
+    out["metrics_backfill"] = (_metrics_backfill, by_snapshot)
 
     out["route_state"] = (
         lambda spark, sf: _baseline(spark, sf).where(F.col("level") != "log"),
@@ -625,7 +667,35 @@ def queries() -> dict[str, Query]:
     )
     out["rollback_snapshot"] = (
         _rollback,
-        statement(LEVELS, f"SELECT 1 AS snapshot_id, *, TRUE AS refused FROM ({baseline})"),
+        statement(LEVELS, f"SELECT 1 AS snapshot_id, * FROM ({baseline})"),
+    )
+    catalogs = {**catalog_sql("x_"), **catalog_sql("y_", "previous")}
+    tables_only = "object_type = 'Table'"
+    out["state_by_replay"] = (
+        _rebuilt,
+        statement(
+            catalogs,
+            f"SELECT {ROW}, 'state_child' AS level FROM x_child WHERE {tables_only} "
+            f"UNION ALL SELECT {ROW}, 'state_entity' FROM x_entity",
+        ),
+    )
+    moves, logs = {}, []
+    for n, (p, now, before) in enumerate((("a", "x_", "y_"), ("b", "y_", "x_")), 2):
+        moves |= {
+            f"{p}ccur": f"SELECT * FROM {now}child WHERE {tables_only}",
+            f"{p}cprev": f"SELECT * FROM {before}child WHERE {tables_only}",
+            f"{p}ecur": f"SELECT * FROM {now}entity",
+            f"{p}eprev": f"SELECT * FROM {before}entity",
+        }
+        moves |= child_diff_sql(f"{p}c") | entity_diff_sql(f"{p}e")
+        logs += [f"SELECT {n} AS snapshot_id, {ROW}, change_type, copies FROM {p}{level}changes" for level in "ce"]
+    first = f"SELECT {ROW} FROM y_child WHERE {tables_only} UNION ALL SELECT {ROW} FROM y_entity"
+    out["rollback_rerun"] = (
+        _rollback_rerun,
+        statement(
+            {**catalogs, **moves},
+            f"SELECT 1 AS snapshot_id, *, 'ADDED' AS change_type, 1 AS copies FROM ({first}) UNION ALL " + " UNION ALL ".join(logs),
+        ),
     )
     out["snapshot_run_metrics"] = (
         _run_metrics,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.canon import fmt_time
 from driftmark.operators import reports
+from driftmark.operators.joins import skew_join
+from driftmark.sources.store import CHANGES, REGISTRY, SnapshotStore, shared_folder
 from workload.catalog_sql import statement
 from workload.log import event_log, event_log_sql
 
@@ -65,6 +67,17 @@ _DB_LOG = """SELECT * FROM (SELECT *, 'db_' || (substr(schema_name, 8)::INT % 3)
             WHERE source_db <> 'db_1' OR snapshot_id <= 15"""
 
 
+def _window_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the snapshots in a window, from a stored log whose other folders aren't read."""
+    store = SnapshotStore(spark, shared_folder(spark))
+    log = event_log(spark, sf).withColumn("copies", F.lit(1).cast("long"))
+    days = log.groupBy("snapshot_id").agg(F.max("processed_time").alias("processed_time"))
+    store.write_snapshots(REGISTRY, days.withColumn("snapshot_name", F.concat(F.lit("snapshot_"), "snapshot_id")))
+    store.write_snapshots(CHANGES, skew_join(log.drop("processed_time"), days, ["snapshot_id"]))
+    found = store.window(START, END).groupBy("snapshot_id")
+    return found.agg(F.count("*").alias("n_rows"), F.count_distinct("object_md5").alias("n_md5s"))
+
+
 def queries() -> dict[str, Query]:
     def sql(last: str) -> str:
         return statement(NAMED, last)
@@ -128,6 +141,14 @@ def queries() -> dict[str, Query]:
         lambda spark, sf: _texts(reports.report_window(event_log(spark, sf), START, END)),
         sql(f"{_LOG_TEXT} log WHERE processed_time BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"),
     )
+    out["report_window_pruned"] = (
+        _window_pruned,
+        sql(
+            "SELECT l.snapshot_id, count(*) AS n_rows, count(DISTINCT l.object_md5) AS n_md5s FROM log l "
+            "JOIN (SELECT snapshot_id, max(processed_time) AS t FROM log GROUP BY snapshot_id) r "
+            f"ON r.snapshot_id = l.snapshot_id AND r.t BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' GROUP BY l.snapshot_id"
+        ),
+    )
     out["window_resolve"] = (
         windowed(start=START, end=END),
         sql(f"{_LOG_TEXT} log WHERE processed_time BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '2024-01-09 23:59:59'"),
