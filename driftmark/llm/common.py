@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from driftmark.operators.joins import skew_join
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Bytes of a batch of rows on its way to a Python worker; the JVM holds it once more.
+BATCH_BYTES = 8 << 20
+# Bytes of text that a Python worker takes apart at a time.
+SLICE_BYTES = 2 << 20
 _own_root: dict[str, str] = {}
 
 
@@ -27,6 +33,18 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most ``BATCH_BYTES`` go to Python workers from jobs that begin inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables an operator writes and reads back: each is computed once, lineage ends there, and a
     lost executor costs only its own tasks. ``drop`` deletes what no result reads any more."""
@@ -39,7 +57,8 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def settle(self, table: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self.path(table))
+        with small_batches(self.spark):
+            rows.write.mode("overwrite").parquet(self.path(table))
         return self.read(table, rows.schema)
 
     def read(self, table: str, schema) -> DataFrame:
@@ -57,6 +76,18 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Parts ``(from, to)`` of rows that hold about ``limit`` bytes each; a longer row is one alone."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield at, i
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+_QUOTED = r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+_COMMENT, _PLAIN = r"<!--.*?(?:-->|\Z)", r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>"
+_TOKEN = re.compile(f"{_COMMENT}|{_QUOTED}|{_PLAIN}", re.S)
+_TOKEN_WITHOUT_QUOTES = re.compile(f"{_COMMENT}|(?!)()()()|{_PLAIN}", re.S)
+# Tags whose quotes never close that a page may have until its quotes are no longer looked at; each
+# costs a search to the end of the page.
+OPEN_QUOTES = 32
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Their content is no text of the page.
-RAW = frozenset("script style noscript template title svg math iframe object textarea select".split())
+# Their content is no markup, and no text of the page.
+RAW = frozenset("script style template title iframe textarea".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time "
     "tt u var wbr data ruby rb rt rp".split()
 )
+# Tags that are told apart as ancestors.
+KNOWN = frozenset(
+    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main math menu nav noscript object ol optgroup option p pre "
+    "section select summary svg table tbody td tfoot th thead tr ul".split()
+)
 # An element that a new one of the same kind ends.
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
 # Words in class, id, role and itemprop by what they tell.
@@ -62,6 +73,7 @@ class _Open:
 @dataclass
 class _Walk:
     stack: list[_Open] = field(default_factory=lambda: [_Open("")])
+    opened: Counter[str] = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
@@ -86,8 +98,9 @@ class _Walk:
         self.close()
         if tag in SELF_ENDING and self.stack[-1].tag == tag:
             self.stack.pop()
+            self.opened[tag] -= 1
         top = self.stack[-1]
-        around, labelled = {f"in:{tag}"}, top.labelled
+        around, labelled = {f"in:{tag}"} if tag in KNOWN else set(), top.labelled
         if attributes and not attributes.isspace():
             values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             told = " ".join(values.get(k, "") for k in ("class", "id", "role", "itemprop"))
@@ -96,36 +109,50 @@ class _Walk:
             if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style:
                 around.add("key:hidden")
             labelled = labelled or LABEL in values
-        self.stack.append(_Open(tag, top.around | around, labelled))
+        self.stack.append(_Open(tag, top.around | around if around - top.around else top.around, labelled))
+        self.opened[tag] += 1
 
     def end(self, tag: str) -> None:
         self.close()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
+        while self.opened[tag]:
+            closed = self.stack.pop().tag
+            self.opened[closed] -= 1
+            if closed == tag:
                 break
 
 
 def blocks(page: str | None) -> list[Block]:
     """Blocks in page order. Character references are decoded once; comments, scripts, styles and
-    titles are no text; a tag that is never closed ends with its parent."""
+    titles are no text; a tag that is never closed ends with its parent, and one of these that has no
+    end tag ends where it begins, a script or style at the next tag. The work grows with the page's length, whatever it holds."""
     walk, at, page = _Walk(), 0, page or ""
+    last, token, open_quotes = page.rfind(">"), _TOKEN, 0
+    endless: set[str] = set()
     while True:
-        m = _TOKEN.search(page, at)
+        # Behind the last > there are no tags, but a comment may begin.
+        m = token.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
         walk_to = m.start() if m else len(page)
         if walk_to > at:
             walk.text(page[at:walk_to])
         if m is None:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or m[5] or "").lower() if m.re is not _OPEN_COMMENT else ""
         if not tag:
             continue
         ends, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if m[5]:
+            open_quotes += 1
+            token = _TOKEN if open_quotes < OPEN_QUOTES else _TOKEN_WITHOUT_QUOTES
         if tag in RAW:
             if not ends and not attributes.endswith("/"):
-                over = _RAW_END[tag].search(page, at)
-                at = over.end() if over else len(page)
+                over = None if tag in endless else _RAW_END[tag].search(page, at)
+                if over:
+                    at = over.end()
+                else:
+                    endless.add(tag)
+                    if tag in ("script", "style") and (at := page.find("<", at)) < 0:
+                        break
             walk.close()
         elif tag in INLINE:
             if tag == "a":
@@ -136,6 +163,8 @@ def blocks(page: str | None) -> list[Block]:
             walk.close()
         elif ends:
             walk.end(tag)
+        elif attributes.endswith("/") and (walk.opened["svg"] or walk.opened["math"]):
+            walk.close()
         else:
             walk.start(tag, attributes)
     walk.close()

@@ -40,7 +40,7 @@ def features_of(found: list[Block]) -> crf.Features:
 
 # --- labelled pages ------------------------------------------------------------------------------
 
-_AROUND = ("nav", "aside", "footer", "header", "form", "dialog", "menu")
+_AROUND = ("nav", "aside", "footer", "header", "form", "dialog", "menu", "select", "noscript", "svg")
 _AROUND_KEYS = ("nav", "foot", "side", "ad", "notice", "form", "comment", "hidden", "head")
 
 
@@ -89,6 +89,9 @@ def made_page(rng: random.Random) -> str:
                 lambda: f"<footer><p>&copy; {words(2, 6)}</p><p>{sentence(4, 30)}</p></footer>",
                 lambda: named("div", "footer copyright legal", rng.choice((f"&copy; {words(3, 9)}", sentence(5, 30)))),
                 lambda: f"<dialog>{sentence(4, 20)}</dialog>",
+                lambda: "<select>" + "".join(f"<option>{words(1, 3)}</option>" for _ in range(3)) + "</select>",
+                lambda: f"<noscript><p>{sentence(3, 20)}</p></noscript>",
+                lambda: f"<svg><text>{words(1, 4)}</text></svg>",
                 lambda: f"<div hidden>{sentence(4, 40)}</div>",
             )
         )()
@@ -136,10 +139,12 @@ def train(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES, sample_chars: i
     table, of at most ``sample_chars`` characters, that mark their article. The sample is the first
     by a hash of page_id, whatever the partitioning; where few pages carry marks it is smaller."""
     marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.char_length("html") <= sample_chars))
-    order = [F.xxhash64("page_id"), F.xxhash64("html")]
-    sample = marked.select("html").orderBy(*order).limit(sample_pages) if sample_pages else marked.limit(0)
+    hashes = {"h1": F.xxhash64("page_id"), "h2": F.xxhash64("html")}
     labelled = made_pages()
-    for row in sample.collect():
+    # The hashes are chosen first, so that tasks send whole pages only of the sample.
+    first = marked.select(*[h.alias(n) for n, h in hashes.items()]).orderBy("h1", "h2").limit(sample_pages).collect() if sample_pages else []
+    sample = marked.withColumns(hashes).where(F.col("h1").isin([r.h1 for r in first]) & F.col("h2").isin([r.h2 for r in first]))
+    for row in sample.orderBy("h1", "h2").limit(sample_pages).select("html").collect() if first else []:
         found = blocks(row.html)
         if (labels := silver_labels(found)) is not None:
             labelled.append((features_of(found), labels))

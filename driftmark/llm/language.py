@@ -12,9 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.llm.common import slices
+
 ORDERS = (2, 3, 4)
 BUCKET_BITS = 14
 SIZE = len(ORDERS) << BUCKET_BITS
@@ -203,17 +206,24 @@ def predict(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id",))
     """
     names = np.array([*model.languages, UNKNOWN], object)
 
+    # The text travels once, whether it is kept or not.
+    sent = list(keep) if "text" in keep else [*keep, "text"]
+    at = sent.index("text")
+
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, has = batch.columns[-2:]
-            known = np.array(has.to_pylist(), bool) if model.languages else np.zeros(batch.num_rows, bool)
-            best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
-            if known.any():
-                best[known], score[known] = model.decode(model.bits(_folded(text.filter(pa.array(known)))))
-            columns = [*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
-
-    rows = docs.select(*keep, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_known"))
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_pylist()
+            for a, b in slices(sizes):
+                batch = whole.slice(a, b - a)
+                text, has = batch.column(at), batch.column(len(sent))
+                known = np.array(has.to_pylist(), bool) if model.languages else np.zeros(batch.num_rows, bool)
+                best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
+                if known.any():
+                    best[known], score[known] = model.decode(model.bits(_folded(text.filter(pa.array(known)))))
+                columns = [*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+
+    rows = docs.select(*sent, has_letter(F.col("text")).alias("_known"))
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
     found = rows.mapInArrow(predicted, schema)

@@ -117,10 +117,13 @@ def resolve(target: Column, url: Column) -> Column:
 def alias_links(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``(a, b)`` between the nodes of a page and of the address it redirects to (meta
     refresh) or names as canonical. Links in comments and scripts don't count; relative addresses
-    are resolved against the page's first base address, or its own."""
+    are resolved against the page's first base address, or its own. A comment or script that never
+    ends goes to the end of the page; so does a tag, which names nothing then."""
     found = pages.select("url", "html").where(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
-    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), 1)
+    html = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", "")
+    # Possessive, so that the length of a tag costs no stack; one that never closes takes the rest.
+    tag = r"(?is)(<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\z))"
+    tags = F.filter(F.regexp_extract_all(html, F.lit(tag), 1), lambda t: t.endswith(">"))
     tags = found.select("url", tags.alias("tags"))
     bases = F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b.*\shref\s*="))
     tags = tags.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode("tags").alias("tag"))

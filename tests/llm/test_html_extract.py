@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -100,3 +101,39 @@ def test_extract_table(spark):
     assert (found[(2, None)].text, found[(None, "v")].n_chars) == ("", 0)
     assert found[(3, "w")].n_chars == 30_000 * 16 - 1
     assert he.extract(pages.limit(0), crf.train(he.made_pages(5))).count() == 0
+
+
+def texts(page):
+    return [b.text for b in blocks(page)]
+
+
+def test_no_element_swallows_the_rest_of_the_page():
+    for tag in ("object", "noscript", "select", "svg", "math", "iframe", "script", "style", "textarea", "template", "title"):
+        assert texts(f"<article><p>before</p><{tag} data=x><p>inside</p><p>after</p></article>") == ["before", "inside", "after"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn/>1</math> b</p>") == ["a", "x", "=", "1", "b"]
+    assert texts("<svg><path d='M0'/><text>label</text></svg><p>b</p>") == ["label", "b"]
+    assert texts("<p>a</p><script>no</script><p>b</p><script>x") == ["a", "b"]
+    assert texts("<p>a<!-- <p>b") == ["a"] and texts("a <b c") == ["a <b c"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a b " * 200_000,
+        "<a b " * 200_000 + ">",
+        "<a b='" * 170_000,
+        '<a "x>"' * 140_000 + "'>",
+        "<script>" * 125_000,
+        "<!--" * 250_000,
+        "<p x=" + "a" * 1_000_000 + ">b",
+        "<p " + "x='1' " * 170_000 + ">b",
+        "".join(f"<t{i}>" for i in range(130_000)),
+        "<div>" * 90_000 + "</x>" * 90_000,
+        "&" * 1_000_000,
+    ],
+    ids=range(11),
+)
+def test_hostile_pages_take_time_in_proportion(page):
+    started = time.process_time()
+    blocks(page)
+    assert time.process_time() - started < 4

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter, defaultdict
 
 from driftmark.llm import line_dedup, quality, url_filter
@@ -225,3 +226,22 @@ def test_blocks_reach_aliases_with_relative_targets(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r.page_id: r.verdict for r in url_filter.judge(pages, rules).collect()}
     assert found == {i: "block" if i < 8 else "allow" for i in range(1, 9)}
+
+
+def test_long_tags_are_read(spark):
+    """A tag of a megabyte costs no stack, and one that never closes no repeated search."""
+    mb = 1_000_000
+    heads = [
+        f"<link rel=canonical href=/{'a' * mb}>",
+        f'<link rel="canonical" href="/{"b" * mb}">',
+        "<link rel=canonical " + "x='1' " * 170_000 + "href=/c>",
+        "<link rel=canonical href=/d><meta " + "e" * mb,
+        "<link rel=canonical href=/e>" + "<meta refresh " * 70_000,
+        "<link rel=canonical href=/f>" + "<!--" * 250_000,
+        "<link rel=canonical href=/g>" + "<script " * 125_000,
+    ]
+    pages = spark.createDataFrame([(f"http://h.org/{i}", h) for i, h in enumerate(heads)], "url string, html string")
+    started = time.monotonic()
+    links = url_filter.alias_links(pages, Scratch(spark, "t")).collect()
+    assert time.monotonic() - started < 60
+    assert {r.b[:8] for r in links} == {f"h.org/{c}" + ("a" if c == "a" else "b" if c == "b" else "") for c in "abcdefg"}
