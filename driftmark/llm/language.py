@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import slices
+from driftmark.llm.common import slices, small_batches
 
 ORDERS = (2, 3, 4)
 BUCKET_BITS = 14
@@ -24,7 +24,7 @@ SIZE = len(ORDERS) << BUCKET_BITS
 # The model holds a weight for each bucket and bit, so the number of languages has a bound.
 MAX_LANGUAGES = 64
 # Bytes whose n-grams are held at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 # Relative lead over the second language under which a prediction counts as ambiguous.
 AMBIGUOUS = 0.02
 UNKNOWN = "und"
@@ -190,9 +190,11 @@ def train(labelled: DataFrame) -> Model:
     the driver are sums: at most the number of languages times ``SIZE`` numbers."""
     labelled = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     counts: dict[str, np.ndarray] = {}
-    for row in gram_counts(labelled).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m")).toLocalIterator():
-        total = counts.setdefault(row.lang, np.zeros(SIZE, np.int64))
-        total[list(row.m)] = list(row.m.values())
+    by_language = gram_counts(labelled).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    with small_batches(labelled.sparkSession):
+        for row in by_language.toLocalIterator():
+            total = counts.setdefault(row.lang, np.zeros(SIZE, np.int64))
+            total[list(row.m)] = list(row.m.values())
     return Model.of(counts)
 
 
