@@ -12,12 +12,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions import labels
 from driftmark.functions.canon import collapse_ws, joined, sorted_list, text, tighten_parens
-from driftmark.operators.scope import (
-    Entries,
-    scope_system_default,
-    scope_three_way,
-    scope_user_only,
-)
+from driftmark.operators.scope import Entries, scoped
 from driftmark.schemas import DB
 from driftmark.sources.extracts import Extracts
 
@@ -55,8 +50,8 @@ def agg_constraint_names(x: Extracts) -> DataFrame:
 
 def fetch_columns(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Columns of tables, views and materialized views."""
-    rel = _relations(
-        x, F.col("relkind").isin(*labels.RELATION_KINDS) & scope_system_default("nspname", schemas)
+    rel = scoped(
+        _relations(x, F.col("relkind").isin(*labels.RELATION_KINDS)), "system_default", schemas
     ).select(DB, F.col("oid").alias("attrelid"), "nspname", "relname", "relkind")
     att = x["attribute"].where((F.col("attnum") > 0) & ~F.col("attisdropped"))
     typ = _renamed(x["type"], atttypid="oid", typname="typname")
@@ -89,9 +84,7 @@ def fetch_columns(x: Extracts, schemas: Entries = None) -> DataFrame:
 
 def fetch_constraints(x: Extracts, entries: Entries = None) -> DataFrame:
     """Constraints with their columns in table order and their definition."""
-    rel = _relations(x).where(
-        scope_three_way("constraint", entries, "nspname", "relname", "relkind")
-    ).select(DB, F.col("oid").alias("conrelid"), "nspname", "relname")
+    rel = scoped(_relations(x), "constraint", entries).select(DB, F.col("oid").alias("conrelid"), "nspname", "relname")
     con = x["constraint"].join(rel, [DB, "conrelid"])
     members = (
         con.where(F.col("contype").isin("p", "u", "f"))
@@ -126,9 +119,7 @@ def agg_function_deps(x: Extracts) -> DataFrame:
 
 def fetch_functions(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Routines with signature, properties, dependencies and cleaned body."""
-    ns = _renamed(x["namespace"], pronamespace="oid", nspname="nspname").where(
-        scope_user_only("nspname", schemas)
-    )
+    ns = scoped(_renamed(x["namespace"], pronamespace="oid", nspname="nspname"), "user_only", schemas)
     lang = _renamed(x["language"], prolang="oid", lanname="lanname")
     return (
         x["proc"]
@@ -157,9 +148,7 @@ def fetch_functions(x: Extracts, schemas: Entries = None) -> DataFrame:
 
 def fetch_indexes(x: Extracts, entries: Entries = None) -> DataFrame:
     """Indexes of tables and materialized views, key columns in key order."""
-    rel = _relations(x).where(
-        scope_three_way("index", entries, "nspname", "relname", "relkind")
-    ).select(DB, F.col("oid").alias("indrelid"), "nspname", "relname", "relkind")
+    rel = scoped(_relations(x), "index", entries).select(DB, F.col("oid").alias("indrelid"), "nspname", "relname", "relkind")
     own = _renamed(
         x["class"], indexrelid="oid", index_name="relname", relam="relam", reltablespace="reltablespace"
     )
@@ -264,7 +253,7 @@ def _related_text(title: str, names: str) -> Column:
 def fetch_matviews(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Materialized views with what they read, their indexes, owner and populated flag."""
     return (
-        _relations(x, (F.col("relkind") == "m") & scope_user_only("nspname", schemas))
+        scoped(_relations(x, F.col("relkind") == "m"), "user_only", schemas)
         .join(agg_base_tables(x, "m"), [DB, "oid"], "left")
         .join(agg_related_views(x), [DB, "oid"], "left")
         .join(agg_view_indexes(x), [DB, "oid"], "left")
@@ -291,7 +280,7 @@ def fetch_matviews(x: Extracts, schemas: Entries = None) -> DataFrame:
 def fetch_views(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Views with what they read, their INSTEAD OF triggers and owner."""
     return (
-        _relations(x, (F.col("relkind") == "v") & scope_user_only("nspname", schemas))
+        scoped(_relations(x, F.col("relkind") == "v"), "user_only", schemas)
         .join(agg_base_tables(x, "v"), [DB, "oid"], "left")
         .join(agg_related_views(x), [DB, "oid"], "left")
         .join(agg_instead_triggers(x), [DB, "oid"], "left")
@@ -360,9 +349,7 @@ def fk_pairs(x: Extracts, sources: DataFrame) -> DataFrame:
 
 def fetch_references(x: Extracts, entries: Entries = None) -> DataFrame:
     """One row per foreign-key column pair."""
-    sources = _relations(x).where(
-        scope_three_way("reference", entries, "nspname", "relname", "relkind")
-    )
+    sources = scoped(_relations(x), "reference", entries)
     return fk_pairs(x, sources.select(DB, F.col("oid").alias("conrelid"), "nspname", "relname"))
 
 
@@ -406,9 +393,7 @@ def pick_sequence_owner(x: Extracts) -> DataFrame:
 
 def fetch_sequences(x: Extracts, entries: Entries = None) -> DataFrame:
     """Sequences with their owner column, kind and settings."""
-    rel = _relations(x, F.col("relkind") == "S").where(
-        scope_three_way("sequence", entries, "nspname", "relname")
-    ).select(DB, F.col("oid").alias("seqrelid"), "nspname", "relname", "relacl")
+    rel = scoped(_relations(x, F.col("relkind") == "S"), "sequence", entries).select(DB, F.col("oid").alias("seqrelid"), "nspname", "relname", "relacl")
     owned_by = F.when(
         F.col("table_name").isNotNull() & F.col("column_name").isNotNull(),
         F.concat_ws(
@@ -441,7 +426,7 @@ def fetch_sequences(x: Extracts, entries: Entries = None) -> DataFrame:
 
 def fetch_triggers(x: Extracts, entries: Entries = None, *, corrected: bool = False) -> DataFrame:
     """Triggers that users made; ``corrected`` reads the type bits as the server sets them."""
-    rel = _relations(x).where(scope_three_way("trigger", entries, "nspname", "relname")).select(
+    rel = scoped(_relations(x), "trigger", entries).select(
         DB, F.col("oid").alias("tgrelid"), "nspname", "relname", "relkind"
     )
     return (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.canon import collapse_ws, joined, kv, kv_if_set, sorted_list, text
 from driftmark.operators import assembly
-from driftmark.operators.scope import Entries, scope_three_way
+from driftmark.operators.scope import Entries, scope_three_way, scoped
 from driftmark.schemas import CHILD_KEYS, DB
 from driftmark.sources.extracts import Extracts
 
@@ -186,8 +186,8 @@ def fp_views(x: Extracts, schemas: Entries = None) -> DataFrame:
 def fp_references(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Foreign keys. Source and target columns are sorted each on their own, so a changed pairing
     goes unseen; the target schema is shown but not hashed."""
-    scope = F.lit(True) if schemas is None else F.col("nspname").isin(list(schemas))
-    sources = assembly._relations(x, scope).select(
+    relations = assembly._relations(x)
+    sources = (relations if schemas is None else scoped(relations, "system_default", schemas)).select(
         DB, F.col("oid").alias("conrelid"), "nspname", "relname"
     )
     fk = (

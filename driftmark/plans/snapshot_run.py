@@ -15,7 +15,7 @@ from driftmark.operators import diff
 from driftmark.operators.fingerprints import union_child, union_current, union_entity
 from driftmark.operators.metrics import metrics_run
 from driftmark.operators.routing import route_state
-from driftmark.operators.scope import scope_exclude, scope_include
+from driftmark.operators.scope import Entries, scope_exclude, scope_include
 from driftmark.plans.clustered_diff import clustered_changes
 from driftmark.schemas import CHILD_KEYS, DB, ENTITY_KEYS
 from driftmark.sources.extracts import Extracts
@@ -101,25 +101,29 @@ def _log_clustered(store: SnapshotStore, table: str, snapshot_id: int, last: int
     return found
 
 
-def resolve_scope(extracts: Extracts, schemas: Sequence[str] | None = (), mode: str = "exclude", own: str = OWN) -> list[str]:
-    """Names of the schemas that a run looks at: the listed ones that exist (``include``), or all user
-    schemas but the engine's own and the listed ones (``exclude``). A name means the same in every
-    database, so one list covers all of them."""
+def scope_relation(extracts: Extracts, schemas: Entries = (), mode: str = "exclude", own: str = OWN) -> DataFrame:
+    """The schemas that a run looks at, as a relation of one ``entry`` each: the listed ones that exist
+    (``include``), or all user schemas but the engine's own and the listed ones (``exclude``). A name
+    means the same in every database, so one scope covers all of them."""
     rules = {
         "include": lambda schemata: scope_include(schemata, schemas),
         "exclude": lambda schemata: scope_exclude(schemata, schemas, own),
     }
     if mode not in rules:
         raise ValueError(f"unknown scope mode: {mode}")
-    found = rules[mode](extracts["schemata"]).select("schema_name").distinct()
-    return sorted(r.schema_name for r in found.collect())
+    return rules[mode](extracts["schemata"]).select(F.col("schema_name").alias("entry")).distinct()
+
+
+def resolve_scope(extracts: Extracts, schemas: Entries = (), mode: str = "exclude", own: str = OWN) -> list[str]:
+    """Names of the schemas in :func:`scope_relation`, sorted."""
+    return sorted(r.entry for r in scope_relation(extracts, schemas, mode, own).collect())
 
 
 def run(
     store: SnapshotStore,
     current: CurrentState | Extracts,
     *,
-    schemas: Sequence[str] | None = (),
+    schemas: Entries = (),
     mode: str = "exclude",
     own: str = OWN,
     now: datetime | None = None,
@@ -150,11 +154,11 @@ def run(
 
     if not isinstance(current, CurrentState):
         extracts = current
-        names = step("resolve_scope", lambda: resolve_scope(extracts, schemas, mode, own))
-        if not names:
+        scope = step("resolve_scope", lambda: store.write_scratch("scope", scope_relation(extracts, schemas, mode, own)))
+        if scope.isEmpty():
             # Some kinds read an empty list as "all".
             raise ValueError("the scope has no schema")
-        current = CurrentState.of_catalog(extracts, names)
+        current = CurrentState.of_catalog(extracts, scope)
     last = store.latest()
     if last is not None and not all(last in store.partitions(t) for t in (STATE_CHILD, STATE_ENTITY)):
         step("restage", lambda: store.restage(last), f"Rebuilt {last}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import hashlib
 
 import pytest
@@ -327,3 +329,25 @@ def test_extracts_are_read_per_database(spark, x, tmp_path):
     assert one.schema == with_db(EXTRACT_SCHEMAS["namespace"]) or set(one.columns) == {"source_db", "oid", "nspname"}
     assert one.count() == 3 and read_extracts(spark, str(tmp_path), None, ["namespace"])["namespace"].count() == 4
     assert "PartitionFilters: [source_db" in one._jdf.queryExecution().toString().replace("isnotnull(", "")
+
+
+@pytest.mark.parametrize("variant", ["constraint", "index", "reference", "sequence", "trigger", "system_default", "user_only"])
+@pytest.mark.parametrize("entries", [[], ["app"], ["app", "pg_catalog"], ["app.t", "x"], ["app.t.u"], ["app.t", "app"], ["x"]])
+def test_a_scope_relation_keeps_what_the_list_keeps(spark, variant, entries):
+    rows = [(s, n, k) for s in ("app", "x", "pg_catalog", "app.t", None) for n in ("t", "u", "t.u", None) for k in "rmvS"]
+    rel = spark.createDataFrame(rows, "nspname string, relname string, relkind string")
+    relation = spark.createDataFrame([(e,) for e in [*entries, *entries, None]], "entry string")
+    by_list, by_relation = (sorted(map(repr, scope.scoped(rel, variant, e).collect())) for e in (entries, relation))
+    assert by_list == by_relation
+
+
+def test_ten_thousand_entries_are_planned_at_once(spark, x):
+    entries = spark.range(10_000).selectExpr("concat('app.t', id) as entry").unionByName(spark.createDataFrame([("app",)], "entry string"))
+    started = time.monotonic()
+    plans = [f(x, entries)._jdf.queryExecution().executedPlan().toString() for f in (assembly.fetch_constraints, assembly.fetch_indexes, assembly.fetch_triggers)]
+    assert time.monotonic() - started < 3 * 2
+    assert all(len(p) < 100_000 and "NestedLoop" not in p and "Cartesian" not in p for p in plans)
+    schemata = x["schemata"]
+    for found in (scope.scope_include(schemata, entries), scope.scope_exclude(schemata, entries, "own")):
+        assert len(found._jdf.queryExecution().executedPlan().toString()) < 20_000
+    assert [r.schema_name for r in scope.scope_include(schemata, entries).collect()] == ["app"]

@@ -107,9 +107,13 @@ class _Derived:
         return self.spark.createDataFrame(list(enumerate(names)), "oid long, typname string")
 
     def attrdef(self) -> DataFrame:
-        numbered = self.table("lineitem").where("l_linenumber = 2").select("l_partkey").distinct()
-        return numbered.selectExpr(
-            "l_partkey as adrelid", "2 as adnum", "concat('nextval(\\'s_', l_partkey, '\\')') as default_expr"
+        """Defaults of columns of every number: a sequence's for the second, a value for a third of the rest."""
+        numbered = self.table("lineitem").where("l_linenumber = 2 OR (l_partkey + l_linenumber) % 3 = 0")
+        return numbered.select("l_partkey", "l_linenumber").distinct().selectExpr(
+            "l_partkey as adrelid",
+            "l_linenumber as adnum",
+            "CASE WHEN l_linenumber = 2 THEN concat('nextval(\\'s_', l_partkey, '\\')') "
+            "ELSE concat('val_', (l_partkey * l_linenumber) % 11) END as default_expr",
         )
 
     def constraint(self) -> DataFrame:

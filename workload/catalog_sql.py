@@ -56,9 +56,10 @@ def extracts_sql(p: str = "x_", side: str = "current") -> dict[str, str]:
             SELECT * FROM (VALUES (0, 'varchar'), (1, 'int4'), (2, 'int8'), (3, 'numeric'),
                                   (4, 'timestamptz'), (5, 'text')) AS t(oid, typname)""",
         "attrdef": """
-            SELECT DISTINCT l_partkey AS adrelid, 2 AS adnum,
-                   'nextval(''s_' || l_partkey || ''')' AS default_expr
-            FROM lineitem WHERE l_linenumber = 2""",
+            SELECT DISTINCT l_partkey AS adrelid, l_linenumber AS adnum,
+                   CASE WHEN l_linenumber = 2 THEN 'nextval(''s_' || l_partkey || ''')'
+                        ELSE 'val_' || ((l_partkey * l_linenumber) % 11) END AS default_expr
+            FROM lineitem WHERE l_linenumber = 2 OR (l_partkey + l_linenumber) % 3 = 0""",
         "constraint": f"""
             SELECT o_orderkey AS oid, 'con_' || o_orderkey AS conname, o_orderkey % n AS conrelid,
                    {contype} AS contype,
@@ -430,6 +431,26 @@ def catalog_sql(p: str = "x_", side: str = "current", **scope: str) -> dict[str,
     return {**extracts_sql(p, side), **fetch_sql(p, **scope), **fingerprint_sql(p)}
 
 
+def extract_digests_sql(p: str, schemas: dict) -> str:
+    """Rows and digest of every extract relation."""
+    fixed = {
+        "schemata": f"(SELECT nspname AS schema_name FROM {p}namespace)",
+        "am": "(SELECT r_regionkey AS oid, 'am_' || r_regionkey AS amname FROM region)",
+        "tablespace": "(SELECT r_regionkey AS oid, 'ts_' || r_regionkey AS spcname FROM region)",
+    }
+
+    def text(field) -> str:
+        plain = f"array_to_string({field.name}, ',')" if field.dataType.typeName() == "array" else f"{field.name}::VARCHAR"
+        return f"coalesce({plain}, '-')"
+
+    return " UNION ALL ".join(
+        f"SELECT 'replica' AS source_db, '{name}' AS relation, count(*) AS n_rows, "
+        f"sum(('0x' || substr(md5({' || chr(124) || '.join(map(text, schema.fields))}), 1, 8))::BIGINT)::BIGINT AS digest "
+        f"FROM {fixed.get(name, p + name)}"
+        for name, schema in schemas.items()
+    )
+
+
 def statement(named: dict[str, str], last: str) -> str:
     """One SQL statement from named queries. Only those that ``last`` needs are kept."""
     needed: set[str] = set()

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import labels
 from driftmark.operators import assembly, fingerprints, scope
-from driftmark.schemas import DB
+from driftmark.schemas import DB, EXTRACT_SCHEMAS
 from driftmark.sources.extracts import combine_databases, read_extracts, write_extracts
 from driftmark.sources.store import shared_folder
 from workload.catalog import extracts
-from workload.catalog_sql import catalog_sql, statement, user
+from workload.catalog_sql import catalog_sql, extract_digests_sql, statement, user
+from workload.states import table
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -37,21 +39,24 @@ def _sql(last: str, **scopes: str) -> str:
 
 
 def _stored_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Extracts of two databases written, and the relations of one read back."""
+    """All extracts of two databases written, and those of one read back: rows and an order-free
+    digest of every relation."""
     root = shared_folder(spark)
-    names = ("namespace", "class")
-    both = combine_databases(
-        {
-            db: {n: x[n] for n in names}
-            for db, x in (
-                ("main", extracts(spark, sf)),
-                ("replica", extracts(spark, sf, "previous")),
-            )
-        }
-    )
-    write_extracts(both, root)
-    x = read_extracts(spark, root, ["replica"], names)
-    return assembly._relations(x).select(DB, "oid", "nspname", "relname", "relkind", "relowner")
+    both = {"main": extracts(spark, sf), "replica": extracts(spark, sf, "previous")}
+    write_extracts(combine_databases(both), root)
+    x = read_extracts(spark, root, ["replica"])
+    digests = [_digest(x[name], name) for name in EXTRACT_SCHEMAS]
+    return reduce(DataFrame.unionByName, digests)
+
+
+def _digest(rows: DataFrame, name: str) -> DataFrame:
+    def text(field) -> Column:
+        plain = F.array_join(field.name, ",") if field.dataType.typeName() == "array" else F.col(field.name).cast("string")
+        return F.coalesce(plain, F.lit("-"))
+
+    whole = F.md5(F.concat_ws("|", *[text(f) for f in EXTRACT_SCHEMAS[name].fields]))
+    part = F.conv(F.substring(whole, 1, 8), 16, 10).cast("long")
+    return rows.groupBy(DB).agg(F.count("*").alias("n_rows"), F.sum(part).alias("digest")).withColumn("relation", F.lit(name))
 
 
 def _multi_db(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,6 +106,20 @@ _TYPE_NAME = (
 )
 
 
+_SCOPE_SQL = "SELECT 'NATION_' || (c_custkey % 25) || '.t_' || c_custkey AS entry FROM customer UNION SELECT 'NATION_' || (s_suppkey % 3) FROM supplier"
+
+
+def _scoped_by_relation(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The operator over a scope with an entry for each customer, which is never collected."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        entries = table(spark, sf, "customer").selectExpr("concat('NATION_', c_custkey % 25, '.t_', c_custkey) as entry")
+        schemas = table(spark, sf, "supplier").selectExpr("concat('NATION_', s_suppkey % 3) as entry").distinct()
+        return operator(extracts(spark, sf), entries.unionByName(schemas)).drop(DB)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     all_fetch = {
         "fetch_columns": assembly.fetch_columns,
@@ -145,10 +164,7 @@ def queries() -> dict[str, Query]:
 
     out["src_catalog_extract"] = (
         _stored_extract,
-        statement(
-            catalog_sql("y_", "previous"),
-            "SELECT 'replica' AS source_db, oid, s AS nspname, r AS relname, k AS relkind, relowner FROM y_cls",
-        ),
+        statement(catalog_sql("y_", "previous"), extract_digests_sql("y_", EXTRACT_SCHEMAS)),
     )
     out["src_multi_db"] = (
         _multi_db,
@@ -200,6 +216,24 @@ def queries() -> dict[str, Query]:
     )
     for name, kind, op, entries, where in lists:
         out[f"scope_three_way_{name}"] = (_on(op, entries), _sql(f"SELECT * FROM x_f_{kind}", **{kind: where}))
+    # The same from a relation: one entry for each customer's relation of a name, and a few schemas.
+    related = "(s || '.' || r) IN (SELECT entry FROM x_scope)"
+    named = "s IN (SELECT entry FROM x_scope)"
+    for variant, op, where in (
+        ("constraint", assembly.fetch_constraints, f"(k = 'r' AND {named}) OR {related}"),
+        ("index", assembly.fetch_indexes, f"(k IN ('r', 'm') AND {named}) OR {related}"),
+        ("reference", assembly.fetch_references, related),
+        ("trigger", assembly.fetch_triggers, f"{named} OR {related}"),
+    ):
+        kind = "indexes" if variant == "index" else f"{variant}s"
+        out[f"scope_relation_{variant}"] = (
+            _scoped_by_relation(op),
+            statement({"x_scope": _SCOPE_SQL, **catalog_sql(**{kind: where})}, f"SELECT * FROM x_f_{kind}"),
+        )
+    out["scope_relation_columns"] = (
+        _scoped_by_relation(assembly.fetch_columns),
+        statement({"x_scope": _SCOPE_SQL, **catalog_sql()}, f"SELECT * FROM x_f_columns WHERE schema_name IN (SELECT entry FROM x_scope)"),
+    )
 
     out["norm_type_name"] = (_types(data_type=lambda: labels.type_name("typname")), _types_sql(_TYPE_NAME))
     out["norm_type_length"] = (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.operators import diff, lifecycle
-from driftmark.operators.fingerprints import fp_table, union_child, union_entity
+from driftmark.operators.fingerprints import fp_table, union_child, union_current, union_entity
 from driftmark.operators.metrics import metrics_base, metrics_object, metrics_run, metrics_table
 from driftmark.plans.clustered_diff import clustered_changes
 from driftmark.operators.routing import route_state
@@ -22,6 +22,7 @@ from driftmark.sources.store import (
     REGISTRY,
     RUN_REPORT,
     STATE_CHILD,
+    STATE_DIGEST,
     STATE_ENTITY,
     SnapshotStore,
     shared_folder,
@@ -282,16 +283,18 @@ def _run_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The steps of both runs, with the rows that the logging ones have written."""
+    """The steps of both runs, with the rows that the logging and the staging ones have written."""
     store = _history(spark, sf)
+    staged = store.read(STATE_DIGEST).select("snapshot_id", F.concat(F.lit("stage_"), "level").alias("step_name"), F.col("n_rows").alias("rows_staged"))
     logged = store.read(CHANGES).groupBy("snapshot_id").agg(F.count("*").alias("n"))
     steps = store.read(RUN_REPORT).drop("seconds").join(logged, "snapshot_id")
-    return steps.withColumn("rows_logged", F.when(F.col("step_name").like("log%"), F.col("n")).otherwise(0)).drop("n")
+    steps = steps.withColumn("rows_logged", F.when(F.col("step_name").like("log%"), F.col("n")).otherwise(0)).drop("n")
+    return steps.join(staged, ["snapshot_id", "step_name"], "left").fillna(0, ["rows_staged"])
 
 
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows a first run logs and where it stages them."""
-    rows = _states(spark, sf, "previous")
+    """Rows of a whole catalog that a first run logs, and where it stages them."""
+    rows = union_current(extracts(spark, sf, "previous")).drop(DB)
     child, entity = route_state(rows)
     logged = baseline_changes(rows).withColumn("level", F.lit("log"))
     staged = [
@@ -516,9 +519,15 @@ def _steps_sql() -> str:
         "log_changes": "(SELECT count(*) FROM o_changes) + (SELECT count(*) FROM p_cur)",
     }
     counts = " ".join(f"WHEN '{step}' THEN {sql}" for step, sql in logged.items())
+    # The parts of the baseline aren't of an entity kind: it stages none of them.
+    staged = (
+        "CASE WHEN step_name = 'stage_state_child' AND snapshot_id = 1 THEN (SELECT count(*) FROM o_prev) "
+        "WHEN step_name = 'stage_state_child' THEN (SELECT count(*) FROM o_cur) "
+        "WHEN step_name = 'stage_state_entity' AND snapshot_id = 2 THEN (SELECT count(*) FROM p_cur) ELSE 0 END"
+    )
     return statement(
         LEVELS,
-        f"SELECT *, CASE step_name {counts} ELSE 0 END AS rows_logged "
+        f"SELECT *, CASE step_name {counts} ELSE 0 END AS rows_logged, {staged} AS rows_staged "
         f"FROM (VALUES {', '.join(rows)}) AS t(snapshot_id, step_no, step_name, result)",
     )
 
@@ -638,7 +647,7 @@ def queries() -> dict[str, Query]:
     out["route_state"] = (
         lambda spark, sf: _baseline(spark, sf).where(F.col("level") != "log"),
         statement(
-            LEVELS,
+            {**catalog_sql("y_", "previous"), "first": f"SELECT {ROW} FROM y_everything"},
             f"SELECT *, 'child' AS level, 'ADDED' AS change_type, 1 AS copies FROM (SELECT {ROW} FROM first) "
             "WHERE object_subtype IN ('Column', 'Constraint', 'Index', 'Reference', 'Trigger') "
             "OR (object_type = 'Table' AND object_subtype = 'Sequence') "
@@ -649,7 +658,7 @@ def queries() -> dict[str, Query]:
     baseline = f"SELECT {ROW}, 'ADDED' AS change_type, 1 AS copies FROM first"
     out["baseline_load"] = (
         lambda spark, sf: _baseline(spark, sf).where(F.col("level") == "log").drop("level"),
-        statement(LEVELS, baseline),
+        statement({**catalog_sql("y_", "previous"), "first": f"SELECT {ROW} FROM y_everything"}, baseline),
     )
     # The parts of the baseline aren't of an entity kind, so its entity state is empty and the
     # second run logs all of them as ADDED.
