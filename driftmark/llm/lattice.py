@@ -4,21 +4,31 @@ A word's substrings of bounded length are rows; an equality join with the piece
 that are pieces, the edges of the word's lattice; they are grouped by word, and a higher-order fold
 walks them to the best path. Words are the pre-tokens that no piece reaches across.
 
-Common words are encoded once, by the same lattice, into a cache of bounded size that is joined by
-broadcast; every other word goes through the lattice where its document is. Documents move once, to
-be grouped by doc_id; words and edges are made and grouped in the same tasks.
+Common words are encoded once, by the same lattice, into a cache of bounded size that every task
+has; one pass puts their ids in the place of the text and leaves gaps for all other words, which go
+through the lattice in the task that their document is sent to. So texts are taken apart once, what
+moves is ids and rare words, and only those are rows of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from driftmark.llm.common import Scratch, key_of
-from driftmark.llm.pieces import BLANK, PRETOKEN, Pieces
+from driftmark.llm.common import Scratch, key_of, slices
+from driftmark.llm.pieces import BLANK, PRETOKEN, Pieces, escaped
 
-# The cache of common words: how many, how long at most, and from how many documents at most.
-CACHE_WORDS, CACHE_CHARS, CACHE_DOCS = 1 << 20, 32, 30_000
+# The cache of common words: how many, how long at most, from how many documents at most, and how
+# many bytes are sent to the tasks at most.
+CACHE_WORDS, CACHE_CHARS, CACHE_DOCS, CACHE_BYTES = 1 << 20, 32, 30_000, 96 << 20
 # Lists that a fold appends to are closed at this length, so that a long word isn't copied at every
 # step.
 CHUNK = 256
@@ -163,9 +173,12 @@ def _with_bytes(ids: Column, pieces: Pieces) -> Column:
 
 def encode_words(words: DataFrame, keys: list[str], table: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows ``(*keys, ids)`` for ``words (*keys, word)``; the keys tell the words apart."""
-    found = edges(words, table, pieces).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    found = found.select(*keys, best_path(F.col("edges"), pieces.longest).alias("ids"))
-    return found.select(*keys, _with_bytes(F.col("ids"), pieces).alias("ids"))
+    # Paths are found where the edges are grouped: as expressions of a projection Catalyst would take
+    # them for constraints of all joins above, and plan for long.
+    sorted_edges = F.array(F.sort_array(F.collect_list("edge")))
+    paths = F.transform(sorted_edges, lambda by_end: best_path(by_end, pieces.longest))
+    ids = F.get(F.transform(paths, lambda path: _with_bytes(path, pieces)), 0)
+    return edges(words, table, pieces).groupBy(*keys).agg(ids.alias("ids"))
 
 
 def _spread(docs: DataFrame) -> int:
@@ -187,30 +200,101 @@ def common_words(docs: DataFrame, table: DataFrame, pieces: Pieces, scratch: Scr
     return scratch.settle("cache", encode_words(top.repartition(_spread(docs), "word"), ["word"], table, pieces).withColumnRenamed("ids", "known"))
 
 
+def _shared(cache: DataFrame) -> Broadcast:
+    """The cache as Arrow bytes for the tasks; words beyond ``CACHE_BYTES`` are left out."""
+    table = cache.toArrow().combine_chunks()
+    if table.nbytes > CACHE_BYTES:
+        table = table.slice(0, table.num_rows * CACHE_BYTES // table.nbytes)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table, max_chunksize=1 << 16)
+    return cache.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+# The cache a Python worker has read last, by its name: tasks of a worker share it.
+_read: dict[str, dict[str, bytes]] = {}
+
+
+def _known(name: str, cache: Broadcast) -> dict[str, bytes]:
+    """Ids of the common words, as the bytes of 32-bit numbers."""
+    if name not in _read:
+        known: dict[str, bytes] = {}
+        for batch in pa.ipc.open_stream(cache.value):
+            ids = batch.column(1)
+            flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), 4 * ids.value_lengths().to_numpy().cumsum()
+            start = 0
+            for word, end in zip(batch.column(0).to_pylist(), ends.tolist()):
+                known[word] = flat[start:end]
+                start = end
+        _read.clear()
+        _read[name] = known
+    return _read[name]
+
+
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype="i4"))), pa.int32()), values)
+
+
+def with_gaps(docs: DataFrame, cache: DataFrame, name: str) -> DataFrame:
+    """Columns of ``docs`` with ``parts`` and ``rare`` in the place of ``text``: ids of the cached words
+    in runs, and the words between them that are not cached, one less than there are runs."""
+    shared = _shared(cache)
+    kept = [c for c in docs.columns if c != "text"]
+
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, split = _known(name, shared).get, re.compile(PRETOKEN).findall
+        for whole in batches:
+            for start, end in slices(pc.binary_length(whole.column(0)).to_pylist()):
+                batch = whole.slice(start, end - start)
+                runs: list[bytes] = []
+                rare: list[str] = []
+                n_rare: list[int] = []
+                for text in batch.column(0):
+                    words = split(escaped(text.as_py()))
+                    found, at = list(map(known, words)), 0
+                    gaps = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+                    for gap in gaps:
+                        runs.append(b"".join(found[at:gap]))
+                        at = gap + 1
+                    runs.append(b"".join(found[at:]))
+                    rare += [words[i] for i in gaps]
+                    n_rare.append(len(gaps))
+                ids = pa.array(np.frombuffer(b"".join(runs), "<i4"), pa.int32())
+                parts = _lists(_lists(ids, [len(r) // 4 for r in runs]), [n + 1 for n in n_rare])
+                columns = [*batch.columns[1:], parts, _lists(pa.array(rare, pa.string()), n_rare)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "parts", "rare"])
+
+    schema = docs.select(*kept).schema.add("parts", ArrayType(ArrayType(IntegerType()))).add("rare", ArrayType(StringType()))
+    return docs.select("text", *kept).mapInArrow(taken_apart, schema)
+
+
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows ``(doc_id, ids, h1, h2)`` for each row of ``docs (doc_id, text)``: the best path's ids, and
     hashes of the text that decoding gives back.
 
-    Null and empty texts have no ids; a text's own ``▁`` counts as a blank; null doc_ids and repeated
-    rows are answered each; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have no ids; very long ones are taken apart one at a time, and their words
+    are rows as any others; a text's own ``▁`` counts as a blank; null doc_ids and repeated rows are
+    answered each; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lattice")
     docs = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" ")).alias("text"))
     table = piece_table(docs.sparkSession, pieces)
     cache = common_words(docs, table, pieces, scratch)
-    # A row is known by its id and its text's hash; equal rows are numbered.
-    keys = ["doc_id", "h1", "h2", "copy"]
-    hashes = [h.alias(n) for h, n in zip(key_of(F.col("text")), keys[1:3])]
-    equal = Window.partitionBy(*keys[:3]).orderBy("h1")
-    rows = docs.repartition(_spread(docs), "doc_id").select("doc_id", "text", *hashes).withColumn("copy", F.row_number().over(equal))
-    words = rows.select(*keys, F.posexplode_outer(pretokens(F.col("text"))).alias("pos", "word"))
-    looked = words.join(F.broadcast(cache), "word", "left")
-    known = F.when(F.col("word").isNull(), F.array().cast("array<int>")).otherwise(F.col("known"))
-    ready = looked.select(*keys, "pos", known.alias("ids")).where("ids is not null")
-    rare = looked.where("word is not null and known is null").select(*keys, "pos", "word")
-    every = ready.unionByName(encode_words(rare, [*keys, "pos"], table, pieces))
-    found = every.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return found.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "h1", "h2")
+    # Rows are sent by a hash of id and text, so rows that share an id spread; rows equal in both have
+    # the same ids, which are found once.
+    hashes = [*zip(("h1", "h2"), key_of(F.col("text"))), *zip(("k1", "k2"), key_of(F.col("doc_id"), F.col("text")))]
+    rows = with_gaps(docs.select("doc_id", "text", *[h.alias(n) for n, h in hashes]), cache, scratch.root)
+    scratch.drop("top", "cache")
+    rows = rows.repartition(_spread(docs), "k1", "k2")
+    words = rows.where(F.size("rare") > 0).select("k1", "k2", F.posexplode("rare").alias("pos", "word"))
+    keys = ["k1", "k2", "pos"]
+    filled = encode_words(words.dropDuplicates([*keys, "word"]), keys, table, pieces)
+    filled = filled.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("gaps"))
+    found = rows.join(filled.hint("merge"), ["k1", "k2"], "left")
+    gaps = F.transform(F.coalesce("gaps", F.array().cast("array<struct<pos:int,ids:array<int>>>")), lambda g: g["ids"])
+    nothing = F.array().cast("array<int>")
+    ids = F.flatten(F.zip_with("parts", gaps, lambda part, gap: F.concat(part, F.coalesce(gap, nothing))))
+    return found.select("doc_id", ids.alias("ids"), "h1", "h2")
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:
