@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from driftmark.llm.common import Scratch, key_of, slices
 from driftmark.llm.pieces import BLANK, PRETOKEN, Pieces, escaped
@@ -215,13 +215,14 @@ def _shared(cache: DataFrame) -> Broadcast:
 _read: dict[str, dict[str, bytes]] = {}
 
 
-def _known(name: str, cache: Broadcast) -> dict[str, bytes]:
-    """Ids of the common words, as the bytes of 32-bit numbers."""
+def _known(name: str, cache: Broadcast, width: str) -> dict[str, bytes]:
+    """Packed ids of the common words."""
     if name not in _read:
         known: dict[str, bytes] = {}
         for batch in pa.ipc.open_stream(cache.value):
             ids = batch.column(1)
-            flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), 4 * ids.value_lengths().to_numpy().cumsum()
+            flat = ids.flatten().to_numpy().astype(width).tobytes()
+            ends = np.dtype(width).itemsize * ids.value_lengths().to_numpy().cumsum()
             start = 0
             for word, end in zip(batch.column(0).to_pylist(), ends.tolist()):
                 known[word] = flat[start:end]
@@ -231,18 +232,23 @@ def _known(name: str, cache: Broadcast) -> dict[str, bytes]:
     return _read[name]
 
 
-def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype="i4"))), pa.int32()), values)
+def _lists(values: pa.Array, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
 
 
-def with_gaps(docs: DataFrame, cache: DataFrame, name: str) -> DataFrame:
-    """Columns of ``docs`` with ``parts`` and ``rare`` in the place of ``text``: ids of the cached words
-    in runs, and the words between them that are not cached, one less than there are runs."""
+def _width(pieces: Pieces) -> str:
+    """What ids are packed as on their way to other tasks."""
+    return "<u2" if len(pieces.texts) <= 1 << 16 else "<u4"
+
+
+def with_gaps(docs: DataFrame, cache: DataFrame, name: str, width: str) -> DataFrame:
+    """Columns of ``docs`` with ``parts`` and ``rare`` in the place of ``text``: packed ids of the cached
+    words in runs, and the words between them that are not cached, one less than there are runs."""
     shared = _shared(cache)
     kept = [c for c in docs.columns if c != "text"]
 
     def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = _known(name, shared).get, re.compile(PRETOKEN).findall
+        known, split = _known(name, shared, width).get, re.compile(PRETOKEN).findall
         for whole in batches:
             for start, end in slices(pc.binary_length(whole.column(0)).to_pylist()):
                 batch = whole.slice(start, end - start)
@@ -259,15 +265,42 @@ def with_gaps(docs: DataFrame, cache: DataFrame, name: str) -> DataFrame:
                     runs.append(b"".join(found[at:]))
                     rare += [words[i] for i in gaps]
                     n_rare.append(len(gaps))
-                ids = pa.array(np.frombuffer(b"".join(runs), "<i4"), pa.int32())
-                parts = _lists(_lists(ids, [len(r) // 4 for r in runs]), [n + 1 for n in n_rare])
+                parts = _lists(pa.array(runs, pa.binary()), [n + 1 for n in n_rare])
                 columns = [*batch.columns[1:], parts, _lists(pa.array(rare, pa.string()), n_rare)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "parts", "rare"])
 
-    schema = docs.select(*kept).schema.add("parts", ArrayType(ArrayType(IntegerType()))).add("rare", ArrayType(StringType()))
+    schema = docs.select(*kept).schema.add("parts", ArrayType(BinaryType())).add("rare", ArrayType(StringType()))
     return docs.select("text", *kept).mapInArrow(taken_apart, schema)
 
 
+def filled(rows: DataFrame, width: str) -> DataFrame:
+    """``ids`` in the place of ``parts`` and ``gaps``, the ids of the rare words between the parts."""
+    kept = [c for c in rows.columns if c not in ("parts", "gaps")]
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            parts, gaps = batch.column(0), batch.column(1)
+            runs, words = parts.flatten().to_pylist(), gaps.flatten()
+            # Run k of row i is segment 2k - i of the batch, and gap k is segment 2k + i + 1.
+            n_runs = parts.value_lengths().to_numpy()
+            row = np.arange(len(batch))
+            of_run = 2 * np.arange(len(runs)) - np.repeat(row, n_runs)
+            of_gap = 2 * np.arange(len(words)) + np.repeat(row, n_runs - 1) + 1
+            sizes, rare = np.zeros(len(runs) + len(words), "i8"), np.zeros(len(runs) + len(words), bool)
+            sizes[of_run] = np.fromiter(map(len, runs), "i8", len(runs)) // np.dtype(width).itemsize
+            sizes[of_gap] = words.value_lengths().to_numpy()
+            rare[of_gap] = True
+            rare = np.repeat(rare, sizes)
+            ids = np.empty(len(rare), "i4")
+            ids[~rare] = np.frombuffer(b"".join(runs), width)
+            ids[rare] = words.flatten().to_numpy()
+            per_row = np.add.reduceat(sizes, np.cumsum(2 * n_runs - 1) - (2 * n_runs - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], _lists(pa.array(ids), per_row)], [*kept, "ids"])
+
+    schema = rows.select(*kept).schema.add("ids", ArrayType(IntegerType()))
+    return rows.select("parts", "gaps", *kept).mapInArrow(put_together, schema)
+
+
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows ``(doc_id, ids, h1, h2)`` for each row of ``docs (doc_id, text)``: the best path's ids, and
     hashes of the text that decoding gives back.
@@ -283,32 +316,44 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     # Rows are sent by a hash of id and text, so rows that share an id spread; rows equal in both have
     # the same ids, which are found once.
     hashes = [*zip(("h1", "h2"), key_of(F.col("text"))), *zip(("k1", "k2"), key_of(F.col("doc_id"), F.col("text")))]
-    rows = with_gaps(docs.select("doc_id", "text", *[h.alias(n) for n, h in hashes]), cache, scratch.root)
+    rows = with_gaps(docs.select("doc_id", "text", *[h.alias(n) for n, h in hashes]), cache, scratch.root, _width(pieces))
     scratch.drop("top", "cache")
     rows = rows.repartition(_spread(docs), "k1", "k2")
     words = rows.where(F.size("rare") > 0).select("k1", "k2", F.posexplode("rare").alias("pos", "word"))
     keys = ["k1", "k2", "pos"]
-    filled = encode_words(words.dropDuplicates([*keys, "word"]), keys, table, pieces)
-    filled = filled.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("gaps"))
-    found = rows.join(filled.hint("merge"), ["k1", "k2"], "left")
+    ready = encode_words(words.dropDuplicates([*keys, "word"]), keys, table, pieces)
+    ready = ready.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("gaps"))
+    found = rows.join(ready.hint("merge"), ["k1", "k2"], "left")
     gaps = F.transform(F.coalesce("gaps", F.array().cast("array<struct<pos:int,ids:array<int>>>")), lambda g: g["ids"])
-    nothing = F.array().cast("array<int>")
-    ids = F.flatten(F.zip_with("parts", gaps, lambda part, gap: F.concat(part, F.coalesce(gap, nothing))))
-    return found.select("doc_id", ids.alias("ids"), "h1", "h2")
+    return filled(found.select("doc_id", "h1", "h2", "parts", gaps.alias("gaps")), _width(pieces)).select("doc_id", "ids", "h1", "h2")
 
 
-def decoded(ids: Column, pieces: Pieces) -> Column:
-    """Text of ids: the pieces' and bytes' UTF-8 put together, without the blank before it."""
-    raw = [t.replace(BLANK, " ").encode().hex() for t in pieces.texts]
+def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """``rows`` with ``text``: the UTF-8 of the pieces and bytes of ``ids`` put together, without the
+    blank before it."""
+    raw = [t.replace(BLANK, " ").encode() for t in pieces.texts]
     for byte, i in enumerate(pieces.byte_ids):
-        raw[i] = f"{byte:02x}"
-    table = F.split(F.lit(",".join(raw)), ",")
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
-    return F.substring(text, 2, 1 << 30)
+        raw[i] = bytes([byte])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = raw.__getitem__
+        for whole in batches:
+            for start, end in slices(pc.multiply(whole.column(0).value_lengths(), 4).to_pylist()):
+                batch = whole.slice(start, end - start)
+                ids, at = batch.column(0).flatten().to_pylist(), 0
+                texts = []
+                for size in batch.column(0).value_lengths().to_pylist():
+                    texts.append(b"".join(map(piece, ids[at : at + size])).decode("utf-8", "replace")[1:])
+                    at += size
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["ids", *rest, "text"])
+
+    rest = [c for c in rows.columns if c != "ids"]
+    found = rows.select("ids", *rest)
+    return found.mapInArrow(joined, StructType([*found.schema, StructField("text", StringType())]))
 
 
 def round_trip(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """Encoded rows with ``text`` decoded and whether it is what was encoded."""
-    rows = encoded.withColumn("text", decoded(F.col("ids"), pieces))
+    rows = decode(encoded, pieces)
     same = [a == F.col(b) for a, b in zip(key_of(F.col("text")), ("h1", "h2"))]
     return rows.withColumn("lossless", same[0] & same[1]).drop("h1", "h2")
