@@ -2,36 +2,51 @@
 
 A word's substrings of bounded length are rows; an equality join with the piece table keeps those
 that are pieces, the edges of the word's lattice; they are grouped by word, and a higher-order fold
-walks them to the best path. Words are the pre-tokens that no piece reaches across.
+walks them to the best path. Words are the parts of a text that no piece reaches across.
 
-Common words are encoded once, by the same lattice, into a cache of bounded size that is joined by
-broadcast; every other word goes through the lattice where its document is. Documents move once, to
-be grouped by doc_id; words and edges are made and grouped in the same tasks.
+Common words are encoded once, by the same lattice, into a cache of bounded size that every task
+has. One pass takes the texts apart and puts cached ids in their place, with gaps for all other
+words, which go through the lattice in the task that their document is sent to. So what moves is
+packed ids and rare words, once, and only rare words are rows of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 
-from driftmark.llm.common import Scratch, key_of
-from driftmark.llm.pieces import BLANK, PRETOKEN, Pieces
+from driftmark.llm.common import Scratch, key_of, slices
+from driftmark.llm.pieces import BLANK, Pieces, escaped
 
-# The cache of common words: how many, how long at most, and from how many documents at most.
-CACHE_WORDS, CACHE_CHARS, CACHE_DOCS = 1 << 20, 32, 30_000
+# The cache of common words: how many, how long at most, from how many documents at most, and how
+# many bytes of it are sent to the tasks at most.
+CACHE_WORDS, CACHE_CHARS, CACHE_DOCS, CACHE_BYTES = 1 << 20, 32, 30_000, 96 << 20
 # Lists that a fold appends to are closed at this length, so that a long word isn't copied at every
 # step.
 CHUNK = 256
-# Up to this length the fold carries whole paths.
+# Up to this length the fold keeps one number for every end.
 LONG_WORD = 64
+# An edge's number: its score, then 63 less its start (the last six bits of it), then what it is in 22
+# bits: a piece's id, or UNKNOWN and the code point of a character without a piece.
+ID_BITS, START_BITS = 22, 6
+SCORE_AT = ID_BITS + START_BITS
+UNKNOWN = 1 << (ID_BITS - 1)
 
 _LINK = "struct<start:int,id:int>"
 
 
-def pretokens(text: Column) -> Column:
+def words_of(text: Column, pieces: Pieces) -> Column:
     """Words of a text as pieces see them; none for a null or empty one."""
     escaped = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
-    return F.when(F.char_length(text) > 0, F.regexp_extract_all(escaped, F.lit(f"({PRETOKEN})"), 1))
+    return F.when(F.char_length(text) > 0, F.regexp_extract_all(escaped, F.lit(f"({pieces.word})"), 1))
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -41,22 +56,28 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 
 def edges(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
-    """Rows of ``words`` with the columns ``edge``: every substring that is a piece, as (end, start,
-    score, id), and every single character that is none, with its code point as -1 - id."""
+    """Rows of ``words`` with the column ``edge``: every substring that is a piece, as (end, start,
+    number), and every single character that is none. A null word has one row with a null edge."""
     size = F.char_length("word")
     rest = [c for c in words.columns]
-    found = words.select(*rest, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    found = words.select(*rest, F.explode_outer(F.sequence(F.lit(0), size - 1)).alias("start"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))
-    found = found.select(*rest, "start", F.explode(sizes).alias("size"))
+    found = found.select(*rest, "start", F.explode_outer(F.when(F.col("start").isNotNull(), sizes)).alias("size"))
     found = found.select(*rest, "start", "size", F.col("word").substr(F.col("start") + 1, F.col("size")).alias("piece"))
-    found = found.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("size")).alias("end"),
-        "start",
-        F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-        F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
-    )
-    return found.select(*rest, edge.alias("edge"))
+    found = found.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1 or word is null")
+    score = F.coalesce("score", F.lit(pieces.unknown)).cast("long")
+    back = F.lit((1 << START_BITS) - 1) - F.col("start").bitwiseAND(F.lit((1 << START_BITS) - 1))
+    number = F.shiftleft(score, SCORE_AT) + F.shiftleft(back, ID_BITS) + F.coalesce("id", UNKNOWN + F.ascii("piece"))
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", number.alias("number"))
+    return found.select(*[c for c in rest if c != "word"], F.when(F.col("word").isNotNull(), edge).alias("edge"))
+
+
+def _score(number: Column) -> Column:
+    return F.shiftright(number, SCORE_AT)
+
+
+def _id(number: Column) -> Column:
+    return number.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
 
 
 def _push(done: Column, last: Column, item: Column) -> tuple[Column, Column]:
@@ -69,30 +90,36 @@ def _push(done: Column, last: Column, item: Column) -> tuple[Column, Column]:
 
 def best_path(edges_by_end: Column, longest: int) -> Column:
     """Ids along the best path through edges sorted by end and start. Of equally good ones that with
-    the longest last piece is taken, which comes first. The fold keeps the best score and path of the
-    last ends that an edge can begin at."""
+    the longest last piece is taken, which has the greatest number. The fold keeps for every end the
+    score of the best path to it, with the start and id of its last edge, as one number."""
 
     def step(s: Column, e: Column) -> Column:
-        reach = e["end"] - e["start"]
-        fresh = e["end"] > s["at"]
-        base = F.element_at(s["window"], F.when(fresh, -reach).otherwise(-reach - 1))
-        # As a list of one the edge's start is looked up once.
-        path = F.transform(
-            F.array(base),
-            lambda b: F.struct((b["score"] + e["score"]).alias("score"), F.concat(b["ids"], F.array(e["id"])).alias("ids")),
+        number = F.shiftleft(_score(F.get(s, e["start"])), SCORE_AT) + e["number"]
+        size = F.size(s)
+        better = F.concat(F.slice(s, 1, size - 1), F.array(number))
+        return (
+            F.when(e["end"] >= size, F.concat(s, F.array(number)))
+            .when(number > F.get(s, size - 1), better)
+            .otherwise(s)
         )
-        score = base["score"] + e["score"]
-        size = F.size(s["window"])
-        window = F.when(size > longest, F.slice(s["window"], 2, longest)).otherwise(s["window"])
-        added = F.struct(e["end"].alias("at"), F.concat(window, path).alias("window"))
-        better = F.struct(s["at"].alias("at"), F.concat(F.slice(s["window"], 1, size - 1), path).alias("window"))
-        return F.when(fresh, added).when(score > F.element_at(s["window"], -1)["score"], better).otherwise(s)
-
-    nothing = F.struct(F.lit(0).cast("long").alias("score"), F.array().cast("array<int>").alias("ids"))
-    start = F.struct(F.lit(0).alias("at"), F.array(nothing).alias("window"))
-    short = F.aggregate(edges_by_end, start, step, lambda s: F.element_at(s["window"], -1)["ids"])
-    size = F.element_at(edges_by_end, -1)["end"]
-    return F.when(size <= LONG_WORD, short).otherwise(_best_path_of_long(edges_by_end, longest))
+
+    def back(numbers: Column) -> Column:
+        def link(s: Column, end: Column) -> Column:
+            number = F.get(numbers, end)
+            start = F.shiftright(number, ID_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
+            moved = F.struct(
+                (F.lit((1 << START_BITS) - 1) - start).cast("int").alias("at"),
+                F.concat(F.array(_id(number)), s["ids"]).alias("ids"),
+            )
+            return F.when(end == s["at"], moved).otherwise(s)
+
+        last = F.size(numbers) - 1
+        start = F.struct(last.alias("at"), F.array().cast("array<int>").alias("ids"))
+        return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), start, link, lambda s: s["ids"])
+
+    short = F.aggregate(edges_by_end, F.array(F.lit(0).cast("long")), step, back)
+    size = F.get(edges_by_end, F.size(edges_by_end) - 1)["end"]
+    return F.when(size <= LONG_WORD, short).when(size > LONG_WORD, _best_path_of_long(edges_by_end, longest))
 
 
 def _best_path_of_long(edges_by_end: Column, longest: int) -> Column:
@@ -102,8 +129,8 @@ def _best_path_of_long(edges_by_end: Column, longest: int) -> Column:
     def step(s: Column, e: Column) -> Column:
         reach = e["end"] - e["start"]
         fresh = e["end"] > s["at"]
-        score = F.element_at(s["window"], F.when(fresh, -reach).otherwise(-reach - 1)) + e["score"]
-        link = F.struct(e["start"].alias("start"), e["id"].alias("id"))
+        score = F.element_at(s["window"], F.when(fresh, -reach).otherwise(-reach - 1)) + _score(e["number"])
+        link = F.struct(e["start"].alias("start"), _id(e["number"]).alias("id"))
         done, last = _push(s["done"], s["last"], link)
         window = F.when(F.size(s["window"]) > longest, F.slice(s["window"], 2, longest)).otherwise(s["window"])
         added = F.struct(
@@ -157,15 +184,22 @@ def _with_bytes(ids: Column, pieces: Pieces) -> Column:
         )
         return F.transform(raw, lambda b: F.get(byte_ids, b))
 
-    spelt = F.flatten(F.transform(ids, lambda i: F.when(i >= 0, F.array(i)).otherwise(of(-1 - i))))
-    return F.when(F.exists(ids, lambda i: i < 0), spelt).otherwise(ids)
+    spelt = F.flatten(F.transform(ids, lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(of(i - UNKNOWN))))
+    return F.when(F.exists(ids, lambda i: i >= UNKNOWN), spelt).otherwise(ids)
 
 
-def encode_words(words: DataFrame, keys: list[str], table: DataFrame, pieces: Pieces) -> DataFrame:
-    """Rows ``(*keys, ids)`` for ``words (*keys, word)``; the keys tell the words apart."""
-    found = edges(words, table, pieces).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    found = found.select(*keys, best_path(F.col("edges"), pieces.longest).alias("ids"))
-    return found.select(*keys, _with_bytes(F.col("ids"), pieces).alias("ids"))
+def _paths(edge: str, pieces: Pieces) -> Column:
+    """Aggregate: ids of the word whose edges a group holds, null where it holds none. Found where the
+    edges are grouped: as expressions of a projection Catalyst would plan with them for long."""
+    by_end = F.array(F.sort_array(F.collect_set(edge)))
+    paths = F.transform(by_end, lambda e: best_path(e, pieces.longest))
+    return F.get(F.transform(paths, lambda path: _with_bytes(path, pieces)), 0)
+
+
+def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """Rows ``(word, known)`` for distinct words."""
+    found = edges(words.select(F.col("word").alias("known"), "word"), table, pieces)
+    return found.groupBy(F.col("known").alias("word")).agg(_paths("edge", pieces).alias("known"))
 
 
 def _spread(docs: DataFrame) -> int:
@@ -181,36 +215,143 @@ def common_words(docs: DataFrame, table: DataFrame, pieces: Pieces, scratch: Scr
     if n > CACHE_DOCS:
         share = F.pmod(F.xxhash64("doc_id", F.lit("cache")), F.lit(1 << 20))
         docs = docs.where(share < int((1 << 20) * CACHE_DOCS / n))
-    words = docs.select(F.explode(pretokens(F.col("text"))).alias("word"))
+    words = docs.select(F.explode(words_of(F.col("text"), pieces)).alias("word"))
     counted = words.where(F.char_length("word") <= CACHE_CHARS).groupBy("word").agg(F.count("*").alias("n"))
     top = scratch.settle("top", counted.orderBy(F.desc("n"), "word").limit(CACHE_WORDS).select("word"))
-    return scratch.settle("cache", encode_words(top.repartition(_spread(docs), "word"), ["word"], table, pieces).withColumnRenamed("ids", "known"))
+    return scratch.settle("cache", encode_words(top.repartition(_spread(docs), "word"), table, pieces))
+
+
+def _shared(cache: DataFrame) -> Broadcast:
+    """The cache as Arrow bytes for the tasks; words beyond ``CACHE_BYTES`` are left out."""
+    table = cache.toArrow().combine_chunks()
+    if table.nbytes > CACHE_BYTES:
+        table = table.slice(0, table.num_rows * CACHE_BYTES // table.nbytes)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table, max_chunksize=1 << 16)
+    return cache.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+# The cache that a Python worker has read last, by its name: the tasks of a worker share it.
+_read: dict[str, dict[str, bytes]] = {}
+
+
+def _known(name: str, cache: Broadcast, width: str) -> dict[str, bytes]:
+    """Packed ids of the common words."""
+    if name not in _read:
+        known: dict[str, bytes] = {}
+        for batch in pa.ipc.open_stream(cache.value):
+            ids = batch.column(1)
+            flat = ids.flatten().to_numpy().astype(width).tobytes()
+            ends = np.dtype(width).itemsize * ids.value_lengths().to_numpy().cumsum()
+            start = 0
+            for word, end in zip(batch.column(0).to_pylist(), ends.tolist()):
+                known[word] = flat[start:end]
+                start = end
+        _read.clear()
+        _read[name] = known
+    return _read[name]
+
+
+def _lists(values: pa.Array, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+
+def _width(pieces: Pieces) -> str:
+    """What ids are packed as on their way; the greatest number marks a gap."""
+    return "<u2" if len(pieces.texts) < 1 << 16 else "<u4"
+
+
+def with_gaps(docs: DataFrame, cache: DataFrame, name: str, pieces: Pieces) -> DataFrame:
+    """Columns of ``docs`` with ``packed`` and ``rare`` in the place of ``text``: ids of the cached words
+    and gaps for the others, and those others in order."""
+    width, pattern = _width(pieces), pieces.word
+    shared = _shared(cache)
+    kept = [c for c in docs.columns if c != "text"]
+    gap = b"\xff" * np.dtype(width).itemsize
+
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, split = _known(name, shared, width), re.compile(pattern).findall
+        for whole in batches:
+            for start, end in slices(pc.binary_length(whole.column(0)).to_pylist()):
+                batch = whole.slice(start, end - start)
+                packed: list[bytes] = []
+                rare: list[str] = []
+                n_rare: list[int] = []
+                for text in batch.column(0):
+                    words = split(escaped(text.as_py()))
+                    packed.append(b"".join([known.get(word, gap) for word in words]))
+                    before = len(rare)
+                    rare += [word for word in words if word not in known]
+                    n_rare.append(len(rare) - before)
+                columns = [*batch.columns[1:], pa.array(packed, pa.binary()), _lists(pa.array(rare, pa.string()), n_rare)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "packed", "rare"])
+
+    schema = docs.select(*kept).schema.add("packed", BinaryType()).add("rare", ArrayType(StringType()))
+    return docs.select("text", *kept).mapInArrow(taken_apart, schema)
+
+
+def filled(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """``ids`` in the place of ``packed`` and ``gaps``, the ids of the rare words."""
+    width = _width(pieces)
+    kept = [c for c in rows.columns if c not in ("packed", "gaps")]
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            packed, gaps = batch.column(0), batch.column(1)
+            raw = np.frombuffer(b"".join(packed.to_pylist()), width)
+            words = gaps.flatten()
+            is_gap = raw == np.iinfo(width).max
+            sizes = np.ones(len(raw), "i8")
+            sizes[is_gap] = words.value_lengths().to_numpy()
+            ids = np.repeat(raw.astype("i4"), sizes)
+            ids[np.repeat(is_gap, sizes)] = words.flatten().to_numpy()
+            # Where each row ends, first among its packed ids and then among all.
+            ends = pc.binary_length(packed).to_numpy().cumsum() // np.dtype(width).itemsize
+            ends = np.concatenate(([0], np.concatenate(([0], sizes.cumsum()))[ends]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], [*kept, "ids"])
+
+    schema = rows.select(*kept).schema.add("ids", ArrayType(IntegerType()))
+    return rows.select("packed", "gaps", *kept).mapInArrow(put_together, schema)
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows ``(doc_id, ids, h1, h2)`` for each row of ``docs (doc_id, text)``: the best path's ids, and
     hashes of the text that decoding gives back.
 
-    Null and empty texts have no ids; a text's own ``▁`` counts as a blank; null doc_ids and repeated
-    rows are answered each; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have no ids; very long ones are taken apart one at a time, and their rare
+    words are rows as any others; a text's own ``▁`` counts as a blank; null doc_ids and repeated rows
+    are answered each; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lattice")
     docs = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" ")).alias("text"))
     table = piece_table(docs.sparkSession, pieces)
     cache = common_words(docs, table, pieces, scratch)
-    # A row is known by its id and its text's hash; equal rows are numbered.
-    keys = ["doc_id", "h1", "h2", "copy"]
-    hashes = [h.alias(n) for h, n in zip(key_of(F.col("text")), keys[1:3])]
-    equal = Window.partitionBy(*keys[:3]).orderBy("h1")
-    rows = docs.repartition(_spread(docs), "doc_id").select("doc_id", "text", *hashes).withColumn("copy", F.row_number().over(equal))
-    words = rows.select(*keys, F.posexplode_outer(pretokens(F.col("text"))).alias("pos", "word"))
-    looked = words.join(F.broadcast(cache), "word", "left")
-    known = F.when(F.col("word").isNull(), F.array().cast("array<int>")).otherwise(F.col("known"))
-    ready = looked.select(*keys, "pos", known.alias("ids")).where("ids is not null")
-    rare = looked.where("word is not null and known is null").select(*keys, "pos", "word")
-    every = ready.unionByName(encode_words(rare, [*keys, "pos"], table, pieces))
-    found = every.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return found.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "h1", "h2")
+    # Rows are sent by a hash of id and text, so rows that share an id spread; rows equal in both have
+    # the same ids, are encoded once and counted.
+    hashes = [*zip(("h1", "h2"), key_of(F.col("text"))), *zip(("k1", "k2"), key_of(F.col("doc_id"), F.col("text")))]
+    rows = with_gaps(docs.select("doc_id", "text", *[h.alias(n) for n, h in hashes]), cache, scratch.root, pieces)
+    scratch.drop("top", "cache")
+    row = F.struct("doc_id", "h1", "h2", "packed").alias("row")
+    rows = rows.repartition(_spread(docs), "k1", "k2").select("k1", "k2", row, "rare")
+    # A document becomes a row of itself and one of each rare word; both are grouped as they lie.
+    nothing, word = F.lit(None).cast("string"), F.col("part.word")
+    parts = F.concat(
+        F.array(F.struct(F.lit(-1).alias("pos"), nothing.alias("word"))),
+        F.transform("rare", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
+    )
+    parts = rows.select("k1", "k2", "row", F.explode(parts).alias("part"))
+    parts = parts.select("k1", "k2", "part.pos", F.when(word.isNull(), F.col("row")).alias("row"), word.alias("word"))
+    first = [F.first("row", ignorenulls=True).alias("row")]
+    words = edges(parts, table, pieces).groupBy("k1", "k2", "pos").agg(
+        *first, F.count("row").cast("int").alias("copies"), _paths("edge", pieces).alias("ids")
+    )
+    gap = F.when(F.col("pos") >= 0, F.struct("pos", "ids"))
+    found = words.groupBy("k1", "k2").agg(*first, F.max("copies").alias("copies"), F.sort_array(F.collect_list(gap)).alias("gaps"))
+    gaps = F.transform("gaps", lambda g: g["ids"]).alias("gaps")
+    found = found.select("row.*", gaps, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return filled(found, pieces).select("doc_id", "ids", "h1", "h2")
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:

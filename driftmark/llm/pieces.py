@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
 
 BLANK = "▁"
@@ -29,6 +30,26 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.ids))
 
+    @property
+    def word(self) -> str:
+        """Pattern of the shortest parts of a text that no piece is known to reach across: pre-tokens,
+        cut where a punctuation mark follows a character that no piece has before such a mark. Marks
+        that some piece has behind a letter or digit don't cut."""
+        pairs = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        plain = string.ascii_letters + string.digits
+        marks = [m for m in string.punctuation if not any((c, m) in pairs for c in plain)]
+        if not marks:
+            return PRETOKEN
+        before = {a for a, b in pairs if b in marks} - {*marks, BLANK}
+
+        def one_of(chars) -> str:
+            return "".join(f"\\x{ord(c):02x}" if ord(c) < 0x80 else c for c in sorted(chars))
+
+        joins, cuts = f"[{one_of({*marks, *before})}]", f"[^{BLANK}\\n{one_of({*marks, *before})}]"
+        # A run of other characters goes on only with one of ``before``.
+        on = f"(?:{cuts}++[{one_of(before)}]{joins}*+)*+" if before else ""
+        return f"\\n|(?=[^\\n]){BLANK}*+{joins}*+{on}{cuts}*+"
+
 
 def load(path: str) -> Pieces:
     """Read a model file on the driver.
