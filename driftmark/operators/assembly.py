@@ -7,6 +7,8 @@ has to hold then meet in one group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,43 @@ def _renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.selectExpr(DB, *[f"{old} as {new}" for new, old in names.items()])
 
 
-def _relations(x: Extracts, where: Column | None = None) -> DataFrame:
-    """Relations with their schema name."""
-    ns = _renamed(x["namespace"], relnamespace="oid", nspname="nspname")
-    out = x["class"].join(ns, [DB, "relnamespace"])
+# What several kinds read, settled once by `settled`; its names are those of no extract relation.
+RELATIONS, COLUMN_NAMES, VIEW_READS = "settled_relations", "settled_columns", "settled_view_reads"
+
+
+def settled(x: Extracts, settle: Callable[[str, DataFrame], DataFrame]) -> Extracts:
+    """Extracts with what several kinds read computed once, narrow: relations with their schema's name
+    and without definitions, names of columns, and which relations views read. ``settle`` writes a
+    frame and reads it back."""
+    # A list, so that each relation is one row here however many schema rows it meets.
+    schemas = x["namespace"].groupBy(DB, F.col("oid").alias("relnamespace"))
+    schemas = schemas.agg(F.collect_list(F.struct("nspname")).alias("schemas"))
+    wide = [c for c in x["class"].columns if c != "viewdef"]
+    out = dict(x.items())
+    # One without a schema's row is still an index's or a view's own entry.
+    out[RELATIONS] = settle(RELATIONS, x["class"].select(*wide).join(schemas, [DB, "relnamespace"], "left"))
+    out[COLUMN_NAMES] = settle(COLUMN_NAMES, _columns(x))
+    out[VIEW_READS] = settle(VIEW_READS, _every_view_read(out))
+    return out
+
+
+def _class(x: Extracts) -> DataFrame:
+    """Relations without their definition."""
+    return x[RELATIONS] if RELATIONS in x else x["class"]
+
+
+def _relations(x: Extracts, where: Column | None = None, *, definitions: bool = False) -> DataFrame:
+    """Relations with their schema name, and with their definition if asked for."""
+    if RELATIONS in x and not definitions:
+        out = x[RELATIONS].select("*", F.explode("schemas").alias("of")).select("*", "of.nspname").drop("schemas", "of")
+    else:
+        ns = _renamed(x["namespace"], relnamespace="oid", nspname="nspname")
+        out = x["class"].join(ns, [DB, "relnamespace"])
     return out if where is None else out.where(where)
 
 
 def _columns(x: Extracts) -> DataFrame:
-    return x["attribute"].select(DB, "attrelid", "attnum", "attname")
+    return x[COLUMN_NAMES] if COLUMN_NAMES in x else x["attribute"].select(DB, "attrelid", "attnum", "attname")
 
 
 def agg_constraint_names(x: Extracts) -> DataFrame:
@@ -150,7 +180,7 @@ def fetch_indexes(x: Extracts, entries: Entries = None) -> DataFrame:
     """Indexes of tables and materialized views, key columns in key order."""
     rel = scoped(_relations(x), "index", entries).select(DB, F.col("oid").alias("indrelid"), "nspname", "relname", "relkind")
     own = _renamed(
-        x["class"], indexrelid="oid", index_name="relname", relam="relam", reltablespace="reltablespace"
+        _class(x), indexrelid="oid", index_name="relname", relam="relam", reltablespace="reltablespace"
     )
     members = (
         x["index"]
@@ -183,11 +213,19 @@ def fetch_indexes(x: Extracts, entries: Entries = None) -> DataFrame:
     )
 
 
-def _view_reads(x: Extracts, view_kinds: tuple[str, ...], read_kinds: tuple[str, ...]) -> DataFrame:
-    """Distinct (view, relation it reads) pairs as ``oid`` and ``schema.name``."""
-    views = x["class"].where(F.col("relkind").isin(*view_kinds)).select(DB, F.col("oid").alias("ev_class"))
-    read = _relations(x, F.col("relkind").isin(*read_kinds)).select(
-        DB, F.col("oid").alias("refobjid"), F.concat("nspname", F.lit("."), "relname").alias("read_name")
+def _every_view_read(x: Extracts) -> DataFrame:
+    """Distinct (view, relation it reads) with both kinds, of views and materialized views that read
+    tables or one another: ``oid``, ``view_kind``, ``read_kind`` and ``schema.name``."""
+    views = (
+        _class(x)
+        .where(F.col("relkind").isin("v", "m"))
+        .select(DB, F.col("oid").alias("ev_class"), F.col("relkind").alias("view_kind"))
+    )
+    read = _relations(x, F.col("relkind").isin("r", "v", "m")).select(
+        DB,
+        F.col("oid").alias("refobjid"),
+        F.col("relkind").alias("read_kind"),
+        F.concat("nspname", F.lit("."), "relname").alias("read_name"),
     )
     rules = _renamed(x["rewrite"], objid="oid", ev_class="ev_class").join(views, [DB, "ev_class"])
     return (
@@ -197,11 +235,18 @@ def _view_reads(x: Extracts, view_kinds: tuple[str, ...], read_kinds: tuple[str,
         .join(rules, [DB, "objid"])
         .join(read, [DB, "refobjid"])
         .where(F.col("refobjid") != F.col("ev_class"))
-        .select(DB, F.col("ev_class").alias("oid"), "read_name")
+        .select(DB, F.col("ev_class").alias("oid"), "view_kind", "read_kind", "read_name")
         .distinct()
     )
 
 
+def _view_reads(x: Extracts, view_kinds: tuple[str, ...], read_kinds: tuple[str, ...]) -> DataFrame:
+    """Distinct (view, relation it reads) pairs as ``oid`` and ``schema.name``."""
+    every = x[VIEW_READS] if VIEW_READS in x else _every_view_read(x)
+    chosen = every.where(F.col("view_kind").isin(*view_kinds) & F.col("read_kind").isin(*read_kinds))
+    return chosen.select(DB, "oid", "read_name").distinct()
+
+
 def agg_base_tables(x: Extracts, view_kind: str) -> DataFrame:
     """Per view of the kind (``v`` or ``m``): the tables it reads, distinct and sorted."""
     return (
@@ -222,8 +267,8 @@ def agg_related_views(x: Extracts) -> DataFrame:
 
 def agg_view_indexes(x: Extracts) -> DataFrame:
     """Per materialized view: its index names, sorted."""
-    views = x["class"].where(F.col("relkind") == "m").select(DB, F.col("oid").alias("indrelid"))
-    own = _renamed(x["class"], indexrelid="oid", index_name="relname")
+    views = _class(x).where(F.col("relkind") == "m").select(DB, F.col("oid").alias("indrelid"))
+    own = _renamed(_class(x), indexrelid="oid", index_name="relname")
     return (
         x["index"]
         .select(DB, "indrelid", "indexrelid")
@@ -236,7 +281,7 @@ def agg_view_indexes(x: Extracts) -> DataFrame:
 
 def agg_instead_triggers(x: Extracts) -> DataFrame:
     """Per view: its INSTEAD OF triggers' names, sorted."""
-    views = x["class"].where(F.col("relkind") == "v").select(DB, F.col("oid").alias("tgrelid"))
+    views = _class(x).where(F.col("relkind") == "v").select(DB, F.col("oid").alias("tgrelid"))
     return (
         x["trigger"]
         .where(labels.has_bit("tgtype", 64))
@@ -253,7 +298,7 @@ def _related_text(title: str, names: str) -> Column:
 def fetch_matviews(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Materialized views with what they read, their indexes, owner and populated flag."""
     return (
-        scoped(_relations(x, F.col("relkind") == "m"), "user_only", schemas)
+        scoped(_relations(x, F.col("relkind") == "m", definitions=True), "user_only", schemas)
         .join(agg_base_tables(x, "m"), [DB, "oid"], "left")
         .join(agg_related_views(x), [DB, "oid"], "left")
         .join(agg_view_indexes(x), [DB, "oid"], "left")
@@ -280,7 +325,7 @@ def fetch_matviews(x: Extracts, schemas: Entries = None) -> DataFrame:
 def fetch_views(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Views with what they read, their INSTEAD OF triggers and owner."""
     return (
-        scoped(_relations(x, F.col("relkind") == "v"), "user_only", schemas)
+        scoped(_relations(x, F.col("relkind") == "v", definitions=True), "user_only", schemas)
         .join(agg_base_tables(x, "v"), [DB, "oid"], "left")
         .join(agg_related_views(x), [DB, "oid"], "left")
         .join(agg_instead_triggers(x), [DB, "oid"], "left")

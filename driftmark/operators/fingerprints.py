@@ -278,25 +278,56 @@ CHILD_KINDS: Sequence[Fingerprint] = (
 ENTITY_KINDS: Sequence[Fingerprint] = (fp_functions, fp_views, fp_matviews)
 
 
+Settle = Callable[[str, DataFrame], DataFrame]
+
+
 def _distinct_union(parts: Sequence[DataFrame]) -> DataFrame:
     """Rows of different kinds never coincide, so one distinct after the union is the same as
     one per kind and costs a single shuffle."""
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def union_child(x: Extracts, schemas: Entries = None) -> DataFrame:
+def _union(
+    name: str, x: Extracts, kinds: Callable[[Extracts], Sequence[DataFrame]], settle: Settle | None
+) -> DataFrame:
+    """Distinct rows of all kinds. With ``settle``, what several kinds read is computed once, and the
+    rows are written once: only identities and hashes are shuffled to find those that occur more than
+    once, and only these are made distinct, so bodies and definitions stay where they are."""
+    if settle is None:
+        return _distinct_union(kinds(x))
+    shared = assembly.settled(x, lambda part, df: settle(f"{name}-{part}", df))
+    rows = settle(f"{name}-rows", reduce(DataFrame.unionByName, kinds(shared)))
+    # Null columns count as equal here; two hashes of the whole row stand for it.
+    whole = [F.xxhash64(F.lit(seed), F.to_json(F.struct(*rows.columns))).alias(f"_{seed}") for seed in ("one", "two")]
+    keyed = rows.select("*", *whole)
+    repeated = keyed.groupBy("_one", "_two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = settle(f"{name}-repeated", repeated)
+    once = keyed.join(repeated, ["_one", "_two"], "left_anti").select(*rows.columns)
+    several = keyed.join(repeated, ["_one", "_two"], "left_semi").select(*rows.columns)
+    return once.unionByName(several.distinct())
+
+
+def union_child(x: Extracts, schemas: Entries = None, *, settle: Settle | None = None) -> DataFrame:
     """Current child rows of the five child kinds and of owned sequences."""
-    owned = fp_sequences(x, schemas).where(F.col("object_type") == "Table")
-    return _distinct_union([*[fp(x, schemas) for fp in CHILD_KINDS], owned])
 
+    def kinds(x: Extracts) -> list[DataFrame]:
+        owned = fp_sequences(x, schemas).where(F.col("object_type") == "Table")
+        return [*[fp(x, schemas) for fp in CHILD_KINDS], owned]
+
+    return _union("child", x, kinds, settle)
 
-def union_entity(x: Extracts, schemas: Entries = None) -> DataFrame:
+
+def union_entity(x: Extracts, schemas: Entries = None, *, settle: Settle | None = None) -> DataFrame:
     """Current entity rows of the three entity kinds and of free sequences."""
-    free = fp_sequences(x, schemas).where(F.col("object_type") == "Sequence")
-    return _distinct_union([*[fp(x, schemas) for fp in ENTITY_KINDS], free])
+
+    def kinds(x: Extracts) -> list[DataFrame]:
+        free = fp_sequences(x, schemas).where(F.col("object_type") == "Sequence")
+        return [*[fp(x, schemas) for fp in ENTITY_KINDS], free]
+
+    return _union("entity", x, kinds, settle)
 
 
-def union_current(x: Extracts, schemas: Entries = None) -> DataFrame:
+def union_current(x: Extracts, schemas: Entries = None, *, settle: Settle | None = None) -> DataFrame:
     """Current rows of all nine kinds."""
     kinds = [*CHILD_KINDS, fp_sequences, *ENTITY_KINDS]
-    return _distinct_union([fp(x, schemas) for fp in kinds])
+    return _union("current", x, lambda x: [fp(x, schemas) for fp in kinds], settle)

@@ -12,7 +12,7 @@ from driftmark.functions import labels
 from driftmark.operators import assembly, fingerprints, scope
 from driftmark.schemas import DB, EXTRACT_SCHEMAS
 from driftmark.sources.extracts import combine_databases, read_extracts, write_extracts
-from driftmark.sources.store import shared_folder
+from driftmark.sources.store import SnapshotStore, shared_folder
 from workload.catalog import extracts
 from workload.catalog_sql import catalog_sql, extract_digests_sql, statement, user
 from workload.states import table
@@ -34,6 +34,12 @@ def _on(operator: Callable[..., DataFrame], *args, **kwargs) -> Callable[[SparkS
     return lambda spark, sf: operator(extracts(spark, sf), *args, **kwargs).drop(DB)
 
 
+def _union_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """All kinds from shared parts that are written once."""
+    store = SnapshotStore(spark, shared_folder(spark))
+    return fingerprints.union_current(extracts(spark, sf), settle=store.write_scratch).drop(DB)
+
+
 def _sql(last: str, **scopes: str) -> str:
     return statement(catalog_sql(**scopes), last)
 
@@ -159,6 +165,7 @@ def queries() -> dict[str, Query]:
         "union_child": (_on(fingerprints.union_child), "SELECT * FROM x_child"),
         "union_entity": (_on(fingerprints.union_entity), "SELECT * FROM x_entity"),
         "union_current": (_on(fingerprints.union_current), "SELECT * FROM x_everything"),
+        "union_current_settled": (_union_settled, "SELECT * FROM x_everything"),
     }
     out.update({name: (fn, _sql(sql)) for name, (fn, sql) in lists.items()})
 
