@@ -322,8 +322,12 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     Null and empty texts have no ids; very long ones are taken apart one at a time, and their rare
     words are rows as any others; a text's own ``▁`` counts as a blank; null doc_ids and repeated rows
-    are answered each; an empty table gives no rows; other columns are ignored.
+    are answered each; an empty table gives no rows; other columns are ignored. Models whose scores or
+    ids don't fit a path's number are refused.
     """
+    largest = max(map(abs, [pieces.unknown, *pieces.scores.values()]))
+    if largest * LONG_WORD >= 1 << (63 - SCORE_AT) or len(pieces.texts) > UNKNOWN:
+        raise ValueError("scores or ids are too large for a path's number")
     scratch = Scratch(docs.sparkSession, "lattice")
     docs = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" ")).alias("text"))
     table = piece_table(docs.sparkSession, pieces)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -29,6 +30,29 @@ def brute_ids(text):
     return out
 
 
+def test_words_cut_no_piece_and_lose_nothing():
+    rng, alphabet = random.Random(5), "aZ9é語🙂 \n.,:;(\"'²»–—…-_/#\u0301\x00\r\u2028"
+    pattern, longest = PIECES.word, PIECES.longest
+    for text in ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(3000)]:
+        words = re.findall(pattern, pc.escaped(text))
+        assert "".join(words) == pc.escaped(text) and all(words)
+        inside, at = set(), 0
+        for word in words[:-1]:
+            at += len(word)
+            inside.add(at)
+        whole = pc.escaped(text)
+        for cut in inside:
+            for start in range(max(0, cut - longest), cut):
+                for end in range(cut + 1, min(len(whole), start + longest) + 1):
+                    assert whole[start:end] not in PIECES.ids
+
+
+def test_scores_beyond_a_number_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    with pytest.raises(ValueError, match="too large"):
+        lattice.encode(docs, replace(PIECES, unknown=-(1 << 40)))
+
+
 def texts(rng):
     out = [None, "", " ", "\n", "Hello world", "Schöne Grüße\nund  mehr ", "ñ 🙂🙂 ▁x\x00\ty", "日本語 text", "a" * 30, "x́ ößéż \U0001f9ff", "123 4567"]
     for _ in range(30):
