@@ -174,3 +174,27 @@ def test_databases_are_compared_apart(spark):
     cur = state([("d1", "s", "t", "Column", "a", "m1"), ("d2", "s", "t", "Column", "c", "m1")])
     found = sorted((r.source_db, r.change_type, r.object_subtype_name) for r in diff.diff_child(cur, prev).collect())
     assert found == [("d2", "DELETED", "b"), ("d2", "RENAMED", "c")]
+
+
+@pytest.mark.parametrize("large_rows", [10**9, 3])
+@pytest.mark.parametrize("unchanged", [False, True])
+def test_parents_apart_give_the_same_changes(spark, large_rows, unchanged):
+    """Repeated keys, shared and missing MD5s, null keys: windows, and windows beside large parents."""
+    rng = random.Random(8)
+
+    def some(n):
+        return [
+            (rng.choice(["a", "b", None]), f"t{rng.randrange(6)}", rng.choice(["Column", "Index"]), f"c{rng.randrange(5)}", rng.choice(["m1", "m2", f"u{i}", None]))
+            for i in range(n)
+        ]
+
+    before = some(150)
+    cur, prev = child(spark, [r for r in before if rng.random() < 0.8] + some(30)), child(spark, before)
+    keys = list(diff.CHILD_KEYS)
+    both = diff.sides(cur, prev, diff.row_columns(cur))
+    assert bool(diff.large_parents(both, keys, large_rows)) == (large_rows == 3)
+    found = diff.changes_in(both, keys, unchanged=unchanged, large_rows=large_rows)
+    general = diff.attach(diff.locate(cur, prev, keys, collision_safe=False, unchanged=unchanged), cur, prev, keys)
+    assert found.columns == general.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, general.collect()))
+    assert log_rows(found.where("change_type <> 'UNCHANGED'")) == brute_child(cur, prev)

@@ -60,6 +60,12 @@ def test_no_cross_join_anywhere(stored):
         assert not re.search("Cartesian|NestedLoop", plan(df))
 
 
+def test_children_move_once(stored):
+    """All counts of a child's changes come from one exchange, that of the rows by their parent."""
+    text = plan(diff.diff_child(*stored))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
 def test_hot_key_is_split_by_the_skew_join(spark):
     """A third of the versions share one key; its join partition is read by several tasks."""
     columns = [f"CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END as {c}" for c in CHILD_KEYS]
