@@ -48,15 +48,21 @@ def settled(x: Extracts, settle: Callable[[str, DataFrame], DataFrame]) -> Extra
     return out
 
 
+def _shared(x: Extracts, name: str) -> DataFrame:
+    """A settled frame, joined by sorting. Its files are a fraction of its rows in memory, so that Spark
+    would take it for small and gather it on the driver for each of the kinds that read it."""
+    return x[name].hint("merge")
+
+
 def _class(x: Extracts) -> DataFrame:
     """Relations without their definition."""
-    return x[RELATIONS] if RELATIONS in x else x["class"]
+    return _shared(x, RELATIONS) if RELATIONS in x else x["class"]
 
 
 def _relations(x: Extracts, where: Column | None = None, *, definitions: bool = False) -> DataFrame:
     """Relations with their schema name, and with their definition if asked for."""
     if RELATIONS in x and not definitions:
-        out = x[RELATIONS].select("*", F.explode("schemas").alias("of")).select("*", "of.nspname").drop("schemas", "of")
+        out = _shared(x, RELATIONS).select("*", F.explode("schemas").alias("of")).select("*", "of.nspname").drop("schemas", "of")
     else:
         ns = _renamed(x["namespace"], relnamespace="oid", nspname="nspname")
         out = x["class"].join(ns, [DB, "relnamespace"])
@@ -64,7 +70,7 @@ def _relations(x: Extracts, where: Column | None = None, *, definitions: bool =
 
 
 def _columns(x: Extracts) -> DataFrame:
-    return x[COLUMN_NAMES] if COLUMN_NAMES in x else x["attribute"].select(DB, "attrelid", "attnum", "attname")
+    return _shared(x, COLUMN_NAMES) if COLUMN_NAMES in x else x["attribute"].select(DB, "attrelid", "attnum", "attname")
 
 
 def agg_constraint_names(x: Extracts) -> DataFrame:
@@ -242,7 +248,7 @@ def _every_view_read(x: Extracts) -> DataFrame:
 
 def _view_reads(x: Extracts, view_kinds: tuple[str, ...], read_kinds: tuple[str, ...]) -> DataFrame:
     """Distinct (view, relation it reads) pairs as ``oid`` and ``schema.name``."""
-    every = x[VIEW_READS] if VIEW_READS in x else _every_view_read(x)
+    every = _shared(x, VIEW_READS) if VIEW_READS in x else _every_view_read(x)
     chosen = every.where(F.col("view_kind").isin(*view_kinds) & F.col("read_kind").isin(*read_kinds))
     return chosen.select(DB, "oid", "read_name").distinct()
 

@@ -385,3 +385,16 @@ def test_ten_thousand_entries_are_planned_at_once(spark, x):
     for found in (scope.scope_include(schemata, entries), scope.scope_exclude(schemata, entries, "own")):
         assert len(found._jdf.queryExecution().executedPlan().toString()) < 20_000
     assert [r.schema_name for r in scope.scope_include(schemata, entries).collect()] == ["app"]
+
+
+def test_settled_parts_are_not_gathered_on_the_driver(spark, x, tmp_path):
+    """Shared relations and columns look small by their files, and are many rows."""
+    plans = {}
+
+    def settle(name, df):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
+
+    fingerprints.union_current(x, settle=settle)
+    assert plans["current-rows"].count("strategy=merge") >= 10
