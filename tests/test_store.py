@@ -270,3 +270,38 @@ def test_rollback_query_takes_the_snapshot_again(spark):
 
     found = queries()["rollback_snapshot"][0](spark, "/root/testdata/sf0.001")
     assert {r.snapshot_id for r in found.select("snapshot_id").distinct().collect()} == {1, 2}
+
+
+def test_a_write_leaves_no_shuffle_files(spark, store):
+    """Shuffle files go with the write that made them, so those of a run's steps don't add up."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    store.write_scratch("some", spark.range(1000).repartition(3, "id"))
+    store.write_state(STATE_CHILD, 1, child(spark, [("s", "t", "Column", "a", "m")]).repartition(3, "object_md5"), DAY1)
+    assert shuffled() <= before and spark.conf.get(key) == setting
+
+
+def test_rows_of_a_catalog_are_made_distinct_without_shuffling_them(spark, store, monkeypatch):
+    """Equal rows of a catalog are one object; where none repeats, only hashes are shuffled."""
+    from test_catalog import ROWS
+
+    from driftmark.schemas import DB, EXTRACT_SCHEMAS
+
+    found = CurrentState.of_catalog({n: spark.createDataFrame(r, EXTRACT_SCHEMAS[n]).withColumn(DB, F.lit("a")) for n, r in ROWS.items()})
+    for rows in (found.child, found.entity, found.everything):
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union", plan.nodeName()
+    twice = [("s", "t", "Column", "a", "m0"), ("s", "t", "Column", "a", "m0"), ("s", "t", "Column", "b", "m1")]
+    views = [("s", "View", "v", "x"), ("s", "View", "v", "x")]
+    state = CurrentState.of_rows(child(spark, twice), entity(spark, views))
+    state.repeats = True
+    for now in (DAY1, DAY2):
+        run(store, state, now=now)
+        assert store.staged_state(STATE_CHILD).count() == 2 and store.staged_state(STATE_ENTITY).count() == 1
+    assert store.read_snapshot(CHANGES, 1).count() == 3 and not store.read_snapshot(CHANGES, 2).count()
