@@ -65,3 +65,21 @@ def test_what_the_log_does_not_tell_is_refused(spark, tmp_path):
     with pytest.raises(RuntimeError, match="stage it again"):
         take(store, spark, 3, [one], [])
     assert store.partitions(STATE_CHILD) == [] and store.latest() == 2
+
+
+def test_children_are_rebuilt_by_one_exchange(spark, tmp_path):
+    """Rows of the log move once, to their key; keys with many rows take the general steps."""
+    from driftmark.operators.replay import state_at
+    from driftmark.schemas import CHILD_KEYS
+    from driftmark.sources.store import CHANGES
+
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    names = [("s", "t", "Column", "a"), ("s", "t", "Column", "b"), ("s", "u", "Column", "a"), ("s", "u", "Column", None)]
+    for n, md5s in enumerate((["m1", "m2", None, "m1"], ["m2", "m1", "m3", "m1"], ["m2", "m5", "m3", "m4"]), 1):
+        take(store, spark, n, [(*k, m) for k, m in zip(names, md5s) if n != 2 or k != names[2]], [])
+        log = store.read(CHANGES).where("object_subtype IS NOT NULL")
+        found = state_at(log, CHILD_KEYS, n, collision_safe=False)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        apart = state_at(log, CHILD_KEYS, n, collision_safe=False, large_rows=0)
+        assert rows_of(found) == rows_of(apart) == rows_of(store.read_snapshot(STATE_CHILD, n))
