@@ -83,3 +83,14 @@ def test_children_are_rebuilt_by_one_exchange(spark, tmp_path):
         assert plan.count("Exchange hashpartitioning") == 1, plan
         apart = state_at(log, CHILD_KEYS, n, collision_safe=False, large_rows=0)
         assert rows_of(found) == rows_of(apart) == rows_of(store.read_snapshot(STATE_CHILD, n))
+
+
+def test_catalogs_of_several_snapshots_are_taken_once(spark, monkeypatch):
+    from workload import q_diff
+
+    taken = []
+    monkeypatch.setattr(q_diff, "run", lambda store, state, now: taken.append(state) or len(taken))
+    _, states = q_diff._catalog_history(spark, "/root/testdata/sf0.001")
+    assert taken == [states["previous"], states["current"], states["previous"]]
+    assert all(len(df.inputFiles()) for s in states.values() for df in (s.child, s.entity))
+    assert all("_work" in f for s in states.values() for f in s.child.inputFiles())
