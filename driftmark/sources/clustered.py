@@ -27,6 +27,8 @@ from driftmark.operators.diff import MD5, has_key, versions_in
 CLUSTER = "cluster"
 # Clusters for each bucket, so that buckets come out alike and digests tell more than files.
 CLUSTERS_PER_BUCKET = 16
+# A task compares one bucket of two states; so many rows of a state keep it within a few hundred MB.
+ROWS_PER_BUCKET, LEAST_BUCKETS = 150_000, 16
 
 DIGEST_SCHEMA = T.StructType(
     [
@@ -42,6 +44,11 @@ DIGEST_SCHEMA = T.StructType(
 _MEASURES = ("n_rows", "h1", "h2", "restless")
 
 
+def buckets_for(n_rows: int) -> int:
+    """Buckets for a state of so many rows: a task's share stays the same as states grow."""
+    return max(LEAST_BUCKETS, -(-n_rows // ROWS_PER_BUCKET))
+
+
 @contextmanager
 def co_partitioned(spark: SparkSession) -> Iterator[None]:
     """Lets joins use a partitioning by a part of their keys, for what is planned inside."""

@@ -189,3 +189,19 @@ def test_hot_parent_is_written_by_several_tasks(spark, store):
     hot = states.read(1).where("object_type_name = 'hot'").select(F.input_file_name().alias("f")).distinct()
     assert hot.count() > 1
     assert states.read(1).count() == 30_000
+
+
+def test_buckets_grow_with_the_states(spark, monkeypatch):
+    """A task's share of a comparison doesn't grow with the tables; the result is the general one."""
+    from driftmark.sources import clustered
+    from workload import q_diff
+
+    assert [clustered.buckets_for(n) for n in (0, 2_400_000, 2_400_001, 216_000_000)] == [16, 16, 17, 1440]
+    made, store = [], q_diff.SnapshotStore
+    monkeypatch.setattr(clustered, "ROWS_PER_BUCKET", 300)
+    monkeypatch.setattr(q_diff, "SnapshotStore", lambda *args, **kw: made.append(kw.get("buckets")) or store(*args, **kw))
+    sf, queries = "/root/testdata/sf0.001", q_diff.queries()
+    found = queries["diff_child_clustered"][0](spark, sf)
+    general = queries["diff_child_duplicates"][0](spark, sf).select(*found.columns)
+    assert made[0] == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 300) > 16
+    assert found.count() and found.exceptAll(general).isEmpty() and general.exceptAll(found).isEmpty()
