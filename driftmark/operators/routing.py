@@ -24,3 +24,10 @@ def is_entity() -> Column:
 def route_state(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Child and entity state of a baseline."""
     return rows.where(is_child()), rows.where(is_entity())
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Both states of a baseline in one pass over the rows, with the column ``level``: ``child`` or
+    ``entity``. A row that passes both rules is there twice."""
+    child, entity = F.when(is_child(), F.lit("child")), F.when(is_entity(), F.lit("entity"))
+    return rows.withColumn("level", F.explode(F.array_compact(F.array(child, entity))))

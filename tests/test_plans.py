@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pytest
 from helpers import child
 from pyspark.sql import functions as F
 
-from driftmark.operators import diff, reports
+from driftmark.operators import diff, fingerprints, reports, routing
 from driftmark.schemas import CHILD_KEYS, FINGERPRINT_SCHEMA
+from workload import q_diff
+from workload.catalog import extracts
 
 
 def plan(df):
@@ -147,3 +150,26 @@ def test_window_reads_the_snapshots_it_is_about(spark, tmp_path):
     # Written again, a part of the snapshots replaces itself and leaves the others.
     store.write_snapshots(CHANGES, log.where("snapshot_id = 4 AND cast(object_subtype_name as int) < 1000"))
     assert store.window(first + timedelta(days=3), first + timedelta(days=5)).count() == 250
+
+
+def test_derived_columns_are_dealt_by_neither_type_nor_sort(spark):
+    """Types have a size that Spark knows, so columns don't meet in one task per type; a column's flag is found
+    without sorting the lines."""
+    x = extracts(spark, "/root/testdata/sf0.001")
+    plan = fingerprints.fp_columns(x)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [atttypid" not in plan and "BroadcastHashJoin [atttypid" in plan
+    assert "SortAggregate" not in x["attribute"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_both_states_of_a_baseline_in_one_pass(spark):
+    rows = fingerprints.union_current(extracts(spark, "/root/testdata/sf0.001", "previous"))
+    both = [df.withColumn("level", F.lit(level)) for level, df in zip(("child", "entity"), routing.route_state(rows))]
+    want = both[0].unionByName(both[1])
+    found = routing.staged(rows)
+    assert Counter(found.collect()) == Counter(want.collect())
+
+    def scans(df):
+        return plan(df).count("FileScan parquet [l_")
+
+    run = q_diff.queries()["route_state"][0](spark, "/root/testdata/sf0.001")
+    assert scans(run) == scans(rows.drop("source_db"))

@@ -89,7 +89,12 @@ class _Derived:
         return (
             self.table("lineitem")
             .groupBy("l_partkey", "l_linenumber")
-            .agg(F.min("l_orderkey").alias("first_order"), F.max("l_returnflag").alias("flag"))
+            # Whether the greatest flag is R, by numbers: a text's maximum would be found by sorting all lines.
+            .agg(
+                F.min("l_orderkey").alias("first_order"),
+                F.max(F.expr("l_returnflag = 'R'")).alias("any_r"),
+                F.max(F.expr("l_returnflag > 'R'")).alias("beyond_r"),
+            )
             .selectExpr(
                 "l_partkey as attrelid",
                 "l_linenumber as attnum",
@@ -97,14 +102,16 @@ class _Derived:
                 "(first_order + l_linenumber) % 6 as atttypid",
                 f"CASE (first_order + l_linenumber) % 6 WHEN 0 THEN 4 + 10 * l_linenumber + {wider} "
                 f"WHEN 3 THEN 655366 + {wider} ELSE -1 END as atttypmod",
-                "flag = 'R' as attnotnull",
+                "any_r AND NOT beyond_r as attnotnull",
                 "first_order % 37 = 0 as attisdropped",
             )
         )
 
     def type(self) -> DataFrame:
         names = ("varchar", "int4", "int8", "numeric", "timestamptz", "text")
-        return self.spark.createDataFrame(list(enumerate(names)), "oid long, typname string")
+        # Of a size that Spark knows; else all columns are sorted by their type, which is one of six.
+        rows = ", ".join(f"({i}L, '{name}')" for i, name in enumerate(names))
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(oid, typname)")
 
     def attrdef(self) -> DataFrame:
         """Defaults of columns of every number: a sequence's for the second, a value for a third of the rest."""
