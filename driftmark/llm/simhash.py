@@ -54,6 +54,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_in > len(starts)).tobytes(), "big")
 
 
+def majority(raw: bytes) -> int:
+    """The fingerprint of shingles whose XXH64 stand one after the other in ``raw``."""
+    each = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+    set_in = np.zeros(BITS, np.int64)
+    for at in range(0, len(each), BLOCK):
+        set_in += np.unpackbits(each[at : at + BLOCK], axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * set_in > len(each)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Rows ``(doc_id, fp)`` for each row of ``docs (doc_id, text)``; fp is the fingerprint as a
     signed long. Each text is read whole, one after the other."""
@@ -75,12 +84,12 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:])]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
 
 
 def _mask(low: int, width: int) -> int:
-    return _signed(((1 << width) - 1) << low)
+    return signed(((1 << width) - 1) << low)
 
 
 def variants(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -88,8 +97,8 @@ def variants(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     in ``wild``, with what is left of the bit's segment when that bit is left out."""
     each = [
         F.struct(
-            F.lit(_signed(1 << bit)).alias("wild"),
-            F.col("fp").bitwiseAND(F.lit(_mask(low, width) & _signed(~(1 << bit) % (1 << BITS)))).alias("rest"),
+            F.lit(signed(1 << bit)).alias("wild"),
+            F.col("fp").bitwiseAND(F.lit(_mask(low, width) & signed(~(1 << bit) % (1 << BITS)))).alias("rest"),
         )
         for low, width in segments(max_bits)
         for bit in range(low, low + width)
@@ -106,7 +115,7 @@ def _first_meeting(differing: Column, wild: Column, max_bits: int) -> Column:
     for low, width in segments(max_bits):
         part = differing.bitwiseAND(F.lit(_mask(low, width)))
         here = wild.bitwiseAND(F.lit(_mask(low, width))) != 0
-        out = out | (here & earlier & ((part == wild) | ((part == 0) & (wild == _signed(1 << low)))))
+        out = out | (here & earlier & ((part == wild) | ((part == 0) & (wild == signed(1 << low)))))
         earlier = earlier & (F.bit_count(part) > 1)
     return out
 
@@ -138,6 +147,15 @@ def star_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return near.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def linked(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links ``(a, b)`` that connect all distinct fingerprints of ``fps (fp)`` which links connect: those
+    of a star and those between its groups, not all of a large family."""
+    star = scratch.settle("star-links", star_links(fps, max_bits))
+    parts = components(star, Scratch(scratch.spark, "simhash-star")).toDF("fp", "part")
+    parts = fps.join(parts, "fp", "left").select("fp", F.coalesce("part", "fp").alias("part"))
+    return star.unionByName(links(scratch.settle("parts", parts), max_bits))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)`` for each row of ``docs (doc_id, text)``.
 

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as cp
 from driftmark.llm import jaccard
+from driftmark.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -112,3 +113,45 @@ def test_stage_drops_copies_with_a_word_changed(spark, tmp_path):
     docs = spark.createDataFrame([(d, t, "aa", "s", len(t)) for d, t in rows], SCHEMA)
     stays = sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
     assert stays == [d for d, _ in rows if d % 3 != 1]
+
+
+@pytest.fixture
+def settled(monkeypatch):
+    """Rows of each scratch table that was written."""
+    counts, settle = {}, Scratch.settle
+
+    def counted(self, table, rows):
+        found = settle(self, table, rows)
+        counts[table] = found.count()
+        return found
+
+    monkeypatch.setattr(Scratch, "settle", counted)
+    return counts
+
+
+def test_candidates_by_fingerprints(spark, settled):
+    """SimHash and its variants give the pairs of close fingerprints, and the stage's candidates hold them."""
+    rows = [(10, 5), (11, 5), (12, 5 ^ (1 << 63) - (1 << 62)), (13, 5 ^ 0b1111 << 20), (14, 5 ^ 0b11111 << 40), (15, -1)]
+    nodes = spark.createDataFrame(rows, "node long, fp long")
+    found = jaccard.fingerprint_pairs(nodes, Scratch(spark, "test"))
+    assert {frozenset(r) for r in found.collect()} >= {frozenset(p) for p in ((10, 11), (10, 12), (10, 13))}
+    assert not {14, 15} & {n for r in found.collect() for n in r}
+    rng, rows = random.Random(11), []
+    for i in range(12):
+        text = prose(rng, 400)
+        rows += [(2 * i, text), (2 * i + 1, changed(text, rng, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect()} == {(d, d - d % 2) for d, _ in rows}
+    assert settled["by-fingerprint"] >= 6
+
+
+def test_pairs_of_a_family_that_is_not_alike(spark, settled):
+    """Copies of a text that isn't there, each with three words changed, have keys in common but are not
+    alike. Their pairs are not built."""
+    rng = random.Random(13)
+    base = prose(rng, 100)
+    rows = [*enumerate(changed(base, rng, 3) for _ in range(150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert [found[d] for d, _ in rows] == brute_components(rows)
+    assert settled["index"] > 300 and settled["cross-pairs"] < 150
