@@ -291,26 +291,32 @@ def with_gaps(docs: DataFrame, cache: DataFrame, name: str, pieces: Pieces) -> D
     return docs.select("text", *kept).mapInArrow(taken_apart, schema)
 
 
+def _put_together(batches: Iterator[pa.RecordBatch], width: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    # The texts are all taken apart by now, and the worker may live on: what it has read of the cache goes.
+    _read.clear()
+    for batch in filter(len, batches):
+        packed, gaps = batch.column(0), batch.column(1)
+        raw = np.frombuffer(b"".join(packed.to_pylist()), width)
+        words = gaps.flatten()
+        is_gap = raw == np.iinfo(width).max
+        sizes = np.ones(len(raw), "i8")
+        sizes[is_gap] = words.value_lengths().to_numpy()
+        ids = np.repeat(raw.astype("i4"), sizes)
+        ids[np.repeat(is_gap, sizes)] = words.flatten().to_numpy()
+        # Where each row ends, first among its packed ids and then among all.
+        ends = pc.binary_length(packed).to_numpy().cumsum() // np.dtype(width).itemsize
+        ends = np.concatenate(([0], np.concatenate(([0], sizes.cumsum()))[ends]))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], [*kept, "ids"])
+
+
 def filled(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """``ids`` in the place of ``packed`` and ``gaps``, the ids of the rare words."""
     width = _width(pieces)
     kept = [c for c in rows.columns if c not in ("packed", "gaps")]
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            packed, gaps = batch.column(0), batch.column(1)
-            raw = np.frombuffer(b"".join(packed.to_pylist()), width)
-            words = gaps.flatten()
-            is_gap = raw == np.iinfo(width).max
-            sizes = np.ones(len(raw), "i8")
-            sizes[is_gap] = words.value_lengths().to_numpy()
-            ids = np.repeat(raw.astype("i4"), sizes)
-            ids[np.repeat(is_gap, sizes)] = words.flatten().to_numpy()
-            # Where each row ends, first among its packed ids and then among all.
-            ends = pc.binary_length(packed).to_numpy().cumsum() // np.dtype(width).itemsize
-            ends = np.concatenate(([0], np.concatenate(([0], sizes.cumsum()))[ends]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], [*kept, "ids"])
+        return _put_together(batches, width, kept)
 
     schema = rows.select(*kept).schema.add("ids", ArrayType(IntegerType()))
     return rows.select("packed", "gaps", *kept).mapInArrow(put_together, schema)

@@ -4,6 +4,7 @@ import random
 import re
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 
 from driftmark.llm import lattice, pieces as pc
@@ -97,3 +98,14 @@ def test_documents_move_once(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning") <= 2 and "Python" not in plan and "Cartesian" not in plan
+
+
+def test_workers_let_go_of_the_cache(monkeypatch):
+    """A worker that has put documents together holds no common words any more."""
+    monkeypatch.setattr(lattice, "_read", {"run": {"word": b""}})
+    packed = pa.array([b"\x01\x00\xff\xff", b"\x02\x00"], pa.binary())
+    gaps = pa.array([[[7, 8]], []], pa.list_(pa.list_(pa.int32())))
+    batch = pa.RecordBatch.from_arrays([packed, gaps, pa.array([1, 2])], ["packed", "gaps", "doc_id"])
+    found = [r for b in lattice._put_together(iter([batch]), "<u2", ["doc_id"]) for r in b.to_pylist()]
+    assert found == [{"doc_id": 1, "ids": [1, 7, 8]}, {"doc_id": 2, "ids": [2]}]
+    assert lattice._read == {}
