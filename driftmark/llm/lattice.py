@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,16 @@ CACHE_WORDS, CACHE_CHARS, CACHE_DOCS, CACHE_BYTES = 1 << 20, 32, 30_000, 96 << 2
 # Lists that a fold appends to are closed at this length, so that a long word isn't copied at every
 # step.
 CHUNK = 256
-# Up to this length the fold keeps one number for every end.
+# Up to this length, 64 at most, an edge is one number, and the fold keeps one number for every end.
 LONG_WORD = 64
 # An edge's number: its score, then 63 less its start (the last six bits of it), then what it is in 22
-# bits: a piece's id, or UNKNOWN and the code point of a character without a piece.
+# bits: a piece's id, or UNKNOWN and the code point of a character without a piece. An edge of a short
+# word has ``ZERO`` added to it, so that it isn't negative, and its end before it, less 33.
 ID_BITS, START_BITS = 22, 6
 SCORE_AT = ID_BITS + START_BITS
 UNKNOWN = 1 << (ID_BITS - 1)
+END_AT, MIDDLE = 58, 33
+ZERO = 1 << (END_AT - 1)
 
 _LINK = "struct<start:int,id:int>"
 
@@ -56,20 +60,29 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 
 def edges(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
-    """Rows of ``words`` with the column ``edge``: every substring that is a piece, as (end, start,
-    number), and every single character that is none. A null word has one row with a null edge."""
+    """Rows of ``words`` with the columns ``edge`` and ``far``: every substring that is a piece, and
+    every single character that is none; as a number, or as (end, start, number) in a long word. A null
+    word has one row with nulls."""
     size = F.char_length("word")
     rest = [c for c in words.columns]
     found = words.select(*rest, F.explode_outer(F.sequence(F.lit(0), size - 1)).alias("start"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))
     found = found.select(*rest, "start", F.explode_outer(F.when(F.col("start").isNotNull(), sizes)).alias("size"))
     found = found.select(*rest, "start", "size", F.col("word").substr(F.col("start") + 1, F.col("size")).alias("piece"))
-    found = found.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1 or word is null")
-    score = F.coalesce("score", F.lit(pieces.unknown)).cast("long")
+    # Met by a hash, which is found faster than a string, and compared then.
+    known = table.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("met"), "id", "score")
+    met = F.coalesce(F.col("met") == F.col("piece"), F.lit(False))
+    found = found.withColumn("key", F.xxhash64("piece")).join(F.broadcast(known), "key", "left")
+    found = found.where(met | (F.col("size") == 1) | F.col("word").isNull())
+    score = F.when(met, F.col("score")).otherwise(F.lit(pieces.unknown)).cast("long")
     back = F.lit((1 << START_BITS) - 1) - F.col("start").bitwiseAND(F.lit((1 << START_BITS) - 1))
-    number = F.shiftleft(score, SCORE_AT) + F.shiftleft(back, ID_BITS) + F.coalesce("id", UNKNOWN + F.ascii("piece"))
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", number.alias("number"))
-    return found.select(*[c for c in rest if c != "word"], F.when(F.col("word").isNotNull(), edge).alias("edge"))
+    what = F.when(met, F.col("id")).otherwise(UNKNOWN + F.ascii("piece"))
+    number = F.shiftleft(score, SCORE_AT) + F.shiftleft(back, ID_BITS) + what
+    end = F.col("start") + F.col("size")
+    edge = F.shiftleft((end - MIDDLE).cast("long"), END_AT).bitwiseOR(number + ZERO)
+    far = F.struct(end.alias("end"), "start", number.alias("number"))
+    kept = [c for c in rest if c != "word"]
+    return found.select(*kept, F.when(size <= LONG_WORD, edge).alias("edge"), F.when(size > LONG_WORD, far).alias("far"))
 
 
 def _score(number: Column) -> Column:
@@ -88,43 +101,42 @@ def _push(done: Column, last: Column, item: Column) -> tuple[Column, Column]:
     )
 
 
-def best_path(edges_by_end: Column, longest: int) -> Column:
-    """Ids along the best path through edges sorted by end and start. Of equally good ones that with
-    the longest last piece is taken, which has the greatest number. The fold keeps for every end the
-    score of the best path to it, with the start and id of its last edge, as one number."""
+def _start(number: Column) -> Column:
+    """The start in the number of an edge of a short word."""
+    last = (1 << START_BITS) - 1
+    return (F.lit(last) - F.shiftright(number, ID_BITS).bitwiseAND(F.lit(last))).cast("int")
+
+
+def best_path(edges_by_end: Column) -> Column:
+    """Ids along the best path through a short word's edges, sorted. Of equally good ones that with the
+    longest last piece is taken, which has the greatest number. The fold keeps for every end the score
+    of the best path to it, with the start and id of its last edge, as one number."""
+    score, edge = F.lit(-(1 << SCORE_AT)), F.lit((1 << END_AT) - 1)
 
     def step(s: Column, e: Column) -> Column:
-        number = F.shiftleft(_score(F.get(s, e["start"])), SCORE_AT) + e["number"]
+        number = F.get(s, _start(e)).bitwiseAND(score) + (e.bitwiseAND(edge) - ZERO)
         size = F.size(s)
-        better = F.concat(F.slice(s, 1, size - 1), F.array(number))
         return (
-            F.when(e["end"] >= size, F.concat(s, F.array(number)))
-            .when(number > F.get(s, size - 1), better)
+            F.when(F.shiftright(e, END_AT) + MIDDLE >= size, F.array_append(s, number))
+            .when(number > F.get(s, size - 1), F.array_append(F.slice(s, 1, size - 1), number))
             .otherwise(s)
         )
 
     def back(numbers: Column) -> Column:
         def link(s: Column, end: Column) -> Column:
-            number = F.get(numbers, end)
-            start = F.shiftright(number, ID_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
-            moved = F.struct(
-                (F.lit((1 << START_BITS) - 1) - start).cast("int").alias("at"),
-                F.concat(F.array(_id(number)), s["ids"]).alias("ids"),
-            )
-            return F.when(end == s["at"], moved).otherwise(s)
+            return F.when(end == _start(F.get(s, F.lit(0))), F.array_prepend(s, F.get(numbers, end))).otherwise(s)
 
         last = F.size(numbers) - 1
-        start = F.struct(last.alias("at"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), start, link, lambda s: s["ids"])
+        ends = F.slice(F.sequence(last, F.lit(1), F.lit(-1)), 2, last)
+        return F.aggregate(ends, F.array(F.get(numbers, last)), link, lambda s: F.transform(s, _id))
 
-    short = F.aggregate(edges_by_end, F.array(F.lit(0).cast("long")), step, back)
-    size = F.get(edges_by_end, F.size(edges_by_end) - 1)["end"]
-    return F.when(size <= LONG_WORD, short).when(size > LONG_WORD, _best_path_of_long(edges_by_end, longest))
+    return F.aggregate(edges_by_end, F.array(F.lit(0).cast("long")), step, back)
 
 
 def _best_path_of_long(edges_by_end: Column, longest: int) -> Column:
-    """The same for a long word, whose paths are too long to be copied at each step: the fold keeps
-    for every end the edge that reached it best, and a second one follows them back."""
+    """The same for a long word's edges, sorted by end and start. Its paths are too long to be copied at
+    each step: the fold keeps for every end the edge that reached it best, and a second one follows
+    them back."""
 
     def step(s: Column, e: Column) -> Column:
         reach = e["end"] - e["start"]
@@ -188,18 +200,20 @@ def _with_bytes(ids: Column, pieces: Pieces) -> Column:
     return F.when(F.exists(ids, lambda i: i >= UNKNOWN), spelt).otherwise(ids)
 
 
-def _paths(edge: str, pieces: Pieces) -> Column:
+def _paths(pieces: Pieces) -> Column:
     """Aggregate: ids of the word whose edges a group holds, null where it holds none. Found where the
     edges are grouped: as expressions of a projection Catalyst would plan with them for long."""
-    by_end = F.array(F.sort_array(F.collect_set(edge)))
-    paths = F.transform(by_end, lambda e: best_path(e, pieces.longest))
+    edges, far = (F.array(F.sort_array(F.collect_set(c))) for c in ("edge", "far"))
+    short = F.get(F.transform(edges, lambda e: F.when(F.size(e) > 0, best_path(e))), 0)
+    long = F.get(F.transform(far, lambda e: F.when(F.size(e) > 0, _best_path_of_long(e, pieces.longest))), 0)
+    paths = F.array(F.coalesce(short, long))
     return F.get(F.transform(paths, lambda path: _with_bytes(path, pieces)), 0)
 
 
 def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows ``(word, known)`` for distinct words."""
     found = edges(words.select(F.col("word").alias("known"), "word"), table, pieces)
-    return found.groupBy(F.col("known").alias("word")).agg(_paths("edge", pieces).alias("known"))
+    return found.groupBy(F.col("known").alias("word")).agg(_paths(pieces).alias("known"))
 
 
 def _spread(docs: DataFrame) -> int:
@@ -221,33 +235,50 @@ def common_words(docs: DataFrame, table: DataFrame, pieces: Pieces, scratch: Scr
     return scratch.settle("cache", encode_words(top.repartition(_spread(docs), "word"), table, pieces))
 
 
-def _shared(cache: DataFrame) -> Broadcast:
-    """The cache as Arrow bytes for the tasks; words beyond ``CACHE_BYTES`` are left out."""
-    table = cache.toArrow().combine_chunks()
-    if table.nbytes > CACHE_BYTES:
-        table = table.slice(0, table.num_rows * CACHE_BYTES // table.nbytes)
+_BLOCK = pa.schema([("word", pa.string()), ("packed", pa.binary())])
+
+
+def _block(batch: pa.RecordBatch, width: str) -> tuple[bytes, int]:
+    """Rows of words and ids with the ids packed, as compressed Arrow bytes, and their size before."""
+    ids = batch.column(1)
+    flat = ids.flatten().to_numpy().astype(width)
+    ends = flat.itemsize * np.concatenate(([0], ids.value_lengths().to_numpy().cumsum()))
+    packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(flat)])
+    block = pa.RecordBatch.from_arrays([batch.column(0), packed], schema=_BLOCK)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as stream:
-        stream.write_table(table, max_chunksize=1 << 16)
-    return cache.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(block)
+    return sink.getvalue().to_pybytes(), block.nbytes
+
+
+def _shared(cache: DataFrame, width: str) -> Broadcast:
+    """The cache for the tasks, packed where it lies, so that the driver holds few bytes; words beyond
+    ``CACHE_BYTES`` are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            block, size = _block(batch, width)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([size])], ["block", "size"])
+
+    blocks, total = [], 0
+    for block, size in cache.select("word", "known").mapInArrow(pack, "block binary, size long").collect():
+        total += size
+        if total <= CACHE_BYTES:
+            blocks.append(bytes(block))
+    return cache.sparkSession.sparkContext.broadcast(blocks)
 
 
 # The cache that a Python worker has read last, by its name: the tasks of a worker share it.
 _read: dict[str, dict[str, bytes]] = {}
 
 
-def _known(name: str, cache: Broadcast, width: str) -> dict[str, bytes]:
+def _known(name: str, cache: Broadcast) -> dict[str, bytes]:
     """Packed ids of the common words."""
     if name not in _read:
         known: dict[str, bytes] = {}
-        for batch in pa.ipc.open_stream(cache.value):
-            ids = batch.column(1)
-            flat = ids.flatten().to_numpy().astype(width).tobytes()
-            ends = np.dtype(width).itemsize * ids.value_lengths().to_numpy().cumsum()
-            start = 0
-            for word, end in zip(batch.column(0).to_pylist(), ends.tolist()):
-                known[word] = flat[start:end]
-                start = end
+        for block in cache.value:
+            for batch in pa.ipc.open_stream(block):
+                known.update(zip(*(column.to_pylist() for column in batch.columns)))
         _read.clear()
         _read[name] = known
     return _read[name]
@@ -266,12 +297,12 @@ def with_gaps(docs: DataFrame, cache: DataFrame, name: str, pieces: Pieces) -> D
     """Columns of ``docs`` with ``packed`` and ``rare`` in the place of ``text``: ids of the cached words
     and gaps for the others, and those others in order."""
     width, pattern = _width(pieces), pieces.word
-    shared = _shared(cache)
+    shared = _shared(cache, width)
     kept = [c for c in docs.columns if c != "text"]
     gap = b"\xff" * np.dtype(width).itemsize
 
     def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = _known(name, shared, width), re.compile(pattern).findall
+        get, split = _known(name, shared).get, re.compile(pattern).findall
         for whole in batches:
             for start, end in slices(pc.binary_length(whole.column(0)).to_pylist()):
                 batch = whole.slice(start, end - start)
@@ -280,9 +311,10 @@ def with_gaps(docs: DataFrame, cache: DataFrame, name: str, pieces: Pieces) -> D
                 n_rare: list[int] = []
                 for text in batch.column(0):
                     words = split(escaped(text.as_py()))
-                    packed.append(b"".join([known.get(word, gap) for word in words]))
+                    ids = list(map(get, words, repeat(gap)))
+                    packed.append(b"".join(ids))
                     before = len(rare)
-                    rare += [word for word in words if word not in known]
+                    rare += [word for word, found in zip(words, ids) if found is gap]
                     n_rare.append(len(rare) - before)
                 columns = [*batch.columns[1:], pa.array(packed, pa.binary()), _lists(pa.array(rare, pa.string()), n_rare)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "packed", "rare"])
@@ -355,7 +387,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     parts = parts.select("k1", "k2", "part.pos", F.when(word.isNull(), F.col("row")).alias("row"), word.alias("word"))
     first = [F.first("row", ignorenulls=True).alias("row")]
     words = edges(parts, table, pieces).groupBy("k1", "k2", "pos").agg(
-        *first, F.count("row").cast("int").alias("copies"), _paths("edge", pieces).alias("ids")
+        *first, F.count("row").cast("int").alias("copies"), _paths(pieces).alias("ids")
     )
     gap = F.when(F.col("pos") >= 0, F.struct("pos", "ids"))
     found = words.groupBy("k1", "k2").agg(*first, F.max("copies").alias("copies"), F.sort_array(F.collect_list(gap)).alias("gaps"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -87,6 +88,34 @@ def test_a_long_word(spark):
     assert found == {1: brute_ids(word), 2: brute_ids("a " * 20_000)}
 
 
+@pytest.mark.parametrize("cache", [0, 1 << 20])
+def test_words_about_as_long_as_a_number_holds(spark, cache, monkeypatch):
+    monkeypatch.setattr(lattice, "CACHE_WORDS", cache)
+    rng = random.Random(7)
+    rows = [(n, "".join(rng.choices("abcdethö🙂", k=n))) for n in (1, 2, 31, 32, 33, 62, 63, 64, 65, 66)]
+    found = {r.doc_id: r.ids for r in lattice.encode(spark.createDataFrame(rows, "doc_id int, text string"), PIECES).collect()}
+    assert found == {n: brute_ids(text) for n, text in rows}
+
+
+def test_an_edge_of_a_short_word_is_one_number_met_by_a_hash(spark, capsys):
+    words = spark.createDataFrame([("▁the",), ("x" * 65,), (None,)], "word string")
+    found = lattice.edges(words, lattice.piece_table(spark, PIECES), PIECES)
+    assert dict(found.dtypes)["edge"] == "bigint"
+    assert found.where("edge is null and far is null").count() == 1
+    found.explain()
+    assert re.search(r"BroadcastHashJoin \[key#\d+L\], \[key#\d+L\]", capsys.readouterr().out)
+
+
+def test_a_block_holds_its_words(monkeypatch):
+    monkeypatch.setattr(lattice, "_read", {})
+    words, ids = [f"word{i}" for i in range(1000)], [[i, 7] for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array(ids, pa.list_(pa.int32()))], ["word", "known"])
+    block, size = lattice._block(batch.slice(10), "<u2")
+    assert len(block) < size < batch.nbytes
+    known = lattice._known("run", SimpleNamespace(value=[block]))
+    assert known == {f"word{i}": bytes([i % 256, i // 256, 7, 0]) for i in range(10, 1000)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert lattice.encode(docs, PIECES).count() == 0
