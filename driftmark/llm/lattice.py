@@ -30,6 +30,9 @@ from driftmark.llm.pieces import BLANK, Pieces, escaped
 # The cache of common words: how many, how long at most, from how many documents at most, and how
 # many bytes of it are sent to the tasks at most.
 CACHE_WORDS, CACHE_CHARS, CACHE_DOCS, CACHE_BYTES = 1 << 20, 32, 30_000, 96 << 20
+# The sample is one document of so many at most: the rare words of a larger one would be encoded for
+# the cache and met nowhere else, and the rest's share of words, so their rows, would vary with the size.
+CACHE_PART = 8
 # Lists that a fold appends to are closed at this length, so that a long word isn't copied at every
 # step.
 CHUNK = 256
@@ -226,9 +229,8 @@ def common_words(docs: DataFrame, table: DataFrame, pieces: Pieces, scratch: Scr
     """Rows ``(word, known)``: ids of the words that are most frequent in a sample of documents. Only
     a cache: what it holds changes the work, not the result."""
     n = docs.count()
-    if n > CACHE_DOCS:
-        share = F.pmod(F.xxhash64("doc_id", F.lit("cache")), F.lit(1 << 20))
-        docs = docs.where(share < int((1 << 20) * CACHE_DOCS / n))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("cache")), F.lit(1 << 20))
+    docs = docs.where(share < int((1 << 20) * min(1 / CACHE_PART, CACHE_DOCS / max(n, 1))))
     words = docs.select(F.explode(words_of(F.col("text"), pieces)).alias("word"))
     counted = words.where(F.char_length("word") <= CACHE_CHARS).groupBy("word").agg(F.count("*").alias("n"))
     top = scratch.settle("top", counted.orderBy(F.desc("n"), "word").limit(CACHE_WORDS).select("word"))

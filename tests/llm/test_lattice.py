@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from driftmark.llm import lattice, pieces as pc
+from driftmark.llm.common import Scratch
 from driftmark.llm.queries import PIECE_MODEL
 
 PIECES = pc.load(PIECE_MODEL)
@@ -106,6 +107,13 @@ def test_an_edge_of_a_short_word_is_one_number_met_by_a_hash(spark, capsys):
     assert re.search(r"BroadcastHashJoin \[key#\d+L\], \[key#\d+L\]", capsys.readouterr().out)
 
 
+def test_the_cache_knows_a_small_part_of_a_small_table(spark):
+    """Else rows of rare words grow faster than the table."""
+    docs = spark.createDataFrame([(i, f"own{i}") for i in range(400)], "doc_id int, text string")
+    cache = lattice.common_words(docs, lattice.piece_table(spark, PIECES), PIECES, Scratch(spark, "test"))
+    assert 20 <= cache.count() <= 100
+
+
 def test_a_block_holds_its_words(monkeypatch):
     monkeypatch.setattr(lattice, "_read", {})
     words, ids = [f"word{i}" for i in range(1000)], [[i, 7] for i in range(1000)]
