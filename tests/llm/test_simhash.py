@@ -9,7 +9,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftmark.llm import simhash
+from driftmark.llm import jaccard, simhash
+from driftmark.llm.common import Scratch
 from pyspark.sql import functions as F
 
 
@@ -102,3 +103,35 @@ def test_components_against_all_pairs(spark):
     assert Counter(tuple(r) for r in found.collect()) == want
     assert len(set(least.values())) < len(texts) - 20
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_only_measured_sizes_are_broadcast(spark, monkeypatch):
+    """Behind an explode Spark takes an index of any size for as small as the file it comes from."""
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    fps = spark.range(50).selectExpr("id as fp", "id as part")
+
+    def plan():
+        return simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+
+    # What would be gathered on the driver is 64 times as many rows.
+    assert "BroadcastExchange" in plan()
+    before, seen = spark.conf.get(planned), []
+
+    class Rows:
+        schema = fps.schema
+        write = property(lambda self: self)
+
+        def mode(self, _):
+            return self
+
+        def parquet(self, _):
+            seen.append((spark.conf.get(planned), spark.conf.get(measured), plan()))
+
+    monkeypatch.setattr(Scratch, "read", lambda *_: None)
+    Scratch(spark, "test").settle("rows", Rows())
+    assert seen[0][:2] == ("-1", before) and "BroadcastExchange" not in seen[0][2]
+    assert spark.conf.get(planned) == before and spark.conf.get(measured, None) is None
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "doc_id long, text string")
+    for found in (simhash.near_duplicates(docs), jaccard.near_duplicates(docs)):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
