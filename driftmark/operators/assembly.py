@@ -157,11 +157,12 @@ def fetch_functions(x: Extracts, schemas: Entries = None) -> DataFrame:
     """Routines with signature, properties, dependencies and cleaned body."""
     ns = scoped(_renamed(x["namespace"], pronamespace="oid", nspname="nspname"), "user_only", schemas)
     lang = _renamed(x["language"], prolang="oid", lanname="lanname")
+    # The body is taken before routines move to their dependencies: it is one of two texts, or a part of one.
+    body = labels.routine_body("lanname", "prosrc", "functiondef").alias("function_body")
+    routines = x["proc"].join(ns, [DB, "pronamespace"]).join(lang, [DB, "prolang"])
+    routines = routines.select(*[c for c in routines.columns if c not in ("prosrc", "functiondef")], body)
     return (
-        x["proc"]
-        .join(ns, [DB, "pronamespace"])
-        .join(lang, [DB, "prolang"])
-        .join(agg_function_deps(x), [DB, "oid"], "left")
+        routines.join(agg_function_deps(x), [DB, "oid"], "left")
         .select(
             DB,
             F.col("nspname").alias("schema_name"),
@@ -177,7 +178,7 @@ def fetch_functions(x: Extracts, schemas: Entries = None) -> DataFrame:
             "dependencies",
             F.col("prosecdef").alias("is_security_definer"),
             F.array_join("config", ", ").alias("config_settings_text"),
-            labels.routine_body("lanname", "prosrc", "functiondef").alias("function_body"),
+            "function_body",
         )
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.canon import collapse_ws, joined, kv, kv_if_set, sorted_list, text
 from driftmark.operators import assembly
+from driftmark.operators.joins import released_shuffles
 from driftmark.operators.scope import Entries, scope_three_way, scoped
 from driftmark.schemas import CHILD_KEYS, DB
 from driftmark.sources.extracts import Extracts
@@ -282,9 +283,13 @@ Settle = Callable[[str, DataFrame], DataFrame]
 
 
 def _distinct_union(parts: Sequence[DataFrame]) -> DataFrame:
-    """Rows of different kinds never coincide, so one distinct after the union is the same as
-    one per kind and costs a single shuffle."""
-    return reduce(DataFrame.unionByName, parts).distinct()
+    """Distinct rows of all kinds; rows of different kinds never coincide. Equal rows have equal identities, and
+    mostly none repeats, which a job over the identities alone tells: whole rows are then not shuffled."""
+    rows = reduce(DataFrame.unionByName, parts)
+    identities = rows.select(*[c for c in (DB, *CHILD_KEYS) if c in rows.columns])
+    with released_shuffles(rows.sparkSession):
+        none = repeated(identities).isEmpty()
+    return rows if none else rows.distinct()
 
 
 def repeated(rows: DataFrame) -> DataFrame:

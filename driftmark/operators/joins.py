@@ -1,10 +1,11 @@
-"""Joins that stay balanced when one key holds a large part of the rows."""
+"""Joins that stay balanced when one key holds a large part of the rows, and shuffles that don't pile up."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,3 +23,16 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
         .join(right.withColumn("_spread", spread), [*on, "_spread"], how)
         .drop("_spread")
     )
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Lets the shuffle files of what is written inside go with the write that made them. Else they stay
+    until the driver's garbage is collected, those of all steps of a run together."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

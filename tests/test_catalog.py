@@ -398,3 +398,27 @@ def test_settled_parts_are_not_gathered_on_the_driver(spark, x, tmp_path):
 
     fingerprints.union_current(x, settle=settle)
     assert plans["current-rows"].count("strategy=merge") >= 10
+
+
+def test_whole_rows_move_only_where_some_repeat(spark, x):
+    """A distinct over the union would shuffle every body and definition."""
+    for union in (fingerprints.union_child, fingerprints.union_entity, fingerprints.union_current):
+        assert union(x)._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+        twice = {name: df.unionByName(df) if name in ("trigger", "namespace", "rewrite") else df for name, df in x.items()}
+        found, every = (sorted(map(str, rows.collect())) for rows in (union(twice), union(twice, distinct=False)))
+        assert found == sorted(set(every)) and len(found) < len(every)
+    # Equal rows that differ in their identity's nulls alone count as equal, as in a distinct.
+    row = ("a", "s", None, "t", "Column", None, "d", "m")
+    rows = spark.createDataFrame([row, row], "source_db string, schema_name string, object_type string, object_type_name string, "
+                                 "object_subtype string, object_subtype_name string, object_subtype_details string, object_md5 string")
+    assert fingerprints._distinct_union([rows.limit(1), rows.limit(1)]).count() == 1
+
+
+def test_a_routines_body_moves_once(spark, x):
+    """Routines move to their dependencies with their body, not with both texts it may come from."""
+    node = assembly.fetch_functions(x)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    left = node.children().head().output()
+    names = {left.apply(i).name() for i in range(left.size())}
+    assert "function_body" in names and not names & {"prosrc", "functiondef"}
