@@ -316,3 +316,29 @@ def test_catalog_states_are_written_without_shuffling_whole_rows(spark, monkeypa
     q_diff._written(spark, "/root/testdata/sf0.001", lambda s, sf, side: q_diff.union_child(q_diff.extracts(s, sf, side), distinct=False))
     plan = seen[0]._jdf.queryExecution().optimizedPlan()
     assert plan.nodeName() == "Union"
+
+
+def test_a_baseline_writes_its_log_rows_once(spark, store, monkeypatch):
+    """The rows that both states are staged from become the log's: there is no second copy of them."""
+    tables, write = [], type(store).write_snapshot
+    monkeypatch.setattr(type(store), "write_snapshot", lambda self, table, *rest: tables.append(table) or write(self, table, *rest))
+    state = CurrentState.of_rows(child(spark, [("s", "t", "Column", "a", "m1")]), entity(spark, [("s", "View", "v", "x")]))
+    run(store, state, now=DAY1)
+    assert {STATE_CHILD, STATE_ENTITY} <= set(tables) and CHANGES not in tables
+    log = store.read_snapshot(CHANGES, 1)
+    assert sorted((r.object_subtype, r.change_type, r.copies) for r in log.fillna("", ["object_subtype"]).collect()) == [
+        ("", "ADDED", 1), ("Column", "ADDED", 1),
+    ]
+    assert {r.processed_time for r in log.collect()} == {DAY1}
+    run(store, state, now=DAY2)
+    assert not store.read_snapshot(CHANGES, 2).count() and CHANGES in tables
+
+
+def test_rows_are_stored_in_little_space(spark, store):
+    import pyarrow.parquet as pq
+
+    store.write_state(STATE_CHILD, 1, child(spark, [("s", "t", "Column", "a", "m1")]), DAY1)
+    files = [*store.read_snapshot(STATE_CHILD, 1).inputFiles(), *store.write_scratch("some", spark.range(9)).inputFiles()]
+    stored = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    codecs = [m.row_group(0).column(0).compression for m in stored if m.num_row_groups]
+    assert len(codecs) > 1 and set(codecs) == {"ZSTD"}
