@@ -94,3 +94,14 @@ def test_catalogs_of_several_snapshots_are_taken_once(spark, monkeypatch):
     assert taken == [states["previous"], states["current"], states["previous"]]
     assert all(len(df.inputFiles()) for s in states.values() for df in (s.child, s.entity))
     assert all("_work" in f for s in states.values() for f in s.child.inputFiles())
+
+
+def test_a_catalog_goes_when_it_was_taken_for_the_last_time(spark, monkeypatch):
+    from pathlib import Path
+
+    from workload import q_diff
+
+    monkeypatch.setattr(q_diff, "run", lambda store, state, now: None)
+    _, states = q_diff._catalog_history(spark, "/root/testdata/sf0.001")
+    kept = {side: {Path(f.removeprefix("file://")).exists() for f in s.child.inputFiles()} for side, s in states.items()}
+    assert kept == {"previous": {True}, "current": {False}}
